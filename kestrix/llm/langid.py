@@ -118,13 +118,16 @@ class Model:
 
 def train(docs: DataFrame, folds: int = 4, held: int = 2, max_train: int = 6000, dim: int = 4096) -> Model:
     """Fit on at most `max_train` documents outside the held-out fold, evenly by language (the
-    smallest id hashes of each). Null texts, texts without letters, null languages teach nothing."""
+    smallest reduced id hashes of each). Null texts, texts without letters, null languages teach nothing."""
     taught = pick(docs, doc_id="bigint", lang="string").dropna().where(fold(F.col("doc_id"), folds) != held).where(F.col("lang") != UND)
-    counts = sorted(r["lang"] for r in taught.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(100).collect())
+    counts = {r["lang"]: r["count"] for r in taught.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(100).collect()}
     share = max(1, max_train // max(1, len(counts)))
-    # a task keeps at most `share` rows of a language before the shuffle
-    rank = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    sample = taught.where(F.col("lang").isin(counts)).withColumn("k", F.row_number().over(rank)).where(F.col("k") <= share).select("doc_id", F.col("lang").alias("y"))
+    # by hash, each language is first thinned to some 1.5 shares: what meets in its window does not grow with the table
+    part = F.create_map(*[F.lit(x) for lang, n in counts.items() for x in (lang, min(1.0, (1.5 * share + 200) / n))]) if counts else F.create_map(F.lit(""), F.lit(0.0))
+    draw = F.xxhash64("doc_id")
+    thin = taught.where(F.pmod(draw, F.lit(1 << 20)) < part[F.col("lang")] * (1 << 20))
+    rank = Window.partitionBy("lang").orderBy(F.pmod(draw, F.lit(1 << 20)), draw, "doc_id")
+    sample = thin.withColumn("k", F.row_number().over(rank)).where(F.col("k") <= share).select("doc_id", F.col("lang").alias("y"))
     sample = sample.groupBy("doc_id").agg(F.max("y").alias("y"))
 
     def extract(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
