@@ -20,30 +20,43 @@ from .common import WORD, documents, fold, lower, pick, training_ids
 _MULT = np.uint64(0x9E3779B97F4A7C15)
 
 
-class _WordIds(dict):
-    """crc32 by word; emptied when large, so a worker's memory stays bounded."""
+class _Words(dict):
+    """Row of a word in `table`: hashes of the word and of its stems (its first 3 to 6 characters), so
+    that inflected forms share weights. Emptied when large, so a worker's memory stays bounded."""
+
+    STEMS = (3, 4, 5, 6)
+
+    def __init__(self):
+        super().__init__()
+        self.table = np.empty((1 << 12, 1 + len(self.STEMS)), np.uint64)
 
     def __missing__(self, word: str) -> int:
-        if len(self) > 500_000:
-            self.clear()
-        self[word] = value = crc32(word.encode("utf-8", "surrogatepass"))
-        return value
+        at = len(self)
+        if at == len(self.table):
+            self.table = np.concatenate([self.table, np.empty_like(self.table)])
+        crc = lambda s, k: (crc32(s.encode("utf-8", "surrogatepass")) << 3) + k
+        self.table[at] = [crc(word, 0), *(crc(word[:n], i) for i, n in enumerate(self.STEMS, 1))]
+        self[word] = at
+        return at
 
 
-_ids = _WordIds()
+_words = _Words()
 
 
 def features(text: str, bits: int) -> np.ndarray:
-    """Distinct hashed indices, sorted: words, word pairs, and pairs with one word skipped."""
+    """Distinct hashed indices, sorted: words and their stems, word pairs, and pairs with one word skipped."""
     words = WORD.findall(lower(text))
-    h = np.fromiter(map(_ids.__getitem__, words), np.uint64, len(words))
+    if len(_words) > 300_000:
+        _words.clear()
+    at = np.fromiter(map(_words.__getitem__, words), np.int64, len(words))
+    rows = _words.table[at]
+    h = rows[:, 0]
     shift = np.uint64(64 - bits)
-    first = h * np.uint64(3)
-    parts = [(h + np.uint64(1)) * _MULT]
+    parts = [(rows[np.unique(at, return_index=True)[1]].ravel() + np.uint64(1)) * _MULT]
     if len(h) > 1:
-        parts.append((first[:-1] ^ (h[1:] << np.uint64(20))) * _MULT + _MULT)
+        parts.append((h[:-1] * np.uint64(3) ^ (h[1:] << np.uint64(20))) * _MULT + _MULT)
     if len(h) > 2:
-        parts.append((first[:-2] ^ (h[2:] << np.uint64(24)) ^ np.uint64(0x5BD1E995)) * _MULT)
+        parts.append((h[:-2] * np.uint64(5) ^ (h[2:] << np.uint64(24)) ^ np.uint64(0x5BD1E995)) * _MULT)
     return np.unique((np.concatenate(parts) * _MULT) >> shift).astype(np.uint32)
 
 
