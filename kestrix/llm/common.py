@@ -6,6 +6,7 @@ import atexit
 import re
 import tempfile
 import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
@@ -74,6 +75,18 @@ class Workspace:
                 raise RuntimeError(f"cannot remove {self.root}/{name}") from e
 
 
+@contextmanager
+def small_batches(spark: SparkSession, rows: int = 1000):
+    """Fewer rows in a batch between JVM and Python, for actions on rows of several kilobytes."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, str(rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def training_ids(labelled: DataFrame, most: int) -> DataFrame:
     """A bounded, deterministic sample of labelled rows (doc_id, y): the `most` smallest by a
     hash of the id. The top-k keeps at most `most` rows of two numbers a task, so the result is small enough to broadcast."""

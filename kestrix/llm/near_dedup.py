@@ -5,8 +5,9 @@ circularly shifted by k, gives coordinate k. Texts with equal shingle sets are o
 copies never make pairs. Classes meet in band buckets; a bucket first links its members to one
 leader each round (a star, not all pairs), links are verified on the full sets, and connected
 components are formed. Only pairs of classes in the same bucket but in different components are
-then still open; they are all tested, so no link that banding finds is lost and large groups of
-copies cost as many tests as members.
+then still open. All of them are compared by their signatures, block by block within the bucket
+and without making rows of them; those whose signatures allow the similarity are verified. So no
+link is lost but by the odds below, and groups of copies cost as many tests as members.
 """
 
 from __future__ import annotations
@@ -19,10 +20,12 @@ import pandas as pd
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from .common import TOKEN, Workspace, documents, lower
+from .common import TOKEN, Workspace, documents, lower, small_batches
 
 DIM = 1 << 20
 BANDS, ROWS = 40, 6  # misses a pair of similarity 0.8 with probability (1 - 0.8**6)**40 = 5e-6
+SIGMAS = 5.0  # standard errors by which equal coordinates may fall short: misses 3e-7 of such pairs
+BLOCK = 512  # classes of a bucket that are compared with as many at a time
 _ODD = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5)]
 
 
@@ -85,17 +88,19 @@ def band_keys(sig: np.ndarray, bands: int, rows: int) -> np.ndarray:
 
 
 def sketch(docs: DataFrame, size: int = 4, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
-    """doc_id, n (shingles), set (128-bit name of the set, null if empty), keys (one a band)."""
+    """doc_id, n (shingles), set (128-bit name of the set, null if empty), keys (one a band), sig (the
+    last byte of each coordinate)."""
 
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for texts in batches:
             out = []
             for t in texts:
                 s = shingles(t, size)
-                out.append((len(s), xxhash.xxh3_128_digest(s.tobytes()), band_keys(signature(s, bands * rows), bands, rows)) if len(s) else (0, None, None))
-            yield pd.DataFrame(out, columns=["n", "set", "keys"])
+                sig = signature(s, bands * rows) if len(s) else None
+                out.append((len(s), xxhash.xxh3_128_digest(s.tobytes()), band_keys(sig, bands, rows), sig.astype(np.uint8).tobytes()) if len(s) else (0, None, None, None))
+            yield pd.DataFrame(out, columns=["n", "set", "keys", "sig"])
 
-    made = F.pandas_udf(run, "n bigint, set binary, keys array<bigint>")
+    made = F.pandas_udf(run, "n bigint, set binary, keys array<bigint>, sig binary")
     return documents(docs).select("doc_id", made("text").alias("r")).select("doc_id", "r.*")
 
 
@@ -123,19 +128,34 @@ def components(edges: DataFrame, ws: Workspace, at: str) -> DataFrame:
     return out if out is not None else left.select(F.col("a").alias("node"), F.col("b").alias("root"))
 
 
-def _verified(pairs: DataFrame, docs: DataFrame, classes: DataFrame, size: int, percent: int) -> DataFrame:
-    """Those pairs (a, b) of classes whose full sets meet 100 * intersection >= percent * union."""
-    wanted = classes.join(pairs.select(F.explode(F.array("a", "b")).alias("cid")).distinct(), "cid", "left_semi")
-    wanted = wanted.select("cid", "set", F.coalesce("doc_id", F.lit(-(1 << 63))).alias("id"))
+def _full_sets(docs: DataFrame, classes: DataFrame, cids: DataFrame, size: int) -> DataFrame:
+    """cid, sig, keys and the full set (hashes) of the classes that meet another in a bucket."""
+    null = F.lit(-(1 << 63))
+    wanted = classes.join(cids, "cid", "left_semi").select("cid", "set", "sig", "keys", F.coalesce("doc_id", null).alias("id"))
+
+    def full(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+        for texts, names in batches:
+            sets = ((shingles(t, size), name) for t, name in zip(texts, names))
+            yield pd.Series([s.tobytes() if xxhash.xxh3_128_digest(s.tobytes()) == name else None for s, name in sets], dtype=object)
+
+    texts = documents(docs).select(F.coalesce("doc_id", null).alias("id"), "text").join(wanted, "id")
+    # the function sees both sides of the join, so it runs after it, on candidates only
+    sets = texts.select("cid", "sig", "keys", F.pandas_udf(full, "binary")("text", "set").alias("hashes")).where("hashes is not null")
+    return sets.dropDuplicates(["cid"])  # rows that repeat an id and a set
+
+
+def least_equal(k: int, percent: int) -> int:
+    """Equal coordinates that a pair at the threshold has but for SIGMAS standard errors."""
+    p = percent / 100
+    return int(np.floor(k * (p - SIGMAS * np.sqrt(p * (1 - p) / k))))
 
-    def full(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        for texts in batches:
-            sets = [shingles(t, size) for t in texts]
-            yield pd.DataFrame({"made": [xxhash.xxh3_128_digest(s.tobytes()) for s in sets], "hashes": [s.tobytes() for s in sets]})
 
-    texts = documents(docs).select(F.coalesce("doc_id", F.lit(-(1 << 63))).alias("id"), "text").join(wanted, "id")
-    sets = texts.select("cid", "set", F.pandas_udf(full, "made binary, hashes binary")("text").alias("r")).where("r.made = set")
-    sets = sets.groupBy("cid").agg(F.first("r.hashes").alias("hashes"))  # rows that repeat an id and a set
+def _verified(pairs: DataFrame, sets: DataFrame, need: int, percent: int) -> DataFrame:
+    """Those pairs (a, b) whose signatures allow it and whose full sets meet 100 * intersection >= percent * union."""
+
+    def near(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+        for left, right in batches:
+            yield pd.Series([int((np.frombuffer(x, np.uint8) == np.frombuffer(y, np.uint8)).sum()) >= need for x, y in zip(left, right)], dtype=bool)
 
     def holds(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
         for left, right in batches:
@@ -148,10 +168,50 @@ def _verified(pairs: DataFrame, docs: DataFrame, classes: DataFrame, size: int,
                 out.append(100 * shared >= percent * (len(x) + len(y) - shared))
             yield pd.Series(out, dtype=bool)
 
-    held = pairs.join(sets.select(F.col("cid").alias("b"), F.col("hashes").alias("y")), "b").join(sets.select(F.col("cid").alias("a"), F.col("hashes").alias("x")), "a")
+    side = lambda c, value, name: sets.select(F.col("cid").alias(c), F.col(value).alias(name))
+    likely = pairs.join(side("b", "sig", "y"), "b").join(side("a", "sig", "x"), "a").where(F.pandas_udf(near, "boolean")("x", "y")).select("a", "b")
+    held = likely.join(side("b", "hashes", "y"), "b").join(side("a", "hashes", "x"), "a")
     return held.where(F.pandas_udf(holds, "boolean")("x", "y")).select("a", "b")
 
 
+def _open_pairs(told: DataFrame, sets: DataFrame, need: int, percent: int) -> DataFrame:
+    """Pairs (a, b) of classes that share a bucket but no component and whose sizes and signatures allow a link.
+
+    A bucket is cut into blocks of BLOCK classes or so; a group is a pair of blocks, so its memory is
+    bounded. Each pair comes from its first common bucket alone."""
+    sizes = told.groupBy("key").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
+    rows = told.join(sets.select("cid", "sig", "keys"), "cid").join(sizes, "key").withColumn("block", F.pmod(F.xxhash64("cid"), F.col("blocks")).cast("int"))
+    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
+    rows = rows.withColumn("other", other).select("key", F.least("block", "other").alias("x"), F.greatest("block", "other").alias("y"), "block", "cid", "n", "root", "sig", "keys")
+
+    def compare(group: pd.DataFrame) -> pd.DataFrame:
+        key, x, y = group["key"].iloc[0], group["x"].iloc[0], group["y"].iloc[0]
+        sig = np.array([np.frombuffer(b, np.uint8) for b in group["sig"]])
+        keys = np.array(group["keys"].tolist(), np.int64)
+        cid, n, root, block = (group[c].to_numpy() for c in ("cid", "n", "root", "block"))
+        left, right = (np.flatnonzero(block == x), np.flatnonzero(block == y)) if x != y else (np.arange(len(cid)), np.arange(len(cid)))
+        own = int((keys[0] == key).argmax())
+        out_a, out_b = [], []
+        for k in range(0, len(left), 64):
+            part = left[k : k + 64]
+            ok = (root[part, None] != root[None, right]) & (100 * np.minimum(n[part, None], n[None, right]) >= percent * np.maximum(n[part, None], n[None, right]))
+            if x == y:
+                ok &= cid[part, None] < cid[None, right]
+            i, j = np.nonzero(ok)
+            i, j = part[i], right[j]
+            for m in range(0, len(i), 8192):
+                p, q = i[m : m + 8192], j[m : m + 8192]
+                near = (sig[p] == sig[q]).sum(axis=1) >= need
+                p, q = p[near], q[near]
+                first = (keys[p] == keys[q]).argmax(axis=1) == own
+                out_a.append(np.minimum(cid[p[first]], cid[q[first]]))
+                out_b.append(np.maximum(cid[p[first]], cid[q[first]]))
+        flat = lambda v: np.concatenate(v) if v else np.empty(0, np.int64)
+        return pd.DataFrame({"a": flat(out_a), "b": flat(out_b)})
+
+    return rows.groupBy("key", "x", "y").applyInPandas(compare, "a bigint, b bigint")
+
+
 def near_duplicates(docs: DataFrame, size: int = 4, percent: int = 80, bands: int = BANDS, rows: int = ROWS, stars: int = 4) -> tuple[DataFrame, DataFrame]:
     """(rows, links): rows are doc_id, n_shingles, component_id, kept, one per input row; links are
     verified pairs of sets, as the least doc_ids of the two, enough to connect each component.
@@ -161,7 +221,7 @@ def near_duplicates(docs: DataFrame, size: int = 4, percent: int = 80, bands: in
     that repeat an id and a text have the same result."""
     ws = Workspace(docs.sparkSession, "near")
     all_rows = ws.save(sketch(docs, size, bands, rows), "sketch")
-    classes = all_rows.where("n > 0").groupBy("set").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("keys").alias("keys"))
+    classes = all_rows.where("n > 0").groupBy("set").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("keys").alias("keys"), F.first("sig").alias("sig"))
     classes = ws.save(classes.withColumn("cid", F.monotonically_increasing_id()), "classes")
     each = classes.select("cid", "n", F.explode("keys").alias("key"))
     shared = each.groupBy("key").agg(F.min(F.struct("cid", "n")).alias("lead"), F.max("cid").alias("last")).where("lead.cid != last")
@@ -169,8 +229,12 @@ def near_duplicates(docs: DataFrame, size: int = 4, percent: int = 80, bands: in
     fits = lambda x, y: F.lit(100) * F.least(x, y) >= F.lit(percent) * F.greatest(x, y)
     pairs = members.where(F.col("cid") != F.col("lead.cid")).where(fits(F.col("n"), F.col("lead.n"))).select(F.col("lead.cid").alias("a"), F.col("cid").alias("b")).distinct()
     pairs = ws.save(pairs, "pairs0")
-    tested, links = pairs, ws.save(_verified(pairs, docs, classes, size, percent), "links0")
-    comp = components(links, ws, "comp0")
+    with small_batches(docs.sparkSession):
+        sets = ws.save(_full_sets(docs, classes, members.select("cid").distinct(), size), "sets")
+    need = least_equal(bands * rows, percent)
+    with small_batches(docs.sparkSession):
+        tested, links = pairs, ws.save(_verified(pairs, sets, need, percent), "links0")
+    comp, before = components(links, ws, "comp0"), None
     for k in range(1, stars + 2):
         # buckets that still hold several components, and how many pairs of different ones they have
         told = members.select("key", "cid", "n").join(comp.withColumnRenamed("node", "cid"), "cid", "left").withColumn("root", F.coalesce("root", "cid"))
@@ -181,17 +245,19 @@ def near_duplicates(docs: DataFrame, size: int = 4, percent: int = 80, bands: in
         if not n:
             break
         told = ws.save(told.join(open_.select("key"), "key"), f"told{k}")
-        final = k > stars or most <= 4 * n
-        if not final:  # many pairs to a member: another star first, led by who has most links
+        # many pairs to a member: another star first, while stars still close a fifth of what is open
+        final = k > stars or most <= 4 * n or before is not None and most > 0.8 * before
+        before = most
+        if not final:  # led by who has most links
             degree = links.select(F.explode(F.array("a", "b")).alias("cid")).groupBy("cid").agg(F.count("*").alias("links"))
             ranked = told.join(degree, "cid", "left").select("key", F.struct(F.coalesce("links", F.lit(0)).alias("links"), F.xxhash64("cid", F.lit(k)).alias("h"), "cid", "n", "root").alias("s"))
             lead = ranked.groupBy("key").agg(F.max("s").alias("s"))
             cand = told.join(lead, "key").where((F.col("root") != F.col("s.root")) & fits(F.col("n"), F.col("s.n"))).select(F.least("cid", "s.cid").alias("a"), F.greatest("cid", "s.cid").alias("b"))
-        else:  # all that is open
-            other = told.select(F.col("cid").alias("b"), "key", F.col("n").alias("n2"), F.col("root").alias("root2"))
-            cand = told.join(other, "key").where("cid < b and root != root2").where(fits(F.col("n"), F.col("n2"))).select(F.col("cid").alias("a"), "b")
+        else:
+            cand = _open_pairs(told, sets, need, percent)
         pairs = ws.save(cand.distinct().join(tested, ["a", "b"], "left_anti"), f"pairs{k}")
-        found = ws.save(_verified(pairs, docs, classes, size, percent), f"links{k}")
+        with small_batches(docs.sparkSession):
+            found = ws.save(_verified(pairs, sets, need, percent), f"links{k}")
         tested, links = tested.unionByName(pairs), links.unionByName(found)
         comp = components(links, ws, f"comp{k}")
         if final:
