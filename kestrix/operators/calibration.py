@@ -41,8 +41,8 @@ def brier(df: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
 def brier_decomposition(df: DataFrame, bins: int = 10) -> DataFrame:
     """uncertainty, resolution, reliability and their sum over equal bins."""
     b = binned(df, uniform_edges(bins))
-    total = b.agg(F.sum("n").alias("N"), (F.sum(F.col("n") * F.col("acc")) / F.sum("n")).alias("base"))
-    n = F.col("n") / F.col("N")
+    total = b.agg(F.sum("n").alias("total"), (F.sum(F.col("n") * F.col("acc")) / F.sum("n")).alias("base"))
+    n = F.col("n") / F.col("total")
     parts = b.crossJoin(F.broadcast(total)).agg(F.max(F.col("base") * (1 - F.col("base"))).alias("uncertainty"), F.sum(n * F.pow(F.col("acc") - F.col("base"), 2)).alias("resolution"), F.sum(n * F.pow(F.col("conf") - F.col("acc"), 2)).alias("reliability"))
     return parts.withColumn("brier", F.col("uncertainty") - F.col("resolution") + F.col("reliability"))
 
@@ -65,9 +65,9 @@ def reliability(df: DataFrame, bins: int = 10) -> DataFrame:
 
 def wilson(successes: Column, trials: Column, level: float = 0.95) -> tuple[Column, Column]:
     """Wilson interval, clamped to [0, 1]; (0, 1) without trials."""
-    z = NormalDist().inv_cdf((1 + level) / 2)
-    p, z2 = successes / F.nullif(trials, F.lit(0)), z * z
-    center, width = (p + z2 / (2 * trials)) / (1 + z2 / trials), z * F.sqrt(p * (1 - p) / trials + z2 / (4 * trials * trials)) / (1 + z2 / trials)
+    z, n = NormalDist().inv_cdf((1 + level) / 2), F.nullif(trials, F.lit(0))
+    p, z2 = successes / n, z * z
+    center, width = (p + z2 / (2 * n)) / (1 + z2 / n), z * F.sqrt(p * (1 - p) / n + z2 / (4 * n * n)) / (1 + z2 / n)
     return F.coalesce(F.greatest(center - width, F.lit(0.0)), F.lit(0.0)), F.coalesce(F.least(center + width, F.lit(1.0)), F.lit(1.0))
 
 
@@ -168,8 +168,8 @@ def isotonic(df: DataFrame) -> DataFrame:
 
     kind = "low double, high double, n double, s double"
     ties = df.groupBy("p").agg(F.count("*").cast("double").alias("n"), F.sum("y").cast("double").alias("s")).select(F.col("p").alias("low"), F.col("p").alias("high"), "n", "s")
-    parts = ties.groupBy(score_bucket(F.col("low")).alias("b")).applyInPandas(lambda rows: pool(rows), kind)
-    return parts.groupBy(F.lit(0)).applyInPandas(lambda rows: pool(rows), kind).select("low", "high", F.col("n").cast("bigint").alias("n"), (F.col("s") / F.col("n")).alias("value"))
+    parts = ties.withColumn("b", score_bucket(F.col("low"))).groupBy("b").applyInPandas(lambda rows: pool(rows), kind)
+    return parts.withColumn("b", F.lit(0)).groupBy("b").applyInPandas(lambda rows: pool(rows), kind).select("low", "high", F.col("n").cast("bigint").alias("n"), (F.col("s") / F.col("n")).alias("value"))
 
 
 def probability_faults(df: DataFrame) -> DataFrame:

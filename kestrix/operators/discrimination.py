@@ -15,16 +15,16 @@ from .windows import row_numbers, running_totals, score_bucket
 
 
 def by_score(df: DataFrame) -> DataFrame:
-    """Distinct scores with cumulative tp and fp from the highest down, and the totals P and N."""
+    """Distinct scores with cumulative tp and fp from the highest down, and the totals n_pos and n_neg."""
     ties = df.groupBy("p").agg(F.sum("y").cast("bigint").alias("pos"), F.sum(1 - F.col("y")).cast("bigint").alias("neg"))
     cum = running_totals(ties, score_bucket(F.col("p")), [F.col("p").desc()], {"tp": F.col("pos"), "fp": F.col("neg")})
-    total = ties.agg(F.sum("pos").alias("P"), F.sum("neg").alias("N"))
+    total = ties.agg(F.sum("pos").alias("n_pos"), F.sum("neg").alias("n_neg"))
     return cum.crossJoin(F.broadcast(total))
 
 
 def roc_curve(df: DataFrame) -> DataFrame:
     """fpr, tpr at each distinct threshold, with the origin (threshold null)."""
-    points = by_score(df).select(F.col("p").alias("threshold"), (F.col("fp") / F.col("N")).alias("fpr"), (F.col("tp") / F.col("P")).alias("tpr"))
+    points = by_score(df).select(F.col("p").alias("threshold"), (F.col("fp") / F.col("n_neg")).alias("fpr"), (F.col("tp") / F.col("n_pos")).alias("tpr"))
     return points.unionByName(df.sparkSession.range(1).select(F.lit(None).cast("double").alias("threshold"), F.lit(0.0).alias("fpr"), F.lit(0.0).alias("tpr")))
 
 
@@ -47,13 +47,13 @@ def roc_auc(df: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
 def thresholds(df: DataFrame) -> DataFrame:
     """At each distinct threshold: tp, fp, fn, tn, tpr, fpr, precision, youden, corner (distance to (0, 1))."""
     s = by_score(df)
-    tpr, fpr = F.col("tp") / F.col("P"), F.col("fp") / F.col("N")
-    return s.select(F.col("p").alias("threshold"), "tp", "fp", (F.col("P") - F.col("tp")).alias("fn"), (F.col("N") - F.col("fp")).alias("tn"), tpr.alias("tpr"), fpr.alias("fpr"), (F.col("tp") / (F.col("tp") + F.col("fp"))).alias("precision"), (tpr - fpr).alias("youden"), F.sqrt(F.pow(fpr, 2) + F.pow(1 - tpr, 2)).alias("corner"))
+    tpr, fpr = F.col("tp") / F.col("n_pos"), F.col("fp") / F.col("n_neg")
+    return s.select(F.col("p").alias("threshold"), "tp", "fp", (F.col("n_pos") - F.col("tp")).alias("fn"), (F.col("n_neg") - F.col("fp")).alias("tn"), tpr.alias("tpr"), fpr.alias("fpr"), (F.col("tp") / (F.col("tp") + F.col("fp"))).alias("precision"), (tpr - fpr).alias("youden"), F.sqrt(F.pow(fpr, 2) + F.pow(1 - tpr, 2)).alias("corner"))
 
 
 def pr_curve(df: DataFrame) -> DataFrame:
     """precision and recall at each distinct threshold, with (1, 0) in front (threshold null)."""
-    points = by_score(df).select(F.col("p").alias("threshold"), (F.col("tp") / (F.col("tp") + F.col("fp"))).alias("precision"), (F.col("tp") / F.col("P")).alias("recall"))
+    points = by_score(df).select(F.col("p").alias("threshold"), (F.col("tp") / (F.col("tp") + F.col("fp"))).alias("precision"), (F.col("tp") / F.col("n_pos")).alias("recall"))
     return points.unionByName(df.sparkSession.range(1).select(F.lit(None).cast("double").alias("threshold"), F.lit(1.0).alias("precision"), F.lit(0.0).alias("recall")))
 
 
@@ -72,7 +72,7 @@ def trapezoid(points: DataFrame, x: str, y: str, by: str, bucket: Column, fallin
 
 def pr_auc(df: DataFrame) -> DataFrame:
     """Trapezoid over recall; the first point is (recall 0, precision 1)."""
-    s = by_score(df).select("p", (F.col("tp") / F.col("P")).alias("recall"), (F.col("tp") / (F.col("tp") + F.col("fp"))).alias("precision"))
+    s = by_score(df).select("p", (F.col("tp") / F.col("n_pos")).alias("recall"), (F.col("tp") / (F.col("tp") + F.col("fp"))).alias("precision"))
     first = df.sparkSession.range(1).select(F.lit(2.0).alias("p"), F.lit(0.0).alias("recall"), F.lit(1.0).alias("precision"))
     bucket = F.when(F.col("p") > 1, F.lit(-10_000)).otherwise(score_bucket(F.col("p")))
     return trapezoid(s.unionByName(first), "recall", "precision", "p", bucket, falling=True).withColumnRenamed("area", "pr_auc")
@@ -109,7 +109,7 @@ def threshold_grid(df: DataFrame, steps: int) -> DataFrame:
     grid = df.sparkSession.range(steps + 1).select(F.col("id").cast("int").alias("k")).join(F.broadcast(cells), "k", "left")
     above = Window.orderBy(F.col("k").desc()).rowsBetween(Window.unboundedPreceding, 0)  # steps + 1 rows
     every = Window.partitionBy()
-    return grid.select("k", (F.col("k") / steps).alias("threshold"), *[F.coalesce(F.sum(c).over(above), F.lit(0)).alias(n) for c, n in (("pos", "tp"), ("neg", "fp"))], F.sum("pos").over(every).alias("P"), F.sum("neg").over(every).alias("N"))
+    return grid.select("k", (F.col("k") / steps).alias("threshold"), *[F.coalesce(F.sum(c).over(above), F.lit(0)).alias(n) for c, n in (("pos", "tp"), ("neg", "fp"))], F.sum("pos").over(every).alias("n_pos"), F.sum("neg").over(every).alias("n_neg"))
 
 
 def lift_curve(df: DataFrame, bins: int = 10) -> DataFrame:
@@ -145,9 +145,9 @@ def lift_per_bin(df: DataFrame, bins: int = 10) -> DataFrame:
 def concordance(df: DataFrame) -> DataFrame:
     """Shares of concordant, discordant and tied pairs, and Somers' D, from counts by score."""
     s = by_score(df)
-    low = F.col("N") - F.col("fp")  # negatives with a lower score
+    low = F.col("n_neg") - F.col("fp")  # negatives with a lower score
     tied = F.col("neg")
-    pairs = F.max(F.col("P").cast("double") * F.col("N"))
+    pairs = F.max(F.col("n_pos").cast("double") * F.col("n_neg"))
     c, t = F.sum((F.col("pos") * low).cast("double")), F.sum((F.col("pos") * tied).cast("double"))
     return s.agg((c / pairs).alias("concordant"), ((pairs - c - t) / pairs).alias("discordant"), (t / pairs).alias("tied"), ((c - (pairs - c - t)) / pairs).alias("somers_d"))
 
@@ -158,8 +158,8 @@ def delong(df: DataFrame) -> DataFrame:
     def placed(d: DataFrame, p: str, name: str) -> DataFrame:
         ties = d.groupBy(F.col(p).alias("p")).agg(F.sum("y").cast("bigint").alias("pos"), F.sum(1 - F.col("y")).cast("bigint").alias("neg"))
         cum = running_totals(ties, score_bucket(F.col("p")), [F.col("p").desc()], {"cp": F.col("pos"), "cn": F.col("neg")})
-        total = ties.agg(F.sum("pos").alias("P"), F.sum("neg").alias("N"))
-        cum = cum.crossJoin(F.broadcast(total)).select(F.col("p").alias(p), ((F.col("N") - F.col("cn") + F.col("neg") / 2) / F.col("N")).alias(f"{name}_pos"), ((F.col("cp") - F.col("pos") / 2) / F.col("P")).alias(f"{name}_neg"))
+        total = ties.agg(F.sum("pos").alias("n_pos"), F.sum("neg").alias("n_neg"))
+        cum = cum.crossJoin(F.broadcast(total)).select(F.col("p").alias(p), ((F.col("n_neg") - F.col("cn") + F.col("neg") / 2) / F.col("n_neg")).alias(f"{name}_pos"), ((F.col("cp") - F.col("pos") / 2) / F.col("n_pos")).alias(f"{name}_neg"))
         return d.join(cum, p).withColumn(name, F.when(F.col("y") == 1, F.col(f"{name}_pos")).otherwise(F.col(f"{name}_neg"))).drop(f"{name}_pos", f"{name}_neg")
 
     v = placed(placed(df, "p", "v1"), "p2", "v2")

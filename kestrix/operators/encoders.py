@@ -80,9 +80,9 @@ def fit_frequency(df: DataFrame, category: str, share: bool = True, least: float
 
 def fit_woe(df: DataFrame, category: str, y: str, add: float = 0.5) -> DataFrame:
     """Weight of evidence ln(share of positives / share of negatives), `add` to each count, and its part of the information value."""
-    by = df.groupBy(category).agg((F.sum(y) + add).alias("p"), (F.sum(1 - F.col(y)) + add).alias("n"))
-    every = by.agg(F.sum("p").alias("P"), F.sum("n").alias("N"))
-    dp, dn = F.col("p") / F.col("P"), F.col("n") / F.col("N")
+    by = df.groupBy(category).agg((F.sum(y) + add).alias("pos"), (F.sum(1 - F.col(y)) + add).alias("neg"))
+    every = by.agg(F.sum("pos").alias("n_pos"), F.sum("neg").alias("n_neg"))
+    dp, dn = F.col("pos") / F.col("n_pos"), F.col("neg") / F.col("n_neg")
     return by.crossJoin(F.broadcast(every)).select(category, F.log(dp / dn).alias("encoded"), ((dp - dn) * F.log(dp / dn)).alias("iv"))
 
 

@@ -34,8 +34,8 @@ def leader_clusters(names: DataFrame, name: str, least: float = 0.8) -> DataFram
     Scores are made by a blocked join; the greedy order is inherently one after the other, so it runs on the
     links of distinct names, whose number is checked."""
     spark = names.sparkSession
-    counts = names.groupBy(name).agg(F.count("*").alias("n")).where(F.col(name).isNotNull())
-    links = pairs_by_token(counts, counts, name, name).where("a != b").withColumn("score", token_sort_similarity(F.col("a"), F.col("b"))).where(F.col("score") >= least)
+    counts = names.where(F.col(name).isNotNull()).groupBy(F.col(name).alias("name")).agg(F.count("*").alias("frequency"))
+    links = pairs_by_token(counts, counts, "name", "name").where("a != b").withColumn("score", token_sort_similarity(F.col("a"), F.col("b"))).where(F.col("score") >= least)
     if links.limit(2_000_001).count() > 2_000_000 or counts.limit(500_001).count() > 500_000:
         raise ValueError("too many distinct names to cluster on one machine")
     near: dict[str, list[tuple[str, float]]] = {}

@@ -187,14 +187,14 @@ _GRIDSQL = "c AS (SELECT CAST(least(floor(p * {n} + 1e-9), {n}) AS INTEGER) AS k
 
 @family.add(f"WITH {PRED}, {_GRIDSQL.format(n=100, m=101)} SELECT round(threshold, 6) AS threshold, round(2 * tp / (tp + fp + P_), 6) AS f1 FROM g ORDER BY 2 * tp / (tp + fp + P_) DESC, g.threshold LIMIT 1")
 def best_f1_grid(spark, sf):
-    g = D.threshold_grid(predictions(spark, sf), 100).withColumn("f1", 2 * F.col("tp") / (F.col("tp") + F.col("fp") + F.col("P")))
+    g = D.threshold_grid(predictions(spark, sf), 100).withColumn("f1", 2 * F.col("tp") / (F.col("tp") + F.col("fp") + F.col("n_pos")))
     return rounded(g.orderBy(F.col("f1").desc(), "threshold").limit(1).select("threshold", "f1"))
 
 
 @family.add(f"WITH {PRED}, {_GRIDSQL.format(n=100, m=101)} SELECT round(threshold, 6) AS threshold, tp, fp, round(CASE WHEN tp + fp = 0 THEN 1 ELSE tp / (tp + fp) END, 6) AS precision, round(tp / P_, 6) AS recall FROM g WHERE k BETWEEN 1 AND 99")
 def threshold_metrics(spark, sf):
     g = D.threshold_grid(predictions(spark, sf), 100).where(F.col("k").between(1, 99))
-    return rounded(g.select("threshold", "tp", "fp", F.coalesce(F.try_divide(F.col("tp"), F.col("tp") + F.col("fp")), F.lit(1.0)).alias("precision"), (F.col("tp") / F.col("P")).alias("recall")))
+    return rounded(g.select("threshold", "tp", "fp", F.coalesce(F.try_divide(F.col("tp"), F.col("tp") + F.col("fp")), F.lit(1.0)).alias("precision"), (F.col("tp") / F.col("n_pos")).alias("recall")))
 
 
 _CONF = "SELECT count(*) FILTER (p >= 0.5 AND y = 1) AS tp, count(*) FILTER (p >= 0.5 AND y = 0) AS fp, count(*) FILTER (p < 0.5 AND y = 1) AS fn, count(*) FILTER (p < 0.5 AND y = 0) AS tn FROM pred"

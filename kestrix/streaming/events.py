@@ -10,6 +10,7 @@ def read_stream(spark: SparkSession, path: str, schema, per_trigger: int = 1) ->
 
 
 def _marked(df: DataFrame, late: str) -> DataFrame:
+    df = df.withColumn("ts", F.col("ts").cast("timestamp"))  # a watermark is on a timestamp with time zone
     return df.withWatermark("ts", late) if df.isStreaming else df
 
 
