@@ -20,26 +20,22 @@ import pandas as pd
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from .common import TOKEN, Workspace, documents, lower, small_batches
+from .common import Workspace, documents, small_batches
 
 DIM = 1 << 20
 BANDS, ROWS = 40, 6  # misses a pair of similarity 0.8 with probability (1 - 0.8**6)**40 = 5e-6
 SIGMAS = 5.0  # standard errors by which equal coordinates may fall short: misses 3e-7 of such pairs
 BLOCK = 512  # classes of a bucket that are compared with as many at a time
+SKETCH = 2048  # coordinates, 4 bits each, of the finer signatures of classes that meet another
 _ODD = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5)]
-
-
-class _Words(dict):
-    """64-bit hash by word; emptied when large."""
-
-    def __missing__(self, word: str) -> int:
-        if len(self) > 400_000:
-            self.clear()
-        self[word] = value = xxhash.xxh3_64_intdigest(word.encode("utf-8", "surrogatepass"))
-        return value
-
-
-_words = _Words()
+_SPACE = np.zeros(256, bool)
+_SPACE[[9, 10, 11, 12, 13, 32]] = True
+_BYTES = np.random.Generator(np.random.PCG64(7)).integers(1, 1 << 63, 256, dtype=np.uint64)
+_BYTES[65:91] = _BYTES[97:123]  # A-Z count as a-z
+_SPAN = 1 << 16  # bytes hashed at a time
+_BASE = 0x5851F42D4C957F2D
+_POWER, _INVERSE = (np.cumprod(np.where(np.arange(_SPAN + 1) > 0, np.uint64(x), np.uint64(1)), dtype=np.uint64) for x in (_BASE, pow(_BASE, -1, 1 << 64)))
+_EQUAL = np.array([(x & 15 == 0) + (x >> 4 == 0) for x in range(256)], np.uint8)  # equal halves of two bytes, by their xor
 
 
 def _mix(h: np.ndarray) -> np.ndarray:
@@ -47,21 +43,46 @@ def _mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(29))
 
 
+def word_hashes(text: str) -> np.ndarray:
+    """A 64-bit hash of each run without ASCII white space, A-Z taken as a-z.
+
+    A word's hash is a polynomial of its bytes modulo 2**64, found for all words of a span at once
+    from running sums; words of 256 bytes or more are hashed one by one."""
+    raw = np.frombuffer(text.encode("utf-8", "surrogatepass"), np.uint8)
+    edge = np.diff(np.concatenate([[True], _SPACE[raw], [True]]).view(np.int8))
+    first, last = np.flatnonzero(edge == -1), np.flatnonzero(edge == 1)
+    out = np.empty(len(first), np.uint64)
+    long = np.flatnonzero(last - first >= 256)
+    k = 0
+    while k < len(first):
+        n = int(np.searchsorted(last, first[k] + _SPAN, "right"))  # words that end within the span
+        if n > k:
+            low, high = int(first[k]), int(last[n - 1])
+            sums = np.zeros(high - low + 1, np.uint64)
+            np.cumsum(_BYTES[raw[low:high]] * _POWER[: high - low], out=sums[1:])
+            at = first[k:n] - low
+            out[k:n] = (sums[last[k:n] - low] - sums[at]) * _INVERSE[at] + (last[k:n] - first[k:n]).astype(np.uint64) * _ODD[3]
+        k = max(n, k + 1)  # a word longer than a span is one of the long ones
+    for k in long:
+        out[k] = xxhash.xxh3_64_intdigest(bytes(raw[first[k] : last[k]]).lower())
+    return _mix(out)
+
+
 def shingles(text: str, size: int = 4) -> np.ndarray:
     """Sorted distinct 64-bit hashes of the runs of `size` words; of the whole sequence if shorter."""
-    words = TOKEN.findall(lower(text))
-    if not words:
-        return np.empty(0, np.uint64)
-    if len(words) < size:
-        return np.array([xxhash.xxh3_64_intdigest("\0".join(words).encode("utf-8", "surrogatepass"), seed=len(words))], np.uint64)
-    h = np.fromiter(map(_words.__getitem__, words), np.uint64, len(words))
+    h = word_hashes(text)
+    if len(h) == 0:
+        return h
+    if len(h) < size:
+        return np.array([xxhash.xxh3_64_intdigest(h.tobytes(), seed=len(h))], np.uint64)
     out = np.zeros(len(h) - size + 1, np.uint64)
     for k in range(size):
         out = (out ^ (out >> np.uint64(27))) * _ODD[1] + h[k : len(h) - size + 1 + k] * _ODD[k % 4]
-    return np.unique(_mix(out))
+    out = np.sort(_mix(out))
+    return out[np.concatenate([[True], out[1:] != out[:-1]])]
 
 
-@lru_cache(1)
+@lru_cache(2)
 def _permutations(k: int) -> tuple[np.ndarray, np.ndarray]:
     rng = np.random.Generator(np.random.PCG64(20240229))
     sigma, pi = rng.permutation(DIM).astype(np.uint32), rng.permutation(DIM).astype(np.uint32)
@@ -88,19 +109,17 @@ def band_keys(sig: np.ndarray, bands: int, rows: int) -> np.ndarray:
 
 
 def sketch(docs: DataFrame, size: int = 4, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
-    """doc_id, n (shingles), set (128-bit name of the set, null if empty), keys (one a band), sig (the
-    last byte of each coordinate)."""
+    """doc_id, n (shingles), set (128-bit name of the set, null if empty), keys (one a band)."""
 
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for texts in batches:
             out = []
             for t in texts:
                 s = shingles(t, size)
-                sig = signature(s, bands * rows) if len(s) else None
-                out.append((len(s), xxhash.xxh3_128_digest(s.tobytes()), band_keys(sig, bands, rows), sig.astype(np.uint8).tobytes()) if len(s) else (0, None, None, None))
-            yield pd.DataFrame(out, columns=["n", "set", "keys", "sig"])
+                out.append((len(s), xxhash.xxh3_128_digest(s.tobytes()), band_keys(signature(s, bands * rows), bands, rows)) if len(s) else (0, None, None))
+            yield pd.DataFrame(out, columns=["n", "set", "keys"])
 
-    made = F.pandas_udf(run, "n bigint, set binary, keys array<bigint>, sig binary")
+    made = F.pandas_udf(run, "n bigint, set binary, keys array<bigint>")
     return documents(docs).select("doc_id", made("text").alias("r")).select("doc_id", "r.*")
 
 
@@ -129,25 +148,36 @@ def components(edges: DataFrame, ws: Workspace, at: str) -> DataFrame:
 
 
 def _full_sets(docs: DataFrame, classes: DataFrame, cids: DataFrame, size: int) -> DataFrame:
-    """cid, sig, keys and the full set (hashes) of the classes that meet another in a bucket."""
+    """cid, keys, fine signature (sig) and the full set (hashes) of the classes that meet another in a bucket."""
     null = F.lit(-(1 << 63))
-    wanted = classes.join(cids, "cid", "left_semi").select("cid", "set", "sig", "keys", F.coalesce("doc_id", null).alias("id"))
+    wanted = classes.join(cids, "cid", "left_semi").select("cid", "set", "keys", F.coalesce("doc_id", null).alias("id"))
 
-    def full(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+    def full(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
         for texts, names in batches:
-            sets = ((shingles(t, size), name) for t, name in zip(texts, names))
-            yield pd.Series([s.tobytes() if xxhash.xxh3_128_digest(s.tobytes()) == name else None for s, name in sets], dtype=object)
+            out = []
+            for text, name in zip(texts, names):
+                s = shingles(text, size)
+                raw = s.tobytes()
+                out.append((fine(s).tobytes(), raw) if xxhash.xxh3_128_digest(raw) == name else (None, None))
+            yield pd.DataFrame(out, columns=["sig", "hashes"])
 
     texts = documents(docs).select(F.coalesce("doc_id", null).alias("id"), "text").join(wanted, "id")
     # the function sees both sides of the join, so it runs after it, on candidates only
-    sets = texts.select("cid", "sig", "keys", F.pandas_udf(full, "binary")("text", "set").alias("hashes")).where("hashes is not null")
-    return sets.dropDuplicates(["cid"])  # rows that repeat an id and a set
+    sets = texts.select("cid", "keys", F.pandas_udf(full, "sig binary, hashes binary")("text", "set").alias("r")).where("r.hashes is not null")
+    return sets.select("cid", "keys", "r.*").dropDuplicates(["cid"])  # rows that repeat an id and a set
+
+
+def fine(found: np.ndarray) -> np.ndarray:
+    """The last 4 bits of SKETCH coordinates, two to a byte."""
+    s = (signature(found, SKETCH) & np.uint32(15)).astype(np.uint8)
+    return s[::2] | (s[1::2] << np.uint8(4))
 
 
-def least_equal(k: int, percent: int) -> int:
-    """Equal coordinates that a pair at the threshold has but for SIGMAS standard errors."""
-    p = percent / 100
-    return int(np.floor(k * (p - SIGMAS * np.sqrt(p * (1 - p) / k))))
+def least_equal(percent: int) -> int:
+    """Equal coordinates of fine signatures that a pair at the threshold has but for SIGMAS standard
+    errors; those that differ have equal bits one time in 16."""
+    q = percent / 100 + (1 - percent / 100) / 16
+    return int(np.floor(SKETCH * (q - SIGMAS * np.sqrt(q * (1 - q) / SKETCH))))
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, need: int, percent: int) -> DataFrame:
@@ -155,7 +185,7 @@ def _verified(pairs: DataFrame, sets: DataFrame, need: int, percent: int) -> Dat
 
     def near(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
         for left, right in batches:
-            yield pd.Series([int((np.frombuffer(x, np.uint8) == np.frombuffer(y, np.uint8)).sum()) >= need for x, y in zip(left, right)], dtype=bool)
+            yield pd.Series([int(_EQUAL[np.frombuffer(x, np.uint8) ^ np.frombuffer(y, np.uint8)].sum()) >= need for x, y in zip(left, right)], dtype=bool)
 
     def holds(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
         for left, right in batches:
@@ -199,9 +229,9 @@ def _open_pairs(told: DataFrame, sets: DataFrame, need: int, percent: int) -> Da
                 ok &= cid[part, None] < cid[None, right]
             i, j = np.nonzero(ok)
             i, j = part[i], right[j]
-            for m in range(0, len(i), 8192):
-                p, q = i[m : m + 8192], j[m : m + 8192]
-                near = (sig[p] == sig[q]).sum(axis=1) >= need
+            for m in range(0, len(i), 2048):
+                p, q = i[m : m + 2048], j[m : m + 2048]
+                near = _EQUAL[sig[p] ^ sig[q]].sum(axis=1) >= need
                 p, q = p[near], q[near]
                 first = (keys[p] == keys[q]).argmax(axis=1) == own
                 out_a.append(np.minimum(cid[p[first]], cid[q[first]]))
@@ -221,7 +251,7 @@ def near_duplicates(docs: DataFrame, size: int = 4, percent: int = 80, bands: in
     that repeat an id and a text have the same result."""
     ws = Workspace(docs.sparkSession, "near")
     all_rows = ws.save(sketch(docs, size, bands, rows), "sketch")
-    classes = all_rows.where("n > 0").groupBy("set").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("keys").alias("keys"), F.first("sig").alias("sig"))
+    classes = all_rows.where("n > 0").groupBy("set").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("keys").alias("keys"))
     classes = ws.save(classes.withColumn("cid", F.monotonically_increasing_id()), "classes")
     each = classes.select("cid", "n", F.explode("keys").alias("key"))
     shared = each.groupBy("key").agg(F.min(F.struct("cid", "n")).alias("lead"), F.max("cid").alias("last")).where("lead.cid != last")
@@ -231,7 +261,7 @@ def near_duplicates(docs: DataFrame, size: int = 4, percent: int = 80, bands: in
     pairs = ws.save(pairs, "pairs0")
     with small_batches(docs.sparkSession):
         sets = ws.save(_full_sets(docs, classes, members.select("cid").distinct(), size), "sets")
-    need = least_equal(bands * rows, percent)
+    need = least_equal(percent)
     with small_batches(docs.sparkSession):
         tested, links = pairs, ws.save(_verified(pairs, sets, need, percent), "links0")
     comp, before = components(links, ws, "comp0"), None
