@@ -31,8 +31,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def r(c: Column | str, digits: int = 6) -> Column:
-    """Rounded for comparison, under the column's own name if given by name."""
-    return F.round(F.col(c), digits).alias(c) if isinstance(c, str) else F.round(c, digits)
+    """Rounded for comparison (never -0.0), under the column's own name if given by name."""
+    return (F.round(F.col(c), digits) + 0.0).alias(c) if isinstance(c, str) else F.round(c, digits) + 0.0
 
 
 def rounded(df: DataFrame, digits: int = 6) -> DataFrame:

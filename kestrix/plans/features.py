@@ -141,14 +141,14 @@ def polynomial(spark, sf):
 
 
 def _z(c: str) -> str:
-    return f"SELECT '{c}' AS name, count(*) FILTER ({c} IS NULL) AS nulls, count(*) FILTER ({c} = 0) AS zeros, round(avg({c}), 6) AS mean, round(stddev_pop({c}), 6) AS std, stddev_pop({c}) < 1e-10 AS is_constant, count(*) FILTER (abs({c} - (SELECT avg({c}) FROM n)) > 3 * (SELECT stddev_pop({c}) FROM n) AND (SELECT stddev_pop({c}) FROM n) >= 1e-10) AS outliers FROM n"
+    return f"SELECT '{c}' AS name, count(*) FILTER ({c} IS NULL) AS nulls, count(*) FILTER ({c} = 0) AS zeros, round(avg({c}), 3) AS mean, round(stddev_pop({c}), 3) AS std, stddev_pop({c}) < 1e-10 AS is_constant, count(*) FILTER (abs({c} - (SELECT avg({c}) FROM n)) > 3 * (SELECT stddev_pop({c}) FROM n) AND (SELECT stddev_pop({c}) FROM n) >= 1e-10) AS outliers FROM n"
 
 
-@family.add("WITH n AS (SELECT l_quantity AS q, l_discount AS d, 1.0 AS k, l_quantity ** 6 AS o FROM lineitem) " + " UNION ALL ".join(_z(c) for c in "qdko"))
+@family.add("WITH n AS (SELECT l_quantity AS q, l_discount AS d, 1.0 AS k, l_quantity ** 2 AS o FROM lineitem) " + " UNION ALL ".join(_z(c) for c in "qdko"))
 def constant_columns(spark, sf):
-    rows = _numeric(spark, sf).select("q", "d", F.lit(1.0).alias("k"), F.pow("q", F.lit(6)).alias("o"))
+    rows = _numeric(spark, sf).select("q", "d", F.lit(1.0).alias("k"), F.pow("q", F.lit(2)).alias("o"))
     out = X.column_report(rows, ["q", "d", "k", "o"])
-    return out.withColumn("mean", F.round("mean", 6)).withColumn("std", F.round("std", 6))
+    return out.withColumn("mean", F.round("mean", 3)).withColumn("std", F.round("std", 3))
 
 
 @family.add("WITH s AS (SELECT avg(o_totalprice) AS m, stddev_pop(o_totalprice) AS s FROM orders) SELECT count(*) FILTER (abs(o_totalprice - m) > 1.5 * s) AS n FROM orders, s")
@@ -168,7 +168,7 @@ def sparsity(spark, sf):
     return rounded(X.sparsity(_numeric(spark, sf), ["d", "t"]))
 
 
-@family.add(f"WITH s AS (SELECT avg(p_size) AS m, stddev_pop(p_size) AS s FROM part) SELECT p_partkey, 1.0 AS intercept, round((p_size - m) / s, 6) AS p_size, {', '.join(f'CAST(p_type = {chr(39)}{t}{chr(39)} AS DOUBLE) AS p_type_{t}' for t in _TYPES[1:])}, round((p_size - m) / s * CAST(p_type = 'SMALL' AS DOUBLE), 6) AS p_size_x_p_type_SMALL FROM part, s")
+@family.add(f"WITH s AS (SELECT avg(p_size) AS m, stddev_pop(p_size) AS s FROM part) SELECT p_partkey, 1.0 AS intercept, round((p_size - m) / s, 6) AS p_size, {', '.join(f'CAST(p_type = {chr(39)}{t}{chr(39)} AS DOUBLE) AS p_type_{t}' for t in _TYPES[1:])}, round((p_size - m) / s * CAST(p_type = 'SMALL' AS DOUBLE), 6) + 0.0 AS p_size_x_p_type_SMALL FROM part, s")
 def design_matrix(spark, sf):
     part = table(spark, sf, "part")
     d = X.DesignMatrix([X.Feature("p_size"), X.Feature("p_type", "dummy")], [("p_size", "p_type_SMALL")]).fit(part)
