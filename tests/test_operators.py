@@ -379,3 +379,71 @@ def test_streams_equal_batch(spark, sf, tmp_path):
         assert key(out.where("start < '2029-01-01'")) == key(want)
     dedup = ST.run_available(ST.deduplicated(ST.read_stream(spark, src, events.schema, 10), ["user_id", "event_type"], "1000 days"), "dd", str(tmp_path / "dd"))
     assert dedup.select("user_id", "event_type").distinct().count() == dedup.count()
+
+
+def test_serving(spark):
+    from kestrix.operators import serving as SV
+
+    rows = [(1, 95.0, "U", "P", None, 90.0, "on", "Canada", 2024, [("chess",)]), (2, 101.0, "U", "", None, None, "ZZ", None, 2024, None), (3, 0.0, "U", "P", 0.0, None, None, "France", 2024, [])]
+    out = {r.request_id: r for r in SV.Scorer().score(spark.createDataFrame(rows, SV.REQUEST)).collect()}
+    z = -9.0 + 0.08 * 95 + 0.015 * 95 + 0.02 * 90 + 0.1 + 0.1 + 0.15
+    assert math.isclose(out[1].probability, 1 / (1 + math.exp(-z))) and out[1].low <= out[1].probability <= out[1].high
+    assert out[1].reasons[0].feature == "top_6" and len(out[1].reasons) == 5 and out[1].label == "Likely"
+    assert out[2].errors == ["top_6_average must be within 0 and 100", "program is required", "unknown province"] and out[2].probability is None
+    assert out[3].label == "Unlikely" and out[3].probability == 0.001
+    assert one(spark, " UofT ", lambda c: SV.canonical(c, {"uoft": "Toronto"})) == "Toronto"
+    v = spark.createDataFrame([(1, [1.0, 0.0], "a"), (2, [0.9, 0.1], "b"), (3, [0.0, 1.0], "c")], "id bigint, vector array<double>, name string")
+    assert [r.similar for r in SV.similar_programs(v.where("id = 1"), v, "id", "name", 2).orderBy("rank").collect()] == ["b", "c"]
+
+
+def test_normalizers(spark):
+    from kestrix.operators import normalizers as N
+
+    al = spark.createDataFrame([("uoft", "University of Toronto"), ("university of toronto", "University of Toronto"), ("york university", "York University")], "alias string, canonical string")
+    u = N.UniversityNormalizer(al)
+    df = spark.createDataFrame([(" UofT",), ("Universty of Toronto",), ("zzz",), (None,)], "name string")
+    rows = {r.name: (r.canonical, r.match_kind) for r in u.normalize(df, "name").collect()}
+    assert rows == {" UofT": ("University of Toronto", "exact"), "Universty of Toronto": ("University of Toronto", "fuzzy"), "zzz": ("INVALID", "invalid"), None: ("INVALID", "invalid")}
+    assert tuple(N.report(u.normalize(df, "name")).first()) == (1, 1, 2, 4, 50.0)
+    assert u.variations("York University") == ["york university"] and u.canonical_names() == ["University of Toronto", "York University"]
+    bases = spark.createDataFrame([("comp sci", "Computer Science")], "alias string, canonical string")
+    got = N.normalize_programs(spark.createDataFrame([("BSc Comp Sci Co-op",)], "p string"), "p", bases).first()
+    assert (got.base_name, got.name_key, got.degree, got.is_coop) == ("Computer Science", "computer_science", "BSc", True)
+
+
+def test_writers(spark, tmp_path):
+    from kestrix.sources import writers as W
+
+    members = spark.createDataFrame([(0, "A", "a1", 0.9, 3), (0, "A", "a2", 0.8, 1)], "cluster_id int, canonical string, variant string, score double, frequency bigint")
+    W.write_clusters(members, str(tmp_path / "j"))
+    assert len(spark.read.json(str(tmp_path / "j")).first().members) == 2
+    W.write_csv(members.withColumn("action", F.lit("KEEP")).withColumn("notes", F.lit("")).withColumn("merge_target", F.lit(None).cast("int")), str(tmp_path / "c"))
+    back = W.read_review(spark, str(tmp_path / "c"))
+    assert sorted(r.variant for r in back.collect()) == ["a1", "a2"] and back.where("merge_target is null").count() == 2
+    assert W.mapping_yaml(matching.apply_review(back)) == "A:\n- a1\n- a2\n"
+    W.save_model(spark, {"beta": [1.5, 2]}, str(tmp_path / "m"))
+    assert W.load_model(spark, str(tmp_path / "m")) == {"beta": [1.5, 2]}
+    W.write_partitioned(members, str(tmp_path / "p"), ["cluster_id"])
+    assert spark.read.parquet(str(tmp_path / "p")).count() == 2
+
+
+def test_small_linear_algebra():
+    from kestrix.operators import small_linalg as Q
+
+    rng = np.random.default_rng(9)
+    a, b, w = rng.normal(size=(7, 3)), rng.normal(size=7), rng.random(7) + 0.1
+    for reduced in (True, False):
+        q, r = Q.qr(a, reduced)
+        assert max(Q.factorization_report(a, q, r).values()) < 1e-12
+    want = np.linalg.lstsq(a, b, rcond=None)[0]
+    assert np.allclose(Q.solve_qr(a, b), want) and np.allclose(Q.solve_svd(a, b), want)
+    ridge = np.linalg.solve(a.T @ a + 2 * np.eye(3), a.T @ b)
+    assert np.allclose(Q.ridge_svd(a, b, 2.0), ridge) and np.allclose(Q.solve_weighted_qr(a, b, np.ones(7), 2.0), ridge)
+    assert np.allclose(Q.solve_weighted_qr(a, b, w), np.linalg.solve(a.T @ (a * w[:, None]), a.T @ (b * w)))
+    u, s, v = Q.truncated_svd(a, 2)
+    assert np.allclose(s, np.linalg.svd(a)[1][:2]) and np.allclose(a @ v, u * s)
+    with pytest.raises(np.linalg.LinAlgError):
+        Q.back_substitution(np.zeros((2, 2)), np.ones(2))
+    assert Q.is_positive_definite(a.T @ a) and not Q.is_symmetric(a[:3] + np.triu(np.ones((3, 3)), 1))
+    g = np.array(Q.gram_schmidt([a[0], a[1], a[0] * 2]))
+    assert g.shape == (2, 3) and np.allclose(g @ g.T, np.eye(2))
