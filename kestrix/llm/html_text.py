@@ -26,7 +26,7 @@ INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em fo
 DROPPED = frozenset("aside audio button canvas datalist dialog embed footer form head iframe input menu nav noscript object script select style svg template textarea title video".split())
 SECTIONS = ("article", "main")
 REGIONS = frozenset("article main body section div td".split())
-MARKS = frozenset("ad ads advert advertisement advertising adverts banner breadcrumb breadcrumbs comment comments complementary contentinfo cookie cookies consent disqus footer gdpr masthead menu modal nav navbar navigation newsletter notice notices popup promo promoted promotion related reply replies respond share sharing sidebar signup social sponsor sponsored subscribe toolbar widget widgets".split())
+MARKS = frozenset("ad ads alert advert advertisement advertising adverts banner breadcrumb breadcrumbs comment comments complementary contentinfo cookie cookies consent disqus footer gdpr masthead menu modal nav navbar navigation newsletter notice notices overlay pager pagination popup promo promoted promotion related reply replies respond share sharing sidebar signup skip social sponsor sponsored subscribe toolbar topbar widget widgets".split())
 #: Elements whose start ends an open element of the same kind that was left open.
 CLOSED_BY = {"p": frozenset("address article aside blockquote div dl fieldset footer form h1 h2 h3 h4 h5 h6 header hr main nav ol p pre section table ul".split())}
 _SPLIT = re.compile(r"[^a-z0-9]+")
@@ -96,15 +96,18 @@ class _Lines(HTMLParser):
         self.handle_starttag(tag, attrs)
 
     def _boiler(self, tag, attrs) -> bool:
-        if tag in DROPPED or tag == "header" and not any(r[1] in SECTIONS for r in self.regions):
+        inside = any(r[1] in SECTIONS for r in self.regions)  # an article's own header holds its title
+        if tag in DROPPED or tag == "header" and not inside:
             return True
         if tag in ("html", "body", *SECTIONS):
             return False
         for name, value in attrs:
             if name == "hidden" or name == "aria-hidden" and value == "true":
                 return True
-            if value and name in ("class", "id", "role") and not MARKS.isdisjoint(_SPLIT.split(value.lower())):
-                return True
+            if value and name in ("class", "id", "role"):
+                words = _SPLIT.split(value.lower())
+                if not MARKS.isdisjoint(words) or "header" in words and not inside:
+                    return True
         return False
 
     def handle_endtag(self, tag):

@@ -346,6 +346,8 @@ def test_html():
     assert html_text.extract("") == html_text.extract("<nav>x</nav>") == html_text.extract("<p> </p>") == ""
     assert html_text.extract("plain &amp text") == "plain & text"
     assert html_text.extract("<article><p>cut off in the mid") == "cut off in the mid"
+    page = "<div id=header>Site</div><article><header class=article-header><h1>Title</h1></header><p>Text that is long enough to count.</p><p class=alert>Notice</p></article>"
+    assert html_text.extract(page) == "Title\nText that is long enough to count."
 
 
 def test_html_pages(spark, sf):
