@@ -239,7 +239,8 @@ def _open_pairs(told: DataFrame, sets: DataFrame, need: int, percent: int) -> Da
         flat = lambda v: np.concatenate(v) if v else np.empty(0, np.int64)
         return pd.DataFrame({"a": flat(out_a), "b": flat(out_b)})
 
-    return rows.groupBy("key", "x", "y").applyInPandas(compare, "a bigint, b bigint")
+    # dealt by block pair: the plan would else leave all blocks of a bucket in one task
+    return rows.repartition("key", "x", "y").groupBy("key", "x", "y").applyInPandas(compare, "a bigint, b bigint")
 
 
 def near_duplicates(docs: DataFrame, size: int = 4, percent: int = 80, bands: int = BANDS, rows: int = ROWS, stars: int = 4) -> tuple[DataFrame, DataFrame]:
