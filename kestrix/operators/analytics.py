@@ -62,7 +62,7 @@ def histogram(df: DataFrame, by: list[str] | None = None, width: float = 2.0) ->
     """Accepted and rejected counts in bins of `width` from the floor of the least grade; the last bin is closed. Empty bins are left out."""
     rows = df.where(F.col("decision").isin("Accepted", "Rejected") & F.col("grade").isNotNull())
     ends = rows.groupBy(*(by or [])).agg(F.floor(F.min("grade")).alias("lo"), F.ceil(F.max("grade")).alias("hi"))
-    joined = rows.join(F.broadcast(ends), by) if by else rows.crossJoin(F.broadcast(ends))
+    joined = rows.join(ends, by) if by else rows.crossJoin(F.broadcast(ends))
     bins = F.greatest(F.lit(1), F.ceil((F.col("hi") - F.col("lo")) / width))
     bin_ = F.least(F.floor((F.col("grade") - F.col("lo")) / width), bins - 1)
     out = joined.groupBy(*(by or []), "lo", bin_.cast("int").alias("bin")).agg(F.count_if(accepted()).alias("accepted"), F.count_if(~accepted()).alias("rejected"))

@@ -10,7 +10,7 @@ from statistics import NormalDist
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .windows import row_numbers, score_bucket
+from .windows import quantiles, row_numbers, score_bucket
 
 
 def uniform_edges(n: int) -> list[float]:
@@ -25,7 +25,7 @@ def bin_of(p: Column, edges: list[float]) -> Column:
 
 def quantile_edges(df: DataFrame, n: int) -> list[float]:
     """Inner quantile edges; equal bins if fewer than n + 1 edges differ."""
-    cuts = df.agg(F.percentile("p", F.array(*[F.lit(i / n) for i in range(n + 1)]))).first()[0] or []
+    cuts = quantiles(df, "p", [i / n for i in range(n + 1)])
     return sorted(set(cuts))[1:-1] if len(set(cuts)) == n + 1 else uniform_edges(n)
 
 

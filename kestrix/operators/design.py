@@ -8,6 +8,7 @@ from itertools import combinations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from .encoders import categories
+from .windows import quantiles
 
 
 def fill_value(df: DataFrame, column: str, how: str) -> Column | float | None:
@@ -17,7 +18,9 @@ def fill_value(df: DataFrame, column: str, how: str) -> Column | float | None:
     if how == "mode":
         row = df.where(F.col(column).isNotNull()).groupBy(column).count().orderBy(F.col("count").desc(), column).limit(1).collect()
         return row[0][0] if row else None
-    return df.agg(F.avg(column) if how == "mean" else F.percentile(column, F.lit(0.5))).first()[0]
+    if how == "median":
+        return next(iter(quantiles(df, column, [0.5])), None)
+    return df.agg(F.avg(column)).first()[0]
 
 
 @dataclass

@@ -54,7 +54,7 @@ def grouped_cv(df: DataFrame, date: str, group: str, k: int = 3) -> DataFrame:
     first = df.groupBy(group).agg(F.min(date).alias("__first"))
     g = first.count()
     v = max(1, g // (k + 1))
-    ranked = first.withColumn("pos", F.row_number().over(Window.orderBy("__first", group)) - 1).select(group, "pos")  # a row a group
+    ranked = row_numbers(first, F.col("__first").cast("date"), [F.col("__first"), F.col(group)]).select(group, (F.col("rn") - 1).alias("pos"))
     joined = df.join(ranked, group)
     return _folds(joined, [(i, 0, v + i * v, v + i * v, v + i * v + v) for i in range(k)]).drop("pos")
 
@@ -64,7 +64,7 @@ def stratified_first(df: DataFrame, y: str, order: list[str], share: float = 0.2
     n = df.groupBy(y).agg(F.count("*").alias("__n"))
     number = F.row_number().over(Window.partitionBy(y).orderBy(*order))
     cut = F.least(F.greatest(F.lit(1), F.floor(F.col("__n") * share)), F.col("__n") - 1)
-    return df.withColumn("__r", number).join(F.broadcast(n), y).withColumn("split", F.when(F.col("__r") <= cut, "test").otherwise("train")).drop("__r", "__n")
+    return df.withColumn("__r", number).join(n, y).withColumn("split", F.when(F.col("__r") <= cut, "test").otherwise("train")).drop("__r", "__n")
 
 
 def purged_kfold(df: DataFrame, date: str, id: str, k: int = 5, purge: int = 0, embargo: int = 0) -> DataFrame:

@@ -131,7 +131,7 @@ FROM app LEFT JOIN q USING (program) GROUP BY ALL""")
 def admission_tier(spark, sf):
     app = applications(spark, sf)
     q = A.grade_stats(app.where(A.accepted()), ["program"]).select("program", "p25", "p75")
-    rows = app.join(F.broadcast(q), "program", "left")
+    rows = app.join(q, "program", "left")
     return rows.groupBy("program", A.tier(F.col("l_discount") * 10, F.col("grade"), F.col("p25"), F.col("p75")).alias("tier")).agg(F.count("*").alias("n"))
 
 

@@ -210,6 +210,13 @@ def test_global_order(spark):
     assert all(got[i] == k + 1 for k, (_, i) in enumerate(sorted(rows, key=lambda r: (-r[0], r[1]))))
 
 
+def test_quantiles(spark):
+    for values in ([3.0], [1.0, 2.0], [5.0] * 50 + [1e9], [math.exp(k / 20) for k in range(500)], [float(k % 7) for k in range(300)]):
+        df = spark.createDataFrame([(v,) for v in values] + [(None,)], "v double")
+        assert np.allclose(windows.quantiles(df, "v", [0, 0.1, 0.25, 0.5, 0.9, 1]), np.percentile(values, [0, 10, 25, 50, 90, 100]))
+    assert windows.quantiles(df.limit(0), "v", [0.5]) == []
+
+
 def test_vector_store(spark):
     rng = np.random.default_rng(0)
     x = rng.normal(size=(60, 8))
