@@ -77,7 +77,7 @@ def _joined(spans) -> str:
 
 def scan_secrets(docs: DataFrame, copied: int = 3, least: float = 3.5) -> DataFrame:
     """One row per input row: doc_id, n_assign, n_access, n_hex, base_sha256, spans, n_live,
-    n_example, found (array of kind, start, end, owners, live).
+    n_example, found (array of kind, start, end, distinct owners and repositories (documents), copies, live).
 
     A candidate held by `copied` or more distinct owners is an example, else live; an entropy token
     must be live to be a span. Null or empty text has no spans (the digest is of the empty string).
@@ -87,19 +87,27 @@ def scan_secrets(docs: DataFrame, copied: int = 3, least: float = 3.5) -> DataFr
     ws = Workspace(docs.sparkSession, "secrets")
     got = pick(docs, doc_id="bigint", source="string", text="string").withColumn("text", F.coalesce("text", F.lit("")))
 
+    def spans(text: str) -> list[dict]:
+        seen: set[str] = set()
+        out = []
+        for a, b, k, s in candidates(text, least):
+            out.append({"kind": k, "from": a, "to": b, "key": blake2b(s.encode("utf-8", "surrogatepass"), digest_size=16).digest(), "first": s not in seen})
+            seen.add(s)
+        return out
+
     def find(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for texts in batches:
-            yield pd.Series([[{"kind": k, "from": a, "to": b, "key": blake2b(s.encode("utf-8", "surrogatepass"), digest_size=16).digest()} for a, b, k, s in candidates(t, least)] for t in texts])
+            yield pd.Series([spans(t) for t in texts])
 
-    kind = "array<struct<kind: string, `from`: bigint, `to`: bigint, `key`: binary>>"
+    kind = "array<struct<kind: string, `from`: bigint, `to`: bigint, `key`: binary, first: boolean>>"
     rows = got.select("doc_id", "source", F.pandas_udf(find, kind)("text").alias("found")).withColumn("row", F.monotonically_increasing_id())
     rows = ws.save(rows, "candidates")
     each = rows.where(F.size("found") > 0).select("row", "source", F.explode("found").alias("f")).select("row", "source", "f.*")
-    owners = each.groupBy("key", F.coalesce("source", F.lit("\0")).alias("owner")).agg(F.count("*").alias("n"))
-    owners = owners.groupBy("key").agg(F.count("*").alias("owners"), F.sum("n").alias("copies"))
+    owners = each.groupBy("key", F.coalesce("source", F.lit("\0")).alias("owner")).agg(F.count("*").alias("n"), F.count_if("first").alias("repos"))
+    owners = owners.groupBy("key").agg(F.count("*").alias("owners"), F.sum("repos").alias("repos"), F.sum("n").alias("copies"))
     told = each.join(owners, "key").withColumn("live", F.col("owners") < copied)
     rank = F.create_map(*[x for k, i in ORDER.items() for x in (F.lit(k), F.lit(i))])
-    span = F.struct("from", rank[F.col("kind")].alias("rank"), "to", "kind", "owners", "copies", "live")
+    span = F.struct("from", rank[F.col("kind")].alias("rank"), "to", "kind", "owners", "repos", "copies", "live")
     told = told.where("live or kind != 'entropy'").groupBy("row").agg(F.array_sort(F.collect_list(span)).alias("s"))
     out = rows.select("row", "doc_id").join(told, "row", "left").withColumn("s", F.coalesce("s", F.array().cast(dict(told.dtypes)["s"])))
     text = lambda x: F.concat_ws(":", x["kind"], x["from"].cast("string"), x["to"].cast("string"))
@@ -112,7 +120,7 @@ def scan_secrets(docs: DataFrame, copied: int = 3, least: float = 3.5) -> DataFr
         F.array_join(F.transform("s", text), ",").alias("spans"),
         n(lambda x: x["live"]).alias("n_live"),
         n(lambda x: ~x["live"]).alias("n_example"),
-        F.transform("s", lambda x: F.struct(x["kind"].alias("kind"), x["from"].alias("start"), x["to"].alias("end"), x["owners"].alias("owners"), x["copies"].alias("copies"), x["live"].alias("live"))).alias("found"),
+        F.transform("s", lambda x: F.struct(x["kind"].alias("kind"), x["from"].alias("start"), x["to"].alias("end"), x["owners"].alias("owners"), x["repos"].alias("repos"), x["copies"].alias("copies"), x["live"].alias("live"))).alias("found"),
     )
 
 
