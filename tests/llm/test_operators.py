@@ -469,6 +469,8 @@ def test_secrets(spark, sf, sample):
     by = {r["doc_id"]: r for r in got(secrets.scan_secrets(small))}
     assert (by[2]["n_example"], by[2]["n_live"]) == (1, 1)  # three owners hold the first key
     assert "github:0:40" in by[5]["spans"] and "entropy:45:68" in by[5]["spans"]
+    key = next(f for f in by[3]["found"] if f.kind == "access")
+    assert (key.owners, key.repos, key.copies, key.live) == (3, 3, 3, False)
     assert by[20]["spans"] == "" and by[7]["spans"] == ""  # widely copied: no secret
     assert got(secrets.scan_secrets(small.limit(0))) == []
 
