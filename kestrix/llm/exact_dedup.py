@@ -68,6 +68,7 @@ def exact_dedup(docs: DataFrame, block_chars: int = 4096, normalise: Column | No
     ids alone keeps them. Rows that repeat id and text all carry kept = true if they hold that id.
     The group sizes are counted by task before they meet, so large groups are no burden."""
     named = name_documents(docs, block_chars, normalise)
-    groups = named.groupBy("blocks", "name").agg(F.max("doc_id").alias("keep_id"), F.count("*").alias("group_size"))
+    # stored, so that the join deals both sides anew and adaptive execution may split a large group
+    groups = Workspace(docs.sparkSession, "groups").save(named.groupBy("blocks", "name").agg(F.max("doc_id").alias("keep_id"), F.count("*").alias("group_size")), "groups")
     out = named.join(groups, ["blocks", "name"])
     return out.select("doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), "text_sha256")
