@@ -53,6 +53,19 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+@contextmanager
+def small_batches(spark: SparkSession, rows: int = 1000):
+    """Fewer rows in a batch between JVM and Python, for actions on rows of several kilobytes: what a
+    worker holds at once is then some megabytes."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, str(rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 class Workspace:
     """Intermediate tables as Parquet in the shared folder: they cut lineage and survive lost executors."""
 
@@ -61,7 +74,8 @@ class Workspace:
         atexit.register(self.drop)
 
     def save(self, df: DataFrame, name: str) -> DataFrame:
-        df.write.mode("overwrite").option("compression", "zstd").parquet(f"{self.root}/{name}")
+        with small_batches(self.spark):
+            df.write.mode("overwrite").option("compression", "zstd").parquet(f"{self.root}/{name}")
         return self.spark.read.schema(df.schema).parquet(f"{self.root}/{name}")
 
     def drop(self, name: str = "") -> None:
@@ -75,18 +89,6 @@ class Workspace:
                 raise RuntimeError(f"cannot remove {self.root}/{name}") from e
 
 
-@contextmanager
-def small_batches(spark: SparkSession, rows: int = 1000):
-    """Fewer rows in a batch between JVM and Python, for actions on rows of several kilobytes."""
-    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    before = spark.conf.get(name)
-    spark.conf.set(name, str(rows))
-    try:
-        yield
-    finally:
-        spark.conf.set(name, before)
-
-
 def training_ids(labelled: DataFrame, most: int) -> DataFrame:
     """A bounded, deterministic sample of labelled rows (doc_id, y): the `most` smallest by a
     hash of the id. The top-k keeps at most `most` rows of two numbers a task, so the result is small enough to broadcast."""
