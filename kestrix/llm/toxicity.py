@@ -43,21 +43,26 @@ class _Words(dict):
 _words = _Words()
 
 
+def _distinct(x: np.ndarray) -> np.ndarray:
+    """Sorted, without repeats."""
+    x = np.sort(x)
+    return x[np.concatenate([[True], x[1:] != x[:-1]])] if len(x) else x
+
+
 def features(text: str, bits: int) -> np.ndarray:
     """Distinct hashed indices, sorted: words and their stems, word pairs, and pairs with one word skipped."""
     words = WORD.findall(lower(text))
     if len(_words) > 300_000:
         _words.clear()
     at = np.fromiter(map(_words.__getitem__, words), np.int64, len(words))
-    rows = _words.table[at]
-    h = rows[:, 0]
+    h = _words.table[at, 0]
     shift = np.uint64(64 - bits)
-    parts = [(rows[np.unique(at, return_index=True)[1]].ravel() + np.uint64(1)) * _MULT]
+    parts = [(_words.table[_distinct(at)].ravel() + np.uint64(1)) * _MULT]
     if len(h) > 1:
         parts.append((h[:-1] * np.uint64(3) ^ (h[1:] << np.uint64(20))) * _MULT + _MULT)
     if len(h) > 2:
         parts.append((h[:-2] * np.uint64(5) ^ (h[2:] << np.uint64(24)) ^ np.uint64(0x5BD1E995)) * _MULT)
-    return np.unique((np.concatenate(parts) * _MULT) >> shift).astype(np.uint32)
+    return _distinct((np.concatenate(parts) * _MULT >> shift).astype(np.uint32))
 
 
 @dataclass
@@ -98,7 +103,7 @@ def _sigmoid(x: float) -> float:
     return float(1 / (1 + np.exp(-np.clip(x, -35, 35))))
 
 
-def train(docs: DataFrame, labels: DataFrame, y: str = "toxic", folds: int = 5, held: int = 0, max_train: int = 16_000, model: Ftrl | None = None):
+def train(docs: DataFrame, labels: DataFrame, y: str = "toxic", folds: int = 5, held: int = 0, max_train: int = 8_000, model: Ftrl | None = None):
     """Fit on at most `max_train` labelled rows outside the held-out fold.
 
     Labels repeated for an id: the largest counts. Null ids or labels teach nothing."""
@@ -116,7 +121,7 @@ def train(docs: DataFrame, labels: DataFrame, y: str = "toxic", folds: int = 5,
     return model.fit([np.frombuffer(r.f, np.uint32) for r in found], np.array([r.y for r in found], float))
 
 
-def score_toxicity(docs: DataFrame, labels: DataFrame, y: str = "toxic", folds: int = 5, held: int = 0, max_train: int = 16_000, model: Ftrl | None = None) -> DataFrame:
+def score_toxicity(docs: DataFrame, labels: DataFrame, y: str = "toxic", folds: int = 5, held: int = 0, max_train: int = 8_000, model: Ftrl | None = None) -> DataFrame:
     """One row per input row: doc_id, held_out, score, predicted, n_features (distinct ones).
 
     Null or empty text scores the bias alone; without any labelled row every score is 0.5.
