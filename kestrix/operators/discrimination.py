@@ -38,7 +38,7 @@ def roc_auc(df: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
     before = Window.partitionBy(*by).orderBy("b").rowsBetween(Window.unboundedPreceding, -1)
     offset = parts.select(*by, "b", F.coalesce(F.sum("bn").over(before), F.lit(0.0)).alias("off"))
     inside = Window.partitionBy(*by, "b").orderBy("p").rowsBetween(Window.unboundedPreceding, 0)
-    ranked = ties.withColumn("cum", F.sum("n").over(inside)).join(F.broadcast(offset), [*by, "b"]).withColumn("rank", F.col("off") + F.col("cum") - (F.col("n") - 1) / 2)
+    ranked = ties.withColumn("cum", F.sum("n").over(inside)).join(offset if by else F.broadcast(offset), [*by, "b"]).withColumn("rank", F.col("off") + F.col("cum") - (F.col("n") - 1) / 2)
     pos, n = F.sum("pos"), F.sum("n")
     area = (F.sum(F.col("rank") * F.col("pos")) - pos * (pos + 1) / 2) / F.nullif(pos * (n - pos), F.lit(0.0))
     return ranked.groupBy(*by).agg(area.alias("auc"))
