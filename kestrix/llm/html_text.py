@@ -127,6 +127,13 @@ class _Lines(HTMLParser):
         if tag in self.open:
             self._pop_to(len(self.open) - 1 - self.open[::-1].index(tag))
 
+    def parse_marked_section(self, i, report=1):
+        """`<![...` of unknown kind is a bogus comment, where the library would raise."""
+        try:
+            return super().parse_marked_section(i, report)
+        except AssertionError:
+            return self.parse_bogus_comment(i, report)
+
     def handle_data(self, data):
         if not self.dropped:
             self.text.append(data)
