@@ -454,3 +454,14 @@ def test_small_linear_algebra():
     assert Q.is_positive_definite(a.T @ a) and not Q.is_symmetric(a[:3] + np.triu(np.ones((3, 3)), 1))
     g = np.array(Q.gram_schmidt([a[0], a[1], a[0] * 2]))
     assert g.shape == (2, 3) and np.allclose(g @ g.T, np.eye(2))
+
+
+def test_sql_surface(spark, sf):
+    from kestrix import sql
+
+    assert "vector_cosine" in sql.register_functions(spark)
+    sql.register_tables(spark, {"part": f"{sf}/part.parquet", "two": spark.range(2)})
+    row = sql.query(spark, "SELECT vector_cosine(array(1D, 0D), array(1D, 1D)) AS c, vector_cosine(array(0D), array(1D)) AS z, token_similarity('b a!', 'A b') AS s, token_similarity('ab', '') AS e, logistic(0D) AS l, posterior_mean(1D, 2D, 0.5D, 2D) AS m, contains_either('Red gear', 'GEAR') AS h").first()
+    assert math.isclose(row.c, math.sqrt(0.5)) and (row.z, row.s, row.e, row.l, row.m, row.h) == (0.0, 1.0, 0.0, 0.5, 0.5, True)
+    n = sql.query(spark, "SELECT count(*) AS n FROM part CROSS JOIN two WHERE p_type = :kind", kind="SMALL").first().n
+    assert n == 2 * spark.read.parquet(f"{sf}/part.parquet").where("p_type = 'SMALL'").count()
