@@ -36,33 +36,39 @@ def path_column(schema: T.DataType, path: str) -> Column:
 
 _COMPARE = {
     "$ne": lambda a, b: ~a.eqNullSafe(b),
-    "$gt": lambda a, b: F.coalesce(a > b, F.lit(False)),
-    "$gte": lambda a, b: F.coalesce(a >= b, F.lit(False)),
-    "$lt": lambda a, b: F.coalesce(a < b, F.lit(False)),
-    "$lte": lambda a, b: F.coalesce(a <= b, F.lit(False)),
+    "$gt": lambda a, b: a > b,
+    "$gte": lambda a, b: a >= b,
+    "$lt": lambda a, b: a < b,
+    "$lte": lambda a, b: a <= b,
 }
 
 
+def _known(c: Column) -> Column:
+    """Unknown counts as false: needed where a condition is negated or becomes a value. As a plain
+    filter it is left alone, so that it can reach the scan."""
+    return F.coalesce(c, F.lit(False))
+
+
 def _condition(value: Column, want: Any) -> Column:
     if not isinstance(want, dict) or not any(k.startswith("$") for k in want):
-        return F.coalesce(value == F.lit(want), F.lit(False)) if want is not None else value.isNull()
+        return value == F.lit(want) if want is not None else value.isNull()
     parts = []
     for op, operand in want.items():
         if op == "$elemMatch":
-            parts.append(F.coalesce(F.exists(value, lambda e: reduce(lambda a, b: a & b, [_condition(_inside(e, k), v) for k, v in operand.items()], F.lit(True))), F.lit(False)))
+            parts.append(F.exists(value, lambda e: reduce(lambda a, b: a & b, [_condition(_inside(e, k), v) for k, v in operand.items()], F.lit(True))))
         elif op == "$eq":
             parts.append(_condition(value, operand))
         elif op in _COMPARE:
             parts.append(_COMPARE[op](value, F.lit(operand)))
         elif op in ("$in", "$nin"):
-            found = F.coalesce(value.isin(list(operand)), F.lit(False))
-            parts.append(found if op == "$in" else ~found)
+            found = value.isin(list(operand))
+            parts.append(found if op == "$in" else ~_known(found))
         elif op == "$exists":
             parts.append(value.isNotNull() if operand else value.isNull())
         elif op == "$regex":
-            parts.append(F.coalesce(value.rlike(operand), F.lit(False)))
+            parts.append(value.rlike(operand))
         elif op == "$not":
-            parts.append(~_condition(value, operand))
+            parts.append(~_known(_condition(value, operand)))
         else:
             raise ValueError(f"unknown operator {op}")
     return reduce(lambda a, b: a & b, parts)
@@ -79,7 +85,7 @@ def match(schema: T.DataType, query: dict[str, Any] | None) -> Column:
         if key in ("$and", "$or", "$nor"):
             parts = [match(schema, q) for q in want]
             joined = reduce((lambda a, b: a & b) if key == "$and" else (lambda a, b: a | b), parts)
-            out = out & (~joined if key == "$nor" else joined)
+            out = out & (~_known(joined) if key == "$nor" else joined)
         elif key.startswith("$"):
             raise ValueError(f"unknown operator {key}")
         else:
@@ -103,7 +109,7 @@ def expression(schema: T.DataType, e: Any) -> Column:
     if op == "$eq":
         return go(operand[0]).eqNullSafe(go(operand[1]))
     if op in _COMPARE:
-        return _COMPARE[op](go(operand[0]), go(operand[1]))
+        return _known(_COMPARE[op](go(operand[0]), go(operand[1])))
     if op == "$divide":
         return F.coalesce(F.try_divide(go(operand[0]).cast("double"), go(operand[1]).cast("double")), F.lit(0.0))
     if op == "$subtract":
@@ -305,7 +311,7 @@ def update_one(df: DataFrame, query: dict[str, Any], update: dict[str, Any], ord
 
 
 def delete_many(df: DataFrame, query: dict[str, Any]) -> DataFrame:
-    return df.where(~match(df.schema, query))
+    return df.where(~_known(match(df.schema, query)))
 
 
 def insert_many(df: DataFrame, rows: DataFrame) -> DataFrame:
