@@ -10,6 +10,8 @@ from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from ..session import ship
+
 _UPPER = re.compile("[A-Z]+")
 #: Words of the licence and benchmark contracts: digits, letters a-z and all beyond ASCII.
 WORD = re.compile("[^\x00-\x2f\x3a-\x60\x7b-\x7f]+")
@@ -24,7 +26,9 @@ def lower(text: str) -> str:
 
 def pick(df: DataFrame, **kinds: str) -> DataFrame:
     """Only the named columns, cast; extra columns, also ones whose names differ in case
-    alone or occur twice, are dropped before any name is resolved. A missing column is null."""
+    alone or occur twice, are dropped before any name is resolved. A missing column is null.
+    All operators start here, so the executors get the package's code here too."""
+    ship(df.sparkSession)
     at = {c: i for i, c in reversed(list(enumerate(df.columns)))}
     plain = df.toDF(*[f"_c{i}" for i in range(len(df.columns))])
     return plain.select(*[(F.col(f"_c{at[c]}") if c in at else F.lit(None)).cast(k).alias(c) for c, k in kinds.items()])
