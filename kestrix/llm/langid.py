@@ -9,6 +9,7 @@ document is scored, without a shuffle.
 from __future__ import annotations
 
 import re
+import zlib
 from collections.abc import Iterator
 from itertools import combinations
 
@@ -116,7 +117,7 @@ class Model:
         return out
 
 
-def train(docs: DataFrame, folds: int = 4, held: int = 2, max_train: int = 6000, dim: int = 4096) -> Model:
+def train(docs: DataFrame, folds: int = 4, held: int = 2, max_train: int = 3000, dim: int = 4096) -> Model:
     """Fit on at most `max_train` documents outside the held-out fold, evenly by language (the
     smallest reduced id hashes of each). Null texts, texts without letters, null languages teach nothing."""
     taught = pick(docs, doc_id="bigint", lang="string").dropna().where(fold(F.col("doc_id"), folds) != held).where(F.col("lang") != UND)
@@ -134,13 +135,19 @@ def train(docs: DataFrame, folds: int = 4, held: int = 2, max_train: int = 6000,
         for texts in batches:
             yield pd.Series([vector(t, dim).astype(np.float16).tobytes() if LETTER.search(t) else b"" for t in texts])
 
-    found = documents(docs).join(F.broadcast(sample), "doc_id").select("doc_id", "y", F.pandas_udf(extract, "binary")("text").alias("x")).collect()
-    found = sorted((r for r in found if len(r.x)), key=lambda r: (r.doc_id, bytes(r.x)))
-    x = np.array([np.frombuffer(r.x, np.float16) for r in found], np.float32).reshape(-1, dim)
-    return Model(x, [r.y for r in found])
+    # a row at a time into one array: the driver holds the sample once
+    found = documents(docs).join(F.broadcast(sample), "doc_id").select("doc_id", "y", F.pandas_udf(extract, "binary")("text").alias("x"))
+    x, keys = np.zeros((max_train, dim), np.float32), []
+    for r in found.where(F.octet_length("x") > 0).toLocalIterator():
+        if len(keys) == len(x):  # rows that repeat an id
+            x = np.concatenate([x, np.zeros((256, dim), np.float32)])
+        x[len(keys)] = np.frombuffer(r.x, np.float16)
+        keys.append((r.doc_id, zlib.crc32(r.x), r.y))
+    order = sorted(range(len(keys)), key=keys.__getitem__)
+    return Model(x[order], [keys[k][2] for k in order])
 
 
-def predictor(docs: DataFrame, folds: int = 4, held: int = 2, max_train: int = 6000, dim: int = 4096):
+def predictor(docs: DataFrame, folds: int = 4, held: int = 2, max_train: int = 3000, dim: int = 4096):
     """A column function of a text: struct(lang_pred, score), from a model fitted on docs."""
     model = docs.sparkSession.sparkContext.broadcast(train(docs, folds, held, max_train, dim))
 
@@ -157,7 +164,7 @@ def predictor(docs: DataFrame, folds: int = 4, held: int = 2, max_train: int = 6
     return F.pandas_udf(run, "lang_pred string, score double")
 
 
-def identify_language(docs: DataFrame, folds: int = 4, held: int = 2, max_train: int = 6000, dim: int = 4096) -> DataFrame:
+def identify_language(docs: DataFrame, folds: int = 4, held: int = 2, max_train: int = 3000, dim: int = 4096) -> DataFrame:
     """One row per input row: doc_id, held_out, lang_pred, score.
 
     Null or empty texts and texts without letters: `und`, score 0; so are all without a row to
