@@ -17,7 +17,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window, functions as F
 
-from .common import documents, fold, pick
+from .common import Workspace, documents, fold, pick
 
 # Family of a language code; a code not listed is a family of its own.
 FAMILIES = {
@@ -138,7 +138,8 @@ def train(docs: DataFrame, folds: int = 4, held: int = 2, max_train: int = 3000,
     # a row at a time into one array: the driver holds the sample once
     found = documents(docs).join(F.broadcast(sample), "doc_id").select("doc_id", "y", F.pandas_udf(extract, "binary")("text").alias("x"))
     x, keys = np.zeros((max_train, dim), np.float32), []
-    for r in found.where(F.octet_length("x") > 0).toLocalIterator():
+    stored = Workspace(docs.sparkSession, "langid").save(found.where(F.octet_length("x") > 0), "sample")  # made by all tasks at once
+    for r in stored.toLocalIterator():
         if len(keys) == len(x):  # rows that repeat an id
             x = np.concatenate([x, np.zeros((256, dim), np.float32)])
         x[len(keys)] = np.frombuffer(r.x, np.float16)
