@@ -11,6 +11,7 @@ from __future__ import annotations
 
 from bisect import bisect_right, insort
 from collections.abc import Iterator
+from copy import copy
 from functools import lru_cache
 from zlib import crc32
 
@@ -135,29 +136,42 @@ class Index:
         self.at = {t: k for k, t in enumerate(tokens.tolist())}
         self.n = len(pieces)
 
-    def neighbours(self, piece: int, terms: int, top: int) -> np.ndarray:
-        """Pieces by falling BM25 score for the query of the piece's `terms` rarest tokens; ties by number."""
+    def neighbours(self, piece: int, terms: int | None = None, top: int | None = None, unused: np.ndarray | None = None) -> np.ndarray:
+        """Pieces (of `unused`, where given) by falling BM25 score for the query of the piece's tokens (the
+        `terms` rarest, where given), the first `top` or all of them; ties by number."""
         t, w = self.terms[piece]
-        if len(t) > terms:
+        if terms is not None and len(t) > terms:
             t = t[np.argsort(-w, kind="stable")[:terms]]
         at = [self.at[x] for x in t.tolist()]
         docs = np.concatenate([self.docs[self.begins[k] : self.ends[k]] for k in at])
         scores = np.bincount(docs, np.concatenate([self.weights[self.begins[k] : self.ends[k]] for k in at]), minlength=self.n)
-        found = np.flatnonzero(scores)
+        found = np.flatnonzero(scores if unused is None else (scores > 0) & unused)
         return found[np.argsort(-scores[found], kind="stable")][:top]
 
+    def without_used(self, unused: np.ndarray) -> Index:
+        """The index with the postings of `unused` pieces alone."""
+        out = copy(self)
+        keep = unused[self.docs]
+        before = np.append(0, np.cumsum(keep))
+        out.docs, out.weights, out.begins, out.ends = self.docs[keep], self.weights[keep], before[self.begins], before[self.ends]
+        return out
 
-def fill(pieces: list[np.ndarray], index: Index, size: int, terms: int = 24, top: int = 64, least: int = 32) -> list[list[tuple[int, int, int]]]:
+
+def fill(pieces: list[np.ndarray], index: Index, size: int, terms: int | None = None, top: int | None = None, least: int = 32) -> list[list[tuple[int, int, int]]]:
     """Sequences as lists of (piece, first token in it, tokens); every token lies in exactly one.
 
-    Seeds go by falling length. A gap under `least` tokens is left as padding."""
+    Seeds go by falling length; all unused neighbours of a seed are tried in their order. A gap under
+    `least` tokens is left as padding."""
     rest = {k: (0, len(p)) for k, p in enumerate(pieces)}  # unused part of each piece
     sizes = sorted((len(p), k) for k, p in enumerate(pieces))  # of whole unused parts
+    left = np.array([len(p) for p in pieces], np.int64)  # tokens of each unused part
+    indexed = len(pieces)
     out = []
 
     def take(k: int, n: int) -> tuple[int, int, int]:
         first, last = rest.pop(k)
         del sizes[bisect_right(sizes, (last - first, k)) - 1]
+        left[k] = last - first - n
         if first + n < last:
             rest[k] = (first + n, last)
             insort(sizes, (last - first - n, k))
@@ -167,14 +181,17 @@ def fill(pieces: list[np.ndarray], index: Index, size: int, terms: int = 24, top
         seed = sizes[-1][1]
         room = size - sizes[-1][0]
         row = [take(seed, sizes[-1][0])]
-        near: list[int] = []
+        near = np.empty(0, np.int64)
         if room >= least and sizes:
-            near = [k for k in index.neighbours(seed, terms, top).tolist() if k in rest]
-            for k in near:
-                n = rest[k][1] - rest[k][0]
-                if n <= room and k in rest:
-                    row.append(take(k, n))
-                    room -= n
+            if 2 * len(rest) < indexed:
+                index, indexed = index.without_used(left > 0), len(rest)
+            near = index.neighbours(seed, terms, top, left > 0)
+            fits = near[left[near] <= room]
+            while len(fits):
+                n = int(left[fits[0]])
+                row.append(take(int(fits[0]), n))
+                room -= n
+                fits = fits[1:][left[fits[1:]] <= room]
         while room and sizes:
             at = bisect_right(sizes, (room, len(pieces))) - 1
             if at < 0:
@@ -183,8 +200,8 @@ def fill(pieces: list[np.ndarray], index: Index, size: int, terms: int = 24, top
             row.append(take(k, n))
             room -= n
         if room >= least and sizes:  # nothing whole fits any more: the best unused neighbour is cut
-            k = next((k for k in near if k in rest), sizes[0][1])
-            row.append(take(k, room))
+            whole = near[left[near] > 0]
+            row.append(take(int(whole[0]) if len(whole) else sizes[0][1], room))
         out.append(row)
     return out
 

@@ -228,6 +228,19 @@ def test_sequences_take_neighbours_first():
     assert any({0, 5, 6} <= {k for k, *_ in row} for row in rows)
 
 
+def test_each_seed_has_all_unused_neighbours():
+    seeds, like = [np.arange(500, dtype=np.uint32)] * 100, [np.arange(300, dtype=np.uint32)] * 100
+    pieces = seeds + like + [np.arange(1000 + 300 * k, 1300 + 300 * k, dtype=np.uint32) for k in range(100)]
+    index = packing.Index(pieces, {t: 1.0 for p in pieces for t in p.tolist()}, 366.0)
+    rows = packing.fill(pieces, index, 800)
+    assert sum(len(row) == 2 and row[0][0] < 100 <= row[1][0] < 200 for row in rows) == 100
+    assert sorted((k, at) for row in rows for k, first, n in row for at in range(first, first + n)) == [(k, at) for k, p in enumerate(pieces) for at in range(len(p))]
+    # a neighbour by a token that is not among the rarest
+    pieces = [np.arange(400, dtype=np.uint32), np.arange(399, 600, dtype=np.uint32), np.arange(1000, 1300, dtype=np.uint32)]
+    rows = packing.fill(pieces, packing.Index(pieces, {t: 1.0 for p in pieces for t in p.tolist()}, 300.0), 700)
+    assert [k for k, *_ in rows[0]][:2] == [0, 1]
+
+
 # 5
 def brute_near(rows, percent=80):
     sets = []
