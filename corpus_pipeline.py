@@ -6,7 +6,7 @@ of documents. `run` applies them in turn, each stage's result written to the sha
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from kestrix.llm.common import Workspace, table
 from kestrix.llm.decontaminate import find_contamination
@@ -26,13 +26,24 @@ def _plain(docs: DataFrame) -> DataFrame:
     return docs.select(*COLUMNS)
 
 
-def _kept(docs: DataFrame, decisions: DataFrame) -> DataFrame:
-    """The documents that `decisions` (doc_id, kept) keeps. Ids are null-safe; of rows that repeat an
-    id, which the decisions cannot tell apart, each distinct one stays once."""
-    ids = decisions.where("kept").groupBy("doc_id").agg(F.count("*").alias("_rows"))
-    kept = _plain(docs).alias("d").join(ids.withColumnRenamed("doc_id", "_id"), F.col("doc_id").eqNullSafe(F.col("_id"))).drop("_id")
-    once = kept.where("_rows = 1").drop("_rows")
-    return once.unionByName(kept.where("_rows > 1").drop("_rows").dropDuplicates())
+def _keyed(docs: DataFrame, name: str) -> DataFrame:
+    """The documents with a number of each row, stored so that it holds: ids may be null or repeat."""
+    return Workspace(docs.sparkSession, name).save(_plain(docs).withColumn("row", F.monotonically_increasing_id()), "keyed")
+
+
+def _by_row(keyed: DataFrame) -> DataFrame:
+    """The documents as an operator sees them, the row number in place of the id."""
+    return keyed.select(F.col("row").alias("doc_id"), "text")
+
+
+def _rows(keyed: DataFrame, rows: DataFrame) -> DataFrame:
+    return _plain(keyed.join(rows.select("row"), "row", "left_semi"))
+
+
+def _one_of_each(keyed: DataFrame, groups: DataFrame, best: Column) -> DataFrame:
+    """The row with the least `best` of each group; groups are (row, group), one row for each document."""
+    named = groups.join(keyed.select("row", "doc_id"), "row")
+    return _rows(keyed, named.groupBy("group").agg(F.min(F.struct(best.alias("best"), "row"))["row"].alias("row")))
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -43,18 +54,23 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of equal texts the one with the largest id stays."""
-    return _kept(docs, exact_dedup(docs))
+    keyed = _keyed(docs, "exact-rows")
+    found = exact_dedup(_by_row(keyed))
+    return _one_of_each(keyed, found.select(F.col("doc_id").alias("row"), F.col("keep_id").alias("group")), F.struct(F.col("doc_id").isNull(), -F.col("doc_id").cast("decimal(20,0)")))
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates stays, the one with the least id."""
-    return _kept(docs, near_duplicates(docs)[0])
+    keyed = _keyed(docs, "near-rows")
+    found = near_duplicates(_by_row(keyed))[0]
+    return _one_of_each(keyed, found.select(F.col("doc_id").alias("row"), F.col("component_id").alias("group")), F.struct(F.col("doc_id").isNull(), F.col("doc_id")))
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops contaminated documents."""
-    found = find_contamination(docs, table(spark, sf_dir, "benchmark"))
-    return _kept(docs, found.select("doc_id", (~F.col("contaminated")).alias("kept")))
+    keyed = _keyed(docs, "clean-rows")
+    found = find_contamination(_by_row(keyed), table(spark, sf_dir, "benchmark"))
+    return _rows(keyed, found.where(~F.col("contaminated")).select(F.col("doc_id").alias("row")))
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

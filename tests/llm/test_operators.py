@@ -507,3 +507,16 @@ def test_pipeline_stages(spark, sf):
     assert gone == [["60", "None"], ["50", "61"], ["52"], ["70"]]
     left = {str(r["doc_id"]) for r in got(p.STAGES[-1][1](spark, seen[-1], sf))}
     assert left == set(ids[-1])
+
+
+def test_pipeline_decides_by_row(spark, sf):
+    import corpus_pipeline as p
+
+    item = spark.read.parquet(f"{sf}/benchmark.parquet").first().text
+    base = " ".join(f"w{i}" for i in range(80))
+    rows = [(None, "A clean text without an id", "en", "s", 1), (None, "Words, " + item, "en", "s", 1), (None, base, "en", "s", 1), (None, base, "en", "t", 2), (7, base + " tail", "en", "s", 1)]
+    rows += [(8, "One text of an id that repeats", "en", "s", 1), (8, "Words, " + item + " too", "en", "s", 1), (9, "Equal texts", "en", "s", 1), (9, "Equal texts", "la", "t", 1)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string, n_chars bigint")
+    for name, stage in p.STAGES[1:-1]:
+        docs = stage(spark, docs, sf)
+    assert sorted((str(r["doc_id"]), r["text"]) for r in docs.collect()) == [("7", base + " tail"), ("8", rows[5][1]), ("9", "Equal texts"), ("None", rows[0][1])]
