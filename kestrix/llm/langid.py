@@ -149,20 +149,21 @@ def train(docs: DataFrame, folds: int = 4, held: int = 2, max_train: int = 3000,
 
 
 def predictor(docs: DataFrame, folds: int = 4, held: int = 2, max_train: int = 3000, dim: int = 4096):
-    """A column function of a text: struct(lang_pred, score), from a model fitted on docs."""
+    """A column function of a text: struct(lang_pred, score, lettered), from a model fitted on docs. A
+    text without letters is never told; one with letters is `und` only where nothing can be learned."""
     model = docs.sparkSession.sparkContext.broadcast(train(docs, folds, held, max_train, dim))
 
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for texts in batches:
-            out: list[tuple[str, float]] = []
+            out: list[tuple[str, float, bool]] = []
             for k in range(0, len(texts), 256):
                 part = texts.iloc[k : k + 256].fillna("")
                 lettered = [bool(LETTER.search(t)) for t in part]
                 got = model.value.predict(np.array([vector(t, dim) for t in part]))
-                out += [g if ok else (UND, 0.0) for g, ok in zip(got, lettered)]
-            yield pd.DataFrame(out, columns=["lang_pred", "score"])
+                out += [(*g, True) if ok else (UND, 0.0, False) for g, ok in zip(got, lettered)]
+            yield pd.DataFrame(out, columns=["lang_pred", "score", "lettered"])
 
-    return F.pandas_udf(run, "lang_pred string, score double")
+    return F.pandas_udf(run, "lang_pred string, score double, lettered boolean")
 
 
 def identify_language(docs: DataFrame, folds: int = 4, held: int = 2, max_train: int = 3000, dim: int = 4096) -> DataFrame:

@@ -520,3 +520,11 @@ def test_pipeline_decides_by_row(spark, sf):
     for name, stage in p.STAGES[1:-1]:
         docs = stage(spark, docs, sf)
     assert sorted((str(r["doc_id"]), r["text"]) for r in docs.collect()) == [("7", base + " tail"), ("8", rows[5][1]), ("9", "Equal texts"), ("None", rows[0][1])]
+
+
+def test_language_stage_keeps_texts_where_nothing_can_be_learned(spark, sf):
+    import corpus_pipeline as p
+
+    rows = [(1, "A clean text", None, "s", 1), (2, "Ein Text", None, "s", 1), (None, "also clean", None, "s", 1), (3, "123 !", None, "s", 1), (4, None, None, "s", 1)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string, n_chars bigint")
+    assert sorted(r["text"] for r in p.language_id(spark, docs, sf).collect()) == ["A clean text", "Ein Text", "also clean"]
