@@ -51,21 +51,22 @@ def words_of(text: str) -> list[str]:
 class Automaton:
     """Generalised suffix automaton over integer tokens.
 
-    `where[s]` is one (template, end position) at which state s's strings end; `phrases[s]`
-    the base phrases whose whole token string is the longest string of s."""
+    `up[s]` are the base phrases whose whole token string is a suffix of the longest string of state
+    s. `own` has an automaton of each template alone, whose `where[s]` are all end positions of s's strings."""
 
     vocab: dict[str, int] = field(default_factory=dict)
     next: list[dict[int, int]] = field(default_factory=lambda: [{}])
     link: list[int] = field(default_factory=lambda: [-1])
     length: list[int] = field(default_factory=lambda: [0])
-    where: list[tuple[int, int]] = field(default_factory=lambda: [(-1, -1)])
+    where: list[list[int]] = field(default_factory=lambda: [[]])
+    own: list[Automaton] = field(default_factory=list)
     up: list[list[tuple[int, int]]] = field(default_factory=list)
 
-    def _state(self, length: int, where: tuple[int, int], moves: dict[int, int] | None = None, link: int = 0) -> int:
+    def _state(self, length: int, moves: dict[int, int] | None = None, link: int = 0) -> int:
         self.next.append(dict(moves or {}))
         self.link.append(link)
         self.length.append(length)
-        self.where.append(where)
+        self.where.append([])
         return len(self.next) - 1
 
     def _split(self, p: int, token: int) -> int:
@@ -73,27 +74,52 @@ class Automaton:
         q = self.next[p][token]
         if self.length[q] == self.length[p] + 1:
             return q
-        clone = self._state(self.length[p] + 1, self.where[q], self.next[q], self.link[q])
+        clone = self._state(self.length[p] + 1, self.next[q], self.link[q])
         self.link[q] = clone
         while p >= 0 and self.next[p].get(token) == q:
             self.next[p][token] = clone
             p = self.link[p]
         return clone
 
-    def add(self, template: int, words: list[str]) -> None:
+    def add(self, words: list[str]) -> None:
         last = 0
-        for end, word in enumerate(words):
+        for word in words:
             token = self.vocab.setdefault(word, len(self.vocab))
             if token in self.next[last]:
                 last = self._split(last, token)
                 continue
-            new, p = self._state(self.length[last] + 1, (template, end)), last
+            new, p = self._state(self.length[last] + 1), last
             while p >= 0 and token not in self.next[p]:
                 self.next[p][token] = new
                 p = self.link[p]
             self.link[new] = self._split(p, token) if p >= 0 else 0
             last = new
 
+    def place(self, words: list[str]) -> None:
+        """Give every state all places at which its strings end in the one template."""
+        s = 0
+        for end, word in enumerate(words):
+            s = self.next[s][self.vocab[word]]
+            self.where[s].append(end)
+        for s in sorted(range(1, len(self.next)), key=self.length.__getitem__, reverse=True):
+            if self.link[s] > 0:
+                self.where[self.link[s]] += self.where[s]
+
+    def runs(self, words: list[str], least: int) -> Iterator[tuple[int, int, int]]:
+        """(end word, words, state) of each match that can't be longer."""
+        state = run = 0
+        for i, token in enumerate([*map(self.vocab.get, words), None]):
+            if token in self.next[state]:
+                state, run = self.next[state][token], run + 1
+                continue
+            if run >= least:
+                yield i - 1, run, state
+            while state > 0 and token not in self.next[state]:
+                state = self.link[state]
+            run = self.length[state]
+            if token in self.next[state]:
+                state, run = self.next[state][token], run + 1
+
     def mark(self, phrases: list[list[str]]) -> None:
         """Give every state the phrases (number, length) that are suffixes of its strings."""
         own: dict[int, list[tuple[int, int]]] = {}
@@ -111,10 +137,14 @@ def build(templates=None, base=None) -> tuple[Automaton, list[tuple[str, int]],
     """The automaton with (label, words) of each template and of each base phrase."""
     templates, base = TEMPLATES if templates is None else templates, BASE if base is None else base
     phrases = [words_of(p) for p in base]
-    rows = sorted(((label, words_of(t)) for label, t in templates), key=lambda r: len(r[1]))  # a run that two hold is told of the shorter
+    rows = sorted(((label, words_of(t)) for label, t in templates), key=lambda r: len(r[1]))
     out = Automaton()
-    for i, words in enumerate([w for _, w in rows] + phrases):
-        out.add(i, words)
+    for words in [w for _, w in rows] + phrases:
+        out.add(words)
+    for _, words in rows:
+        out.own.append(Automaton())
+        out.own[-1].add(words)
+        out.own[-1].place(words)
     out.mark(phrases)
     return out, [(label, len(w)) for label, w in rows], list(zip(base.values(), map(len, phrases)))
 
@@ -127,7 +157,7 @@ def scan(model, text: str, least: int = 4, cover: float = 0.6) -> dict:
     the text and of the template; a gap over the template's length starts another chain."""
     auto, templates, phrases = model
     words = words_of(text)
-    nxt, link, length, where, up = auto.next, auto.link, auto.length, auto.where, auto.up
+    nxt, link, length, up = auto.next, auto.link, auto.length, auto.up
     state = run = 0
     base: list[tuple[int, int]] = []
     runs: list[tuple[int, int, int]] = []  # end word, words, state: matches that can't be longer
@@ -151,7 +181,7 @@ def scan(model, text: str, least: int = 4, cover: float = 0.6) -> dict:
             base += [(i + 1 - n, k) for k, n in up[state] if n <= run]
     if run >= least:
         runs.append((len(words) - 1, run, state))
-    spans, best = _chain(runs, where, templates, cover)
+    spans, best = _chain(_template_runs(auto, words, runs, least), templates, cover, lambda t, a, b: sum(w in auto.own[t].vocab for w in words[a : b + 1]))
     labels = {phrases[k][0] for _, k in base}
     return {
         "n_words": len(words),
@@ -163,36 +193,51 @@ def scan(model, text: str, least: int = 4, cover: float = 0.6) -> dict:
     }
 
 
-def _chain(runs, where, templates, cover):
-    """(template, first word, last word, covered words) of each chain with enough cover; the best cover."""
-    open_: dict[int, list[int]] = {}
-    found, best = [], 0.0
-
-    def close(t: int) -> None:
-        nonlocal best
-        first, last, _, covered = open_.pop(t)
-        share = min(1.0, covered / templates[t][1])
-        best = max(best, share)
-        if share >= cover:
-            found.append((t, first, last, covered))
-
-    for end, n, state in runs:
-        t, at = where[state]
-        if t >= len(templates):
-            continue
-        start = end - n + 1
-        if t in open_:
-            _, last, done, _ = open_[t]
-            if start <= last or at - n + 1 <= done or start - last > templates[t][1]:
-                close(t)
-        if t in open_:
-            c = open_[t]
-            c[1], c[2], c[3] = end, at, c[3] + n
+def _template_runs(auto, words, runs, least):
+    """By template: (end word, words, place) of every match in it that can't be longer. All lie in the runs of the whole automaton."""
+    parts: list[list[int]] = []
+    for end, n, _ in runs:
+        if parts and end - n < parts[-1][1]:
+            parts[-1][1] = end + 1
         else:
-            open_[t] = [start, end, at, n]
-    for t in list(open_):
-        close(t)
-    return sorted(found, key=lambda s: s[1:]), best
+            parts.append([end - n + 1, end + 1])
+    return {t: [(a + end, n, at) for a, b in parts for end, n, state in own.runs(words[a:b], least) for at in own.where[state]] for t, own in enumerate(auto.own)} if parts else {}
+
+
+def _chain(runs, templates, cover, known):
+    """(template, first word, last word, covered words) of each chain with enough cover; the best cover.
+
+    Of a template's chains that end with a run at a place, the one that covers most is kept; of chains
+    that share words of the text, the one that covers most (then: whose words the template knows, then the
+    larger share; equal ones all). Where runs overlap, the later one counts from there on."""
+    ends: dict[int, list[tuple[int, int, int, int]]] = {}  # by template: last word, place in it, first word, covered
+    for t, own in runs.items():
+        chains = ends[t] = []
+        for end, n, at in own:
+            first, covered = end - n + 1, n
+            for last, done, begin, so_far in reversed(chains):
+                if end - n + 1 - last > templates[t][1]:
+                    break
+                new = min(n, end - last, at - done)
+                if new > 0 and so_far + new > covered:
+                    first, covered = begin, so_far + new
+            chains.append((end, at, first, covered))
+    found, best = [], 0.0
+    for t, chains in ends.items():
+        for last, _, first, covered in chains:
+            share = min(1.0, covered / templates[t][1])
+            best = max(best, share)
+            if share >= cover:
+                found.append(((-covered, -known(t, first, last), -share, first, last), t))
+    spans: list[tuple[int, int, int, int]] = []
+    kept, taken = set(), bytearray(1 + max((rank[4] for rank, _ in found), default=0))
+    for rank, t in sorted(found):
+        first, last = rank[3:]
+        if rank in kept or taken.find(1, first, last + 1) < 0:
+            kept.add(rank)
+            taken[first : last + 1] = b"\1" * (last + 1 - first)
+            spans.append((t, first, last, -rank[0]))
+    return sorted(spans, key=lambda s: s[1:]), best
 
 
 def scan_licenses(docs: DataFrame, templates=None, base=None, least: int = 4, cover: float = 0.6) -> DataFrame:
