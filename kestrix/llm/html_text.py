@@ -29,14 +29,30 @@ REGIONS = frozenset("article main body section div td".split())
 MARKS = frozenset("ad ads alert advert advertisement advertising adverts banner breadcrumb breadcrumbs comment comments complementary contentinfo cookie cookies consent disqus footer gdpr masthead menu modal nav navbar navigation newsletter notice notices overlay pager pagination popup promo promoted promotion related reply replies respond share sharing sidebar signup skip social sponsor sponsored subscribe toolbar topbar widget widgets".split())
 #: Elements whose start ends an open element of the same kind that was left open.
 CLOSED_BY = {"p": frozenset("address article aside blockquote div dl fieldset footer form h1 h2 h3 h4 h5 h6 header hr main nav ol p pre section table ul".split())}
+#: Words that make a class name tell of a layout: with one before or after it, a mark is none.
+BEFORE, AFTER = frozenset("has no not with without".split()), frozenset("closed free open".split())
+#: Marks of what readers wrote: articles in there are not the page's.
+READERS = frozenset("comment comments disqus replies reply respond".split())
+HARD, MARKED = 1, 2
 _SPLIT = re.compile(r"[^a-z0-9]+")
 
 
 class _Lines(HTMLParser):
-    """Collects (text, tags, region path) of each block outside of boilerplate."""
+    """Collects (text, tags, region path) of each block outside of boilerplate.
 
-    def __init__(self):
+    Elements are numbered by their start tags; marks of those in `exempt` do not count. `held` tells of
+    each marked element its text (without that of marked ones in it), whether an article is in it, and itself
+    with the marked ones around it."""
+
+    def __init__(self, exempt: frozenset[int] = frozenset()):
         super().__init__(convert_charrefs=True)
+        self.exempt = exempt
+        self.number = 0
+        self.kept = 0  # characters outside of boilerplate
+        self.hard = 0  # depth at which boilerplate began that no mark told
+        self.marked: list[tuple[int, int]] = []  # open marked elements: number, depth
+        self.held: dict[int, list] = {}
+        self.readers: set[int] = set()
         self.lines: list[tuple[str, int, tuple[int, ...]]] = []
         self.text: list[str] = []
         self.tags = 0
@@ -56,23 +72,42 @@ class _Lines(HTMLParser):
         del self.open[depth:]
         while self.regions and self.regions[-1][2] >= depth:
             self.regions.pop()
+        while self.marked and self.marked[-1][1] > depth:
+            self.marked.pop()
+        if self.hard > depth:
+            self.hard = 0
         if self.dropped > depth:
             self.dropped = 0
 
+    def _drop(self, kind: int) -> None:
+        """The element opened last is boilerplate."""
+        self.dropped = self.dropped or len(self.open)
+        if kind == HARD:
+            self.hard = len(self.open)
+        else:
+            self.marked.append((self.number, len(self.open)))
+            self.held[self.number] = [0, False, [n for n, _ in self.marked]]
+
     def handle_starttag(self, tag, attrs):
+        self.number += 1
         if self.dropped:
             if tag not in VOID:
                 self.open.append(tag)
+                if not self.hard:
+                    if kind := self._boiler(tag, attrs):
+                        self._drop(kind)
+                    elif tag in SECTIONS and self.readers.isdisjoint(n for n, _ in self.marked):
+                        for n, _ in self.marked:
+                            self.held[n][1] = True
             return
         self.tags += 1
         if tag == "br":
             self.text.append(" ")
             return
         if tag in INLINE:
-            boiler = tag not in VOID and self._boiler(tag, attrs)
-            if boiler:
+            if tag not in VOID and (kind := self._boiler(tag, attrs)):
                 self.open.append(tag)
-                self.dropped = len(self.open)
+                self._drop(kind)
             return
         self._break()
         if tag in CLOSED_BY["p"] and "p" in self.open:
@@ -84,8 +119,8 @@ class _Lines(HTMLParser):
         if tag in VOID:
             return
         self.open.append(tag)
-        if self._boiler(tag, attrs):
-            self.dropped = len(self.open)
+        if kind := self._boiler(tag, attrs):
+            self._drop(kind)
         elif tag in REGIONS:
             self.count += 1
             self.kinds[self.count] = tag
@@ -95,20 +130,38 @@ class _Lines(HTMLParser):
         """An unknown element's closing slash does not close it in HTML; a void one has no end."""
         self.handle_starttag(tag, attrs)
 
-    def _boiler(self, tag, attrs) -> bool:
+    def _boiler(self, tag, attrs) -> int:
         inside = any(r[1] in SECTIONS for r in self.regions)  # an article's own header holds its title
         if tag in DROPPED or tag == "header" and not inside:
-            return True
+            return HARD
         if tag in ("html", "body", *SECTIONS):
-            return False
+            return 0
+        found: set[str] = set()
         for name, value in attrs:
             if name == "hidden" or name == "aria-hidden" and value == "true":
-                return True
+                return HARD
             if value and name in ("class", "id", "role"):
-                words = _SPLIT.split(value.lower())
-                if not MARKS.isdisjoint(words) or "header" in words and not inside:
-                    return True
-        return False
+                for part in value.lower().split():
+                    words = _SPLIT.split(part)
+                    for k, word in enumerate(words):
+                        if (word in MARKS or word == "header" and not inside) and BEFORE.isdisjoint(words[:k]) and AFTER.isdisjoint(words[k + 1 :]):
+                            found.add(word)
+        if not found or self.number in self.exempt:
+            return 0
+        if not READERS.isdisjoint(found):
+            self.readers.add(self.number)
+        return MARKED
+
+    def wrappers(self) -> set[int]:
+        """Marked elements that are no boilerplate: with most of the page's text, or with its articles where none
+        stands outside; and those around them. What readers wrote is none unless it is the only text."""
+        total = self.kept + sum(n for n, _, _ in self.held.values())
+        articles = any(k in SECTIONS for k in self.kinds.values())
+        out: set[int] = set()
+        for n, article, path in self.held.values():
+            if article and not articles or 2 * n > total and (not self.kept or self.readers.isdisjoint(path)):
+                out.update(path)
+        return out
 
     def handle_endtag(self, tag):
         if self.dropped:
@@ -137,6 +190,9 @@ class _Lines(HTMLParser):
     def handle_data(self, data):
         if not self.dropped:
             self.text.append(data)
+            self.kept += len("".join(data.split()))
+        elif not self.hard:
+            self.held[self.marked[-1][0]][0] += len("".join(data.split()))
 
 
 def smooth(ratios: np.ndarray, sigma: float) -> np.ndarray:
@@ -146,12 +202,19 @@ def smooth(ratios: np.ndarray, sigma: float) -> np.ndarray:
     return np.convolve(np.pad(ratios, reach, mode="symmetric"), kernel / kernel.sum(), mode="valid")
 
 
-def extract(html: str, sigma: float = 1.0, cut: float = 0.5) -> str:
-    """The main text: blocks of the content region in page order, one to a line."""
-    parser = _Lines()
+def _parse(html: str, exempt: frozenset[int] = frozenset()) -> _Lines:
+    parser = _Lines(exempt)
     parser.feed(html)
     parser.close()
     parser._break()
+    return parser
+
+
+def extract(html: str, sigma: float = 1.0, cut: float = 0.5) -> str:
+    """The main text: blocks of the content region in page order, one to a line."""
+    parser = _parse(html)
+    while more := parser.wrappers():  # these were layout: once more, with their marks ignored
+        parser = _parse(html, parser.exempt | more)
     if not parser.lines:
         return ""
     ratios = np.array([len(text) / max(1, tags) for text, tags, _ in parser.lines], float)

@@ -377,6 +377,16 @@ def test_html():
     assert html_text.extract(page) == "Title\nText that is long enough to count."
 
 
+def test_html_layout_classes_keep_the_page():
+    for c in ("content has-sidebar", "no-sidebar", "with-nav", "ad-free", "comments-closed", "has-left-sidebar", "widget", "menu-layout"):
+        assert html_text.extract(PAGE.format(open=f'<div class="{c}">', close="</div>")) == MAIN
+        assert html_text.extract(PAGE.format(open=f'<div class="{c}"><article>', close="</article></div>")) == MAIN
+    assert html_text.extract(PAGE.format(open='<div class="nav-layout"><div id="widget"><article>', close="</article></div></div>")) == MAIN
+    comments = '<ol class="comments">' + "<li class=comment><article><p>A reader has a lot to say here.</p></article></li>" * 50 + "</ol>"
+    assert html_text.extract("<div class=post><p>A short post stands here.</p></div>" + comments) == "A short post stands here."
+    assert html_text.extract('<article><p>A post of some length stands here.</p></article><div class="related"><article>Other</article></div>') == "A post of some length stands here."
+
+
 def test_html_pages(spark, sf):
     import html
 
