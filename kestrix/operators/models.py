@@ -105,11 +105,39 @@ def timing(table: DataFrame) -> DataFrame:
     return cum.agg(F.sum(F.col("t") * F.col("event_prob")).alias("expected"), first(F.col("survival") <= 0.5).alias("median"), first(F.col("cum") >= 0.1).alias("p10"), first(F.col("cum") >= 0.9).alias("p90"))
 
 
-def fit_hazard(df: DataFrame, time: str, columns: list[str], periods: int, lam: float = 0.1) -> Logistic:
-    """Discrete hazard: logistic on person-periods with an indicator a period and no intercept."""
+def fit_hazard(df: DataFrame, time: str, columns: list[str], periods: int | None = None, lam: float = 0.1, steps: int = 100, tol: float = 1e-6) -> Logistic:
+    """Discrete hazard: ridge logistic on person-periods with an indicator a period and no intercept, over all
+    periods of the data or, as a horizon, the first `periods`.
+
+    A person-period has one indicator, so the sums of a step are by period: its row of the Gram matrix."""
+    periods = periods or df.agg(F.max(time)).first()[0] or 0
+    names, q = [f"t{k}" for k in range(1, periods + 1)] + columns, len(columns)
     pp = person_period(df, time).where(F.col("t") <= periods)
-    dummies = {f"t{k}": (F.col("t") == k).cast("double") for k in range(1, periods + 1)}
-    return Logistic([*dummies, *columns], lam).fit(pp.withColumns(dummies), "label")
+    beta, m = np.zeros(periods + q), Logistic(names, lam, steps, tol)
+    for m.taken in range(1, steps + 1):
+        base = F.element_at(F.array(*[F.lit(float(b)) for b in beta[:periods]]), F.col("t")) if periods else F.lit(0.0)
+        rows = pp.withColumn("__q", sigmoid(base + linear(columns, beta[periods:]) if columns else base))
+        rows = rows.withColumn("__w", F.greatest(F.lit(1e-10), F.col("__q") * (1 - F.col("__q")))).withColumn("__r", F.col("label") - F.col("__q"))
+        w, r = F.col("__w"), F.col("__r")
+        sums = [F.sum(r).alias("r"), F.sum(w).alias("w")] + [F.sum(r * F.col(c)).alias(f"g{i}") for i, c in enumerate(columns)] + [F.sum(w * F.col(c)).alias(f"h{i}") for i, c in enumerate(columns)]
+        sums += [F.sum(w * F.col(columns[i]) * F.col(columns[j])).alias(f"h{i}_{j}") for i in range(q) for j in range(i, q)]
+        h, g = lam * np.eye(periods + q), -lam * beta
+        for s in rows.groupBy("t").agg(*sums).collect():  # one row a period
+            k = s.t - 1
+            h[k, k] += s.w
+            g[k] += s.r
+            for i in range(q):
+                h[k, periods + i] += s[f"h{i}"]
+                h[periods + i, k] += s[f"h{i}"]
+                g[periods + i] += s[f"g{i}"]
+                for j in range(q):
+                    h[periods + i, periods + j] += s[f"h{min(i, j)}_{max(i, j)}"]
+        step = np.linalg.solve(h, g)
+        beta = beta + step
+        if np.linalg.norm(step) < tol:
+            break
+    m.beta = beta
+    return m
 
 
 def embedding_dim(n: int) -> int:

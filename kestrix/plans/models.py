@@ -219,7 +219,7 @@ def irls_fit(spark, sf):
 
 @family.add()
 def hazard_fit(spark, sf):
-    m = M.fit_hazard(_subjects(spark, sf), "time", ["value"], 6)
+    m = M.fit_hazard(_subjects(spark, sf), "time", ["value"])
     return spark.createDataFrame([(c, float(b)) for c, b in zip(m.columns, m.beta)], "feature string, beta double")
 
 

@@ -465,3 +465,18 @@ def test_sql_surface(spark, sf):
     assert math.isclose(row.c, math.sqrt(0.5)) and (row.z, row.s, row.e, row.l, row.m, row.h) == (0.0, 1.0, 0.0, 0.5, 0.5, True)
     n = sql.query(spark, "SELECT count(*) AS n FROM part CROSS JOIN two WHERE p_type = :kind", kind="SMALL").first().n
     assert n == 2 * spark.read.parquet(f"{sf}/part.parquet").where("p_type = 'SMALL'").count()
+
+
+def test_hazard_fit_has_all_periods(spark):
+    rng = np.random.default_rng(5)
+    data = [(k, int(rng.integers(1, 10)), float(rng.normal())) for k in range(300)]
+    df = spark.createDataFrame(data, "id bigint, time int, x double")
+    m = models.fit_hazard(df, "time", ["x"])
+    assert m.columns == [f"t{k}" for k in range(1, max(t for _, t, _ in data) + 1)] + ["x"]
+    rows = [(t, x, int(t == last)) for _, last, x in data for t in range(1, last + 1)]
+    q = np.array([1 / (1 + np.exp(-(m.beta[t - 1] + m.beta[-1] * x))) for t, x, _ in rows])
+    r = np.array([y for *_, y in rows]) - q
+    for k in range(1, 10):  # the gradient of the ridge fit is 0
+        assert abs(sum(v for v, (t, *_) in zip(r, rows) if t == k) - 0.1 * m.beta[k - 1]) < 1e-4
+    assert abs(sum(v * x for v, (_, x, _) in zip(r, rows)) - 0.1 * m.beta[-1]) < 1e-4
+    assert models.fit_hazard(df, "time", ["x"], 3).columns == ["t1", "t2", "t3", "x"]
