@@ -7,8 +7,9 @@ Running totals are made by bucket of p, so no task holds all scores.
 from __future__ import annotations
 
 import math
-from functools import reduce
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from .windows import row_numbers, running_totals, score_bucket
@@ -171,12 +172,32 @@ def delong(df: DataFrame) -> DataFrame:
     return out.withColumn("z", F.coalesce((F.col("auc1") - F.col("auc2")) / F.sqrt(F.nullif("variance", F.lit(0.0))), F.lit(0.0)))
 
 
-def bootstrap_auc(df: DataFrame, rounds: int = 20, level: float = 0.95, seed: int = 42) -> DataFrame:
-    """Percentile interval of the AUC under Poisson bootstrap weights that a hash of (id, round) draws."""
-    u = F.abs(F.xxhash64("id", "round", F.lit(seed))) / F.lit(float(2**63))
-    cuts = [sum(math.exp(-1) / math.factorial(k) for k in range(m + 1)) for m in range(7)]
-    weight = reduce(lambda acc, c: acc + F.when(u >= c, 1).otherwise(0), cuts, F.lit(0))
-    rows = df.withColumn("round", F.explode(F.sequence(F.lit(1), F.lit(rounds)))).withColumn("w", weight).where("w > 0")
-    each = roc_auc(rows.withColumn("c", F.explode(F.sequence(F.lit(1), F.col("w")))).select("round", "p", "y"), ("round",))
+def bootstrap_auc(df: DataFrame, rounds: int = 1000, level: float = 0.95, seed: int = 42) -> DataFrame:
+    """Percentile interval of the AUC under Poisson bootstrap weights.
+
+    Rows of one score are interchangeable, so a weight is drawn by distinct score, class and round (a sum of n
+    Poisson weights is Poisson of mean n). Buckets of scores draw by themselves; a row a bucket and round leaves them."""
+
+    def draw(group: pd.DataFrame) -> pd.DataFrame:
+        group = group.sort_values("p")
+        b = int(group["b"].iloc[0])
+        rng = np.random.default_rng([seed, -b])
+        pos, neg, won = np.zeros(rounds), np.zeros(rounds), np.zeros(rounds)
+        counts = group[["pos", "neg"]].to_numpy()
+        for k in range(0, len(counts), 256):
+            part = counts[k : k + 256]
+            x, y = np.zeros((len(part), rounds)), np.zeros((len(part), rounds))
+            for out, n in ((x, part[:, 0]), (y, part[:, 1])):
+                out[n > 0] = rng.poisson(n[n > 0, None], (int((n > 0).sum()), rounds))
+            won += (x * (neg + np.cumsum(y, axis=0) - y / 2)).sum(axis=0)
+            pos += x.sum(axis=0)
+            neg += y.sum(axis=0)
+        return pd.DataFrame({"b": b, "round": np.arange(rounds), "pos": pos, "neg": neg, "won": won})
+
+    ties = df.groupBy("p").agg(F.sum("y").cast("bigint").alias("pos"), F.sum(1 - F.col("y")).cast("bigint").alias("neg"))
+    parts = ties.withColumn("b", score_bucket(F.col("p"))).groupBy("b").applyInPandas(draw, "b bigint, round int, pos double, neg double, won double")
+    lower = Window.partitionBy("round").orderBy(F.col("b").desc()).rowsBetween(Window.unboundedPreceding, -1)  # buckets are highest first
+    each = parts.withColumn("won", F.col("won") + F.col("pos") * F.coalesce(F.sum("neg").over(lower), F.lit(0.0)))
+    each = each.groupBy("round").agg((F.sum("won") / F.nullif(F.sum("pos") * F.sum("neg"), F.lit(0.0))).alias("auc"))
     tail = (1 - level) / 2
     return each.agg(F.avg("auc").alias("auc_mean"), F.percentile("auc", F.lit(tail)).alias("low"), F.percentile("auc", F.lit(1 - tail)).alias("high"))

@@ -255,7 +255,7 @@ def delong(spark, sf):
 
 @family.add()
 def auc_bootstrap_ci(spark, sf):
-    return D.bootstrap_auc(predictions(spark, sf), 20)
+    return D.bootstrap_auc(predictions(spark, sf))
 
 
 @family.add("SELECT CAST(floor(least(p, 0.999999) * 20) AS INTEGER) AS bin, y, count(*) AS n FROM (SELECT CAST(o_orderstatus = 'F' AS INTEGER) AS y, o_totalprice / 500000 AS p FROM orders) GROUP BY ALL")

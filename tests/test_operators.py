@@ -480,3 +480,21 @@ def test_hazard_fit_has_all_periods(spark):
         assert abs(sum(v for v, (t, *_) in zip(r, rows) if t == k) - 0.1 * m.beta[k - 1]) < 1e-4
     assert abs(sum(v * x for v, (_, x, _) in zip(r, rows)) - 0.1 * m.beta[-1]) < 1e-4
     assert models.fit_hazard(df, "time", ["x"], 3).columns == ["t1", "t2", "t3", "x"]
+
+
+def test_bootstrap_interval_has_the_width_of_the_auc(spark):
+    import inspect
+
+    assert inspect.signature(D.bootstrap_auc).parameters["rounds"].default == 1000
+    rng = np.random.default_rng(8)
+    y = rng.integers(0, 2, 300)
+    p = np.round(np.clip(rng.normal(0.4 + 0.2 * y, 0.2), 0, 1), 2)
+    got = D.bootstrap_auc(spark.createDataFrame([(k, int(a), float(b)) for k, (a, b) in enumerate(zip(y, p))], "id bigint, y int, p double")).first()
+    pos, neg = p[y == 1], p[y == 0]
+
+    def auc(u, v):
+        return ((u[:, None] > v).mean() + (u[:, None] == v).mean() / 2).item()
+
+    every = [auc(rng.choice(pos, len(pos)), rng.choice(neg, len(neg))) for _ in range(1000)]
+    assert abs(got.auc_mean - auc(pos, neg)) < 0.005
+    assert abs(got.low - np.percentile(every, 2.5)) < 0.012 and abs(got.high - np.percentile(every, 97.5)) < 0.012
