@@ -109,12 +109,125 @@ def test_words_that_templates_share_count_for_each():
         for k in range(len(words)) if len(words) >= 16 else []:
             r = licenses.scan(model, " ".join([*words[:k], "zzz", *words[k + 1 :]]))
             assert label in r["labels"] or {label, *r["labels"]} == {"gpl-2", "gpl-3"} and words[k] in "23", (label, k, r)
+        for k in (0, len(words) // 2, len(words) - 1) if 9 <= len(words) < 16 else []:
+            r = licenses.scan(model, " ".join([*words[:k], "zzz", *words[k + 1 :]]))
+            assert label in r["labels"], (label, k, r)
     # the longer match is another template's; a template's own shorter one lies inside of it
     short = licenses.build([("a", "p q r s t u v w x y"), ("b", "k p q r s t m")], {})
     assert licenses.scan(short, "k p q r s t u v w")["spans"] == [(1, 1, 8, 8)] and licenses.scan(short, "k p q r s t u")["spans"] == [(0, 0, 5, 6)]
 
 
+def brute_cover(words, template, least=4):
+    """The most words that can be paired in order, each pair in a common run of at least `least` words."""
+    same = lambda i, j: 0 <= i < len(words) and 0 <= j < len(template) and words[i] == template[j]
+    most = [[0] * (len(template) + 1) for _ in range(len(words) + 1)]
+    for i in range(len(words)):
+        for j in range(len(template)):
+            a, b = i, j
+            while same(a - 1, b - 1):
+                a, b = a - 1, b - 1
+            n = next(k for k in range(len(words) + 1) if not same(a + k, b + k))
+            most[i + 1][j + 1] = max(most[i][j + 1], most[i + 1][j], most[i][j] + (same(i, j) and n >= least))
+    return most[-1][-1]
+
+
+def test_license_chains_against_all_chains():
+    """Over distinct words of a template, chains are what a search of all chains finds."""
+    rng = random.Random(8)
+    template = [f"t{k}" for k in range(24)]
+    model = licenses.build([("t", " ".join(template))], {})
+    for _ in range(150):
+        words = []
+        while len(words) < 30:
+            if rng.random() < 0.6:
+                at = rng.randrange(24)
+                words += template[at : at + rng.randint(3, 9)]
+            else:
+                words += rng.choices(["x", "y"], k=rng.randint(1, 3))
+        r = licenses.scan(model, " ".join(words))
+        assert abs(r["score"] - min(1, brute_cover(words, template) / 24)) < 1e-9
+        assert ("t" in r["labels"]) == (r["score"] >= 0.6)
+
+
+def test_licenses_on_an_empty_table(spark):
+    assert got(licenses.scan_licenses(spark.createDataFrame([], SCHEMA))) == []
+
+
 # 2, 3, 6
+def test_ftrl_against_a_plain_loop():
+    rng = np.random.default_rng(4)
+    rows = [(np.unique(rng.integers(0, 40, 8)).astype(np.uint32), float(rng.random() < 0.4)) for _ in range(300)]
+    m = toxicity.Ftrl(bits=6, l1=0.5)
+    index, w, bias = m.fit(lambda: rows, 0.4)
+    z, n, b, seen = Counter(), Counter(), np.log(0.4 / 0.6), 1.0
+
+    def weight(k):
+        return 0.0 if abs(z[k]) <= m.l1 else -(z[k] - np.sign(z[k]) * m.l1) / ((m.beta + n[k] ** 0.5) / m.alpha + m.l2)
+
+    for _ in range(m.epochs):
+        for x, y in rows:
+            ws = {int(k): weight(int(k)) for k in x}
+            g = 1 / (1 + np.exp(-(b + sum(ws.values())))) - y
+            for k, v in ws.items():
+                z[k] += g - ((n[k] + g * g) ** 0.5 - n[k] ** 0.5) / m.alpha * v
+                n[k] += g * g
+            seen += g * g
+            b -= m.alpha / (m.beta + seen**0.5) * g
+    want = {k: weight(k) for k in z if weight(k)}
+    assert abs(bias - b) < 1e-9 and want.keys() == set(index.tolist()) and all(abs(want[k] - v) < 1e-5 for k, v in zip(index.tolist(), w))
+
+
+def test_svm_against_full_gradients():
+    rng = np.random.default_rng(6)
+    x = rng.normal(size=(200, 12)).astype(np.float32)
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    y = np.where(x @ rng.normal(size=12) + 0.1 * rng.normal(size=200) > 0, 0, 1)
+    lam = 0.02
+    loss = lambda w, b: lam / 2 * w @ w + np.maximum(0, 1 - np.where(y == 0, 1, -1) * (x @ w + b)).mean()
+    w, bias = langid.Model._svm(x.astype(np.float16), y, 0, 1, 200, lam)
+    best, v, b = np.inf, np.zeros(12), 0.0
+    for t in range(1, 8000):
+        s = np.where(y == 0, 1.0, -1.0)
+        bad = s * (x @ v + b) < 1
+        v, b = v - (lam * v - (s[bad, None] * x[bad]).sum(axis=0) / 200) / (lam * (t + 100)), b + 0.01 * s[bad].sum() / 200 / (lam * (t + 100))
+        best = min(best, loss(v, b))
+    assert loss(w, bias) < 1.05 * best + 0.005
+
+
+def test_qda_against_plain_densities():
+    rng = np.random.default_rng(2)
+    x = {c: rng.normal(c, 1 + c, (80 + 40 * c, 4)) @ rng.normal(size=(4, 4)) for c in (0, 1)}
+    m = quality.Qda(0.1, 0.2).fit({c: (len(v), v.sum(axis=0), v.T @ v) for c, v in x.items()})
+    cov = {c: np.cov(v.T, bias=True) for c, v in x.items()}
+    pooled = sum(len(x[c]) * cov[c] for c in x) / 200
+    points, logs = rng.normal(size=(50, 4)) * 3, []
+    for c in (0, 1):
+        s = 0.8 * cov[c] + 0.2 * pooled
+        s = 0.9 * s + 0.1 * np.diag(np.diag(s)) + 1e-4 * np.eye(4)
+        d = points - x[c].mean(axis=0)
+        logs.append(np.log(len(x[c]) / 200) - 0.5 * np.linalg.slogdet(s)[1] - 0.5 * (d * np.linalg.solve(s, d.T).T).sum(axis=1))
+    assert np.allclose(m.score(points), 1 / (1 + np.exp(np.clip(logs[0] - logs[1], -35, 35))))
+
+
+def test_training_samples_are_bounded_by_ids(spark):
+    """Rows that repeat a labelled id, and very long ones, teach once."""
+    rows = [(7, f"the same id again {k} bad words here", "en") for k in range(400)] + [(k, f"clean text number {k} of the table", "en") for k in range(8, 60)] + [(61, "long text " * 200_000, "en")]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string")
+    labels = spark.createDataFrame([(k, int(k == 7)) for k in range(7, 62)], "doc_id bigint, toxic int")
+    seen = []
+
+    class Counting(toxicity.Ftrl):
+        def fit(self, rows, rate=0.5):
+            seen.extend((len(x), y) for x, y in rows())
+            return super().fit(rows, rate)
+
+    toxicity.train(docs, labels, max_train=20, model=Counting())
+    assert len(seen) <= 20
+    toxicity.train(docs, labels, model=Counting())
+    assert len(seen) <= 20 + 55 and max(n for n, _ in seen) <= 1 << 20
+    assert langid.train(docs, max_train=10).langs == ["en"]
+
+
 def auc(s, y):
     s, y = np.array(s), np.array(y)
     inv = np.unique(s, return_inverse=True)[1]
@@ -178,6 +291,23 @@ def test_language_on_odd_tables(spark):
     assert got(langid.identify_language(docs.limit(0))) == []
 
 
+def test_numerals_are_no_letters(spark):
+    texts = ["\u00b2", "\u00bd \u2460", "\u2167", "_9_", "\u0660\u0661", "\u00b2x", "\u00e9", "\u4e2d"]
+    docs = spark.createDataFrame([(k, t, "en") for k, t in enumerate(texts)], SCHEMA + ", lang string")
+    assert [r["lang_pred"] for r in sorted(got(langid.identify_language(docs)), key=key)] == ["und"] * 5 + ["en"] * 3
+
+
+def test_all_languages_are_learned(spark):
+    """More than a hundred of them, each with a word of its own."""
+    word = lambda k: "".join(chr(97 + (k // 26**i * 7 + i * 5) % 26) for i in range(3)) * 3
+    rows = [(130 * j + k, f"{word(k)} " * (6 + j), f"l{k:03}") for k in range(130) for j in range(8)]
+    docs = spark.createDataFrame(rows, SCHEMA + ", lang string")
+    out = got(langid.identify_language(docs))
+    truth = {i: lang for i, _, lang in rows}
+    assert np.mean([truth[r["doc_id"]] == r["lang_pred"] for r in out]) > 0.95
+    assert len(langid.train(docs, max_train=40).langs) == 40  # the bound on rows holds
+
+
 # 4
 @pytest.mark.parametrize("ranks", [True, False])
 def test_packing_is_a_round_trip(spark, sf, sample, ranks):
@@ -219,6 +349,35 @@ def test_packing_leaves_little_padding(spark):
     assert got(packing.pack(spark.createDataFrame([], SCHEMA), *queries.tokenizer_paths())) == []
 
 
+def test_null_ids_are_spread_over_shards(spark):
+    docs = spark.range(3000).selectExpr("cast(null as bigint) AS doc_id", "'the same words in each of the rows' AS text")
+    out = got(packing.pack(docs, *queries.tokenizer_paths(), shard_pieces=50))
+    shards = Counter(r["sequence_id"] >> 32 for r in out)
+    assert sum(r["length"] == r["doc_tokens"] for r in out) + sum(r["start"] == 0 and r["length"] < r["doc_tokens"] for r in out) == 3000
+    assert len(shards) == 60 and max(shards.values()) < 100
+
+
+def test_windows_hold_more_like_pieces_than_size_alone_gives(spark):
+    """Share of a mate's tokens that its seed has: with the index, and with an index that finds nothing."""
+    from tokenizers import Tokenizer
+
+    t = Tokenizer.from_file(queries.tokenizer_paths()[0])
+    texts = [r.text or "" for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("text").limit(400).collect()]
+    pieces = [np.array(ids[:2047], np.uint32) for ids in (t.encode(x, add_special_tokens=False).ids for x in texts) if ids]
+    df = Counter(x for p in pieces for x in set(p.tolist()))
+    index = packing.Index(pieces, {x: float(np.log1p((len(pieces) - n + 0.5) / (n + 0.5))) for x, n in df.items()}, float(np.mean([len(p) for p in pieces])))
+
+    class Blind(packing.Index):
+        def neighbours(self, piece, terms=None, top=None, unused=None):
+            return np.empty(0, np.int64)
+
+    blind = Blind.__new__(Blind)
+    blind.__dict__.update(index.__dict__)
+    sets = [set(p.tolist()) for p in pieces]
+    like = lambda rows: np.mean([len(sets[k] & sets[row[0][0]]) / len(sets[k]) for row in rows for k, *_ in row[1:]])
+    assert like(packing.fill(pieces, index, 2048)) > 1.5 * like(packing.fill(pieces, blind, 2048))
+
+
 def test_bm25_neighbours_against_a_plain_sum():
     rng = np.random.default_rng(1)
     pieces = [rng.integers(0, 50, rng.integers(5, 60)).astype(np.uint32) for _ in range(30)]
@@ -401,6 +560,48 @@ def test_html_pages(spark, sf):
     assert sorted(r["n_chars"] for r in got(html_text.extract_text(odd_pages))) == [0, 0, 999_999]
 
 
+def test_html_classes_weigh_less_than_text():
+    text = "This sentence of the article is of a usual length and tells something. " * 8
+    for c in ("social-history", "social", "related", "alert", "notice", "share", "reply", "skip", "ad", "alert-levels"):
+        page = f'<article><h1>T</h1><p>{text}</p><div class="{c}"><p>{text}</p><p>{text}</p><p>{text}</p></div><p>{text}</p></article>'
+        assert html_text.extract(page) == "\n".join(["T"] + [text.strip()] * 5), c
+        for tag in ("div", "td"):
+            assert html_text.extract(page.replace("<article", f"<{tag}").replace("</article", f"</{tag}")) == "\n".join(["T"] + [text.strip()] * 5), c
+    ads = f'<article><p>{text}</p><div class="google-ad">Buy this now, it is cheap!</div><div class="related-articles"><p><a>One more text</a></p></div><p>{text}<span class="ad">buy</span> tail</p><div class="comment-thread"><p>{text}</p><p>{text}</p><p>{text}</p></div></article>'
+    assert html_text.extract(ads) == f"{text.strip()}\n{text}tail"
+
+
+def test_html_pages_without_article(spark):
+    """The pages' articles in a plain element, or in none at all, come out as they do from article."""
+    for r in spark.read.parquet("/root/testdata/sf0.01/pages.parquet").select("html").collect():
+        want = html_text.extract(r.html)
+        assert html_text.extract(r.html.replace("<article>", "<div>").replace("</article>", "</div>")) == want
+        assert html_text.extract(r.html.replace("<article>", "").replace("</article>", "")) == want
+
+
+def test_html_clusters_cut_link_lists_and_odd_lines():
+    text = "This sentence of the article is of a usual length and tells something. " * 8
+    flat = f"<body><div><a href=/>Home</a> <a href=/a>About</a></div><div><a>x</a></div><h1>Title</h1><p>{text}</p><p>Short.</p><p>{text}</p><p>End.</p><div>(c) 2020 Site</div></body>"
+    assert html_text.extract(flat) == f"Title\n{text.strip()}\nShort.\n{text.strip()}\nEnd."
+    links = f"<article><p>{text}</p><ul><li><a>one</a><li><a>two</a></ul><p>{text}</p><div><a>t1</a></div><div><a>t2</a></div><div><a>t3</a></div></article>"
+    assert html_text.extract(links) == f"{text.strip()}\none\ntwo\n{text.strip()}"
+
+
+def test_html_time_is_linear(spark):
+    import time
+
+    for part in ("<td>some text", "<div>some text", "<p class=social>x", '<div class="ad">x', '<span class="ad">x', "<tr><td>x", "<li>x", "<dl><dt>x", "<nav>x", "</div>x", "<article>x", '<div class="comments"><article>x'):
+        times = []
+        for n in (4000, 40_000):
+            t = time.process_time()
+            html_text.extract(part * n)
+            times.append(time.process_time() - t)
+        assert times[1] < 40 * times[0] + 0.5, (part, times)
+    cells = html_text.extract("<table>" + "<tr><td>some longer text" * 60_000)
+    assert cells.count("\n") == 59_999
+    assert got(html_text.extract_text(spark.createDataFrame([], "page_id bigint, url string, html string"))) == []
+
+
 # 8
 def brute_contamination(rows, items, size=13):
     windows = defaultdict(set)
@@ -438,6 +639,7 @@ def test_decontamination_on_odd_tables(spark):
     items = [(1, "one"), (2, "Ipsum, DOLOR sit"), (2, "two words"), (None, "amet lorem"), (3, None), (4, "---"), (10, "never seen words"), (9, " ".join(["lorem ipsum dolor sit amet"] * 5)), (9, " ".join(["lorem ipsum dolor sit amet"] * 5))]
     bench = spark.createDataFrame([(*x, "k", 1) for x in items], "item_id bigint, text string, doc_id string, n_hit int")
     assert digest(decontaminate.find_contamination(odd(spark), bench)) == brute_contamination(ODD, items)
+    assert digest(decontaminate.find_contamination(odd(spark), bench, block_words=4)) == brute_contamination(ODD, items)  # a vocabulary a block
     assert digest(decontaminate.find_contamination(odd(spark), bench.limit(0))) == brute_contamination(ODD, [])
     assert digest(decontaminate.find_contamination(odd(spark).limit(0), bench)) == []
 
@@ -509,6 +711,15 @@ def test_secrets(spark, sf, sample):
     key = next(f for f in by[3]["found"] if f.kind == "access")
     assert (key.owners, key.repos, key.copies, key.live) == (3, 3, 3, False)
     assert by[20]["spans"] == "" and by[7]["spans"] == ""  # widely copied: no secret
+    rows = [(r.doc_id, r["source"], r.text) for r in spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "source", "text").collect()]
+    owners, repos = defaultdict(set), defaultdict(set)
+    for k, (_, source, t) in enumerate(rows):
+        for *_, s in secrets.candidates(t or ""):
+            owners[s].add(source), repos[s].add(k)
+    told = {r["doc_id"]: r for r in got(secrets.scan_secrets(spark.read.parquet(f"{sf}/documents.parquet")))}
+    for i, _, t in rows:  # base spans with the owners and repositories that a count over all rows gives
+        want = sorted((a, b, k, len(owners[s]), len(repos[s]), len(owners[s]) < 3) for a, b, k, s in secrets.candidates(t or "") if k != "entropy" or len(owners[s]) < 3)
+        assert sorted((f.start, f.end, f.kind, f.owners, f.repos, f.live) for f in told[i]["found"]) == want
     assert got(secrets.scan_secrets(small.limit(0))) == []
 
 
@@ -533,6 +744,14 @@ def test_pipeline_stages(spark, sf):
     assert left == set(ids[-1])
 
 
+def test_pipeline_on_an_empty_table(spark, sf):
+    import corpus_pipeline as p
+
+    docs = spark.createDataFrame([], "doc_id bigint, text string, lang string, source string, n_chars bigint")
+    for _, stage in p.STAGES:
+        assert got(stage(spark, docs, sf)) == []
+
+
 def test_pipeline_decides_by_row(spark, sf):
     import corpus_pipeline as p
 
