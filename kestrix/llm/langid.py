@@ -9,7 +9,6 @@ document is scored, without a shuffle.
 from __future__ import annotations
 
 import re
-import zlib
 from collections.abc import Iterator
 from itertools import combinations
 
@@ -29,10 +28,15 @@ FAMILIES = {
     "indic": "bn gu hi mr ne pa si ur",
 }
 FAMILY = {code: family for family, codes in FAMILIES.items() for code in codes.split()}
-LETTER = re.compile(r"[^\W\d_]")
+_LATIN = re.compile("[A-Za-z]")
 UND = "und"
 
 
+def lettered(text: str) -> bool:
+    """Whether any character is a letter (Unicode category L; numerals such as \u00b2 or \u2167 are none)."""
+    return bool(_LATIN.search(text)) or not text.isascii() and any(map(str.isalpha, text))
+
+
 def vector(text: str, dim: int) -> np.ndarray:
     """Hashed counts of byte bigrams, trigrams and 4-grams of the lower-cased letters and spaces of a whole text, square-rooted and of unit length."""
     raw = np.frombuffer((" " + text.lower() + " ").encode("utf-8", "surrogatepass"), np.uint8)
@@ -52,7 +56,9 @@ def vector(text: str, dim: int) -> np.ndarray:
 
 
 class Model:
-    """Family log-likelihood weights and, by family, a hyperplane for each pair of its languages."""
+    """Family log-likelihood weights and, by family, a hyperplane for each pair of its languages.
+
+    x may be of halves: rows become floats a batch at a time."""
 
     def __init__(self, x: np.ndarray, y: list[str], epochs: int = 12, lam: float = 1e-3):
         self.langs = sorted(set(y))
@@ -63,7 +69,8 @@ class Model:
         family = np.array([self.families.index(names[i]) for i in lang], int)
         self.bayes = np.zeros((len(self.families), x.shape[1]), np.float32)
         for f in range(len(self.families)):
-            mass = (x[family == f] ** 2).sum(axis=0) + 1e-3
+            rows = np.flatnonzero(family == f)
+            mass = sum((x[rows[k : k + 256]].astype(np.float32) ** 2).sum(axis=0) for k in range(0, len(rows), 256)) + 1e-3
             self.bayes[f] = np.log(mass / mass.sum())
         self.planes = {(a, b): self._svm(x, lang, a, b, epochs, lam) for m in self.members.values() for a, b in combinations(m, 2)}
 
@@ -79,12 +86,13 @@ class Model:
             for k in range(0, len(order), 16):
                 t += 1
                 rows = order[k : k + 16]
-                bad = rows[sign[rows] * (x[at[rows]] @ w + bias) < 1]
+                part = x[at[rows]].astype(np.float32)
+                bad = sign[rows] * (part @ w + bias) < 1
                 rate = 1 / (lam * (t + 100))
                 w *= 1 - rate * lam
-                if len(bad):
-                    w += (rate / len(rows)) * (sign[bad] @ x[at[bad]])
-                    bias += 0.01 * rate / len(rows) * float(sign[bad].sum())
+                if bad.any():
+                    w += (rate / len(rows)) * (sign[rows[bad]] @ part[bad])
+                    bias += 0.01 * rate / len(rows) * float(sign[rows[bad]].sum())
                 mean_w += (w - mean_w) / t
                 mean_b += (bias - mean_b) / t
         return mean_w, mean_b
@@ -117,38 +125,37 @@ class Model:
         return out
 
 
-def train(docs: DataFrame, folds: int = 4, held: int = 2, max_train: int = 3000, dim: int = 4096) -> Model:
+def train(docs: DataFrame, folds: int = 4, held: int = 2, max_train: int = 6000, dim: int = 4096) -> Model:
     """Fit on at most `max_train` documents outside the held-out fold, evenly by language (the
-    smallest reduced id hashes of each). Null texts, texts without letters, null languages teach nothing."""
+    smallest reduced id hashes of each; of more languages than that, a document each of those with the smallest).
+    Null texts, texts without letters, null languages teach nothing; of rows that repeat an id one does."""
     taught = pick(docs, doc_id="bigint", lang="string").dropna().where(fold(F.col("doc_id"), folds) != held).where(F.col("lang") != UND)
-    counts = {r["lang"]: r["count"] for r in taught.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(100).collect()}
-    share = max(1, max_train // max(1, len(counts)))
+    counts = taught.groupBy("lang").count()
+    share = max(1, max_train // max(1, counts.count()))
     # by hash, each language is first thinned to some 1.5 shares: what meets in its window does not grow with the table
-    part = F.create_map(*[F.lit(x) for lang, n in counts.items() for x in (lang, min(1.0, (1.5 * share + 200) / n))]) if counts else F.create_map(F.lit(""), F.lit(0.0))
     draw = F.xxhash64("doc_id")
-    thin = taught.where(F.pmod(draw, F.lit(1 << 20)) < part[F.col("lang")] * (1 << 20))
-    rank = Window.partitionBy("lang").orderBy(F.pmod(draw, F.lit(1 << 20)), draw, "doc_id")
-    sample = thin.withColumn("k", F.row_number().over(rank)).where(F.col("k") <= share).select("doc_id", F.col("lang").alias("y"))
-    sample = sample.groupBy("doc_id").agg(F.max("y").alias("y"))
+    part = counts.select("lang", F.least(F.lit(1.0), F.lit(1.5 * share + 200) / F.col("count")).alias("part"))
+    thin = taught.join(part, "lang").where(F.pmod(draw, F.lit(1 << 20)) < F.col("part") * (1 << 20))
+    order = [F.pmod(draw, F.lit(1 << 20)), draw, F.col("doc_id")]
+    sample = thin.withColumn("k", F.row_number().over(Window.partitionBy("lang").orderBy(*order))).where(F.col("k") <= share)
+    sample = sample.groupBy("doc_id").agg(F.max("lang").alias("y")).orderBy(*order).limit(max_train)
 
     def extract(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for texts in batches:
-            yield pd.Series([vector(t, dim).astype(np.float16).tobytes() if LETTER.search(t) else b"" for t in texts])
+            yield pd.Series([vector(t, dim).astype(np.float16).tobytes() if lettered(t) else b"" for t in texts])
 
-    # a row at a time into one array: the driver holds the sample once
+    # at most max_train rows of two values are broadcast; made by all tasks at once, then read a row at a time
     found = documents(docs).join(F.broadcast(sample), "doc_id").select("doc_id", "y", F.pandas_udf(extract, "binary")("text").alias("x"))
-    x, keys = np.zeros((max_train, dim), np.float32), []
-    stored = Workspace(docs.sparkSession, "langid").save(found.where(F.octet_length("x") > 0), "sample")  # made by all tasks at once
-    for r in stored.toLocalIterator():
-        if len(keys) == len(x):  # rows that repeat an id
-            x = np.concatenate([x, np.zeros((256, dim), np.float32)])
+    stored = Workspace(docs.sparkSession, "langid").save(found.groupBy("doc_id", "y").agg(F.max("x").alias("x")), "sample")
+    x, keys = np.zeros((max_train, dim), np.float16), []
+    for r in stored.where(F.octet_length("x") > 0).toLocalIterator():
         x[len(keys)] = np.frombuffer(r.x, np.float16)
-        keys.append((r.doc_id, zlib.crc32(r.x), r.y))
-    order = sorted(range(len(keys)), key=keys.__getitem__)
-    return Model(x[order], [keys[k][2] for k in order])
+        keys.append((r.doc_id, r.y))
+    rows = sorted(range(len(keys)), key=keys.__getitem__)
+    return Model(x[rows], [keys[k][1] for k in rows])
 
 
-def predictor(docs: DataFrame, folds: int = 4, held: int = 2, max_train: int = 3000, dim: int = 4096):
+def predictor(docs: DataFrame, folds: int = 4, held: int = 2, max_train: int = 6000, dim: int = 4096):
     """A column function of a text: struct(lang_pred, score, lettered), from a model fitted on docs. A
     text without letters is never told; one with letters is `und` only where nothing can be learned."""
     model = docs.sparkSession.sparkContext.broadcast(train(docs, folds, held, max_train, dim))
@@ -158,20 +165,19 @@ def predictor(docs: DataFrame, folds: int = 4, held: int = 2, max_train: int = 3
             out: list[tuple[str, float, bool]] = []
             for k in range(0, len(texts), 256):
                 part = texts.iloc[k : k + 256].fillna("")
-                lettered = [bool(LETTER.search(t)) for t in part]
                 got = model.value.predict(np.array([vector(t, dim) for t in part]))
-                out += [(*g, True) if ok else (UND, 0.0, False) for g, ok in zip(got, lettered)]
+                out += [(*g, True) if ok else (UND, 0.0, False) for g, ok in zip(got, map(lettered, part))]
             yield pd.DataFrame(out, columns=["lang_pred", "score", "lettered"])
 
     return F.pandas_udf(run, "lang_pred string, score double, lettered boolean")
 
 
-def identify_language(docs: DataFrame, folds: int = 4, held: int = 2, max_train: int = 3000, dim: int = 4096) -> DataFrame:
+def identify_language(docs: DataFrame, folds: int = 4, held: int = 2, max_train: int = 6000, dim: int = 4096) -> DataFrame:
     """One row per input row: doc_id, held_out, lang_pred, score.
 
     Null or empty texts and texts without letters: `und`, score 0; so are all without a row to
     learn from. Score: share of the family times the mean margin probability of the winner in its
-    pairs. At most the 100 most frequent languages are learned. Null ids are not held out."""
+    pairs. Null ids are not held out."""
     predict = predictor(docs, folds, held, max_train, dim)
     rows = documents(docs).select("doc_id", (fold(F.col("doc_id"), folds) == held).alias("held_out"), predict("text").alias("r"))
     return rows.select("doc_id", "held_out", "r.lang_pred", "r.score")
