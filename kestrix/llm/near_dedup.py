@@ -162,8 +162,10 @@ def _full_sets(docs: DataFrame, classes: DataFrame, cids: DataFrame, size: int)
             yield pd.DataFrame(out, columns=["sig", "hashes"])
 
     texts = documents(docs).select(F.coalesce("doc_id", null).alias("id"), "text").join(wanted, "id")
-    # the function sees both sides of the join, so it runs after it, on candidates only
-    sets = texts.select("cid", "keys", F.pandas_udf(full, "sig binary, hashes binary")("text", "set").alias("r")).where("r.hashes is not null")
+    # the function sees both sides of the join, so it runs after it, on candidates only; were it taken for
+    # deterministic, the filter would be pushed below it and run it a second time, in other Python workers
+    made = F.pandas_udf(full, "sig binary, hashes binary").asNondeterministic()
+    sets = texts.select("cid", "keys", made("text", "set").alias("r")).where("r.hashes is not null")
     return sets.select("cid", "keys", "r.*").dropDuplicates(["cid"])  # rows that repeat an id and a set
 
 
