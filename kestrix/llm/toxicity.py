@@ -2,12 +2,13 @@
 
 Per-coordinate rates and L1 sparsity leave a small set of non-zero weights. The model is
 fitted on a bounded sample of labelled rows (`max_train`, smallest id hashes); its features
-are made on the executors, and scoring covers every document without a shuffle.
+are made on the executors and stored, each epoch streams them past the driver a row at a time, and
+scoring covers every document without a shuffle.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass
 from zlib import crc32
 
@@ -15,7 +16,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
-from .common import WORD, documents, fold, lower, pick, training_ids
+from .common import WORD, Workspace, documents, fold, lower, pick, training_ids
 
 _MULT = np.uint64(0x9E3779B97F4A7C15)
 
@@ -76,13 +77,14 @@ class Ftrl:
     l2: float = 1.0
     epochs: int = 3
 
-    def fit(self, rows: list[np.ndarray], y: np.ndarray) -> tuple[np.ndarray, np.ndarray, float]:
-        """Non-zero indices, their weights, and the bias (which L1 does not shrink)."""
+    def fit(self, rows: Callable[[], Iterable[tuple[np.ndarray, float]]], rate: float = 0.5) -> tuple[np.ndarray, np.ndarray, float]:
+        """Non-zero indices, their weights, and the bias (which L1 does not shrink). rows: gives the
+        rows (distinct indices, label) anew for each epoch; rate: share of label 1, where the bias starts."""
         z, n = np.zeros(1 << self.bits), np.zeros(1 << self.bits)
-        rate = min(max(float(y.mean()) if len(y) else 0.5, 1e-3), 1 - 1e-3)
+        rate = min(max(rate, 1e-3), 1 - 1e-3)
         bias, seen = np.log(rate / (1 - rate)), 1.0
         for _ in range(self.epochs):
-            for idx, label in zip(rows, y):
+            for idx, label in rows():
                 w = self._weights(z[idx], n[idx])
                 g = _sigmoid(bias + w.sum()) - label
                 more = np.sqrt(n[idx] + g * g) - np.sqrt(n[idx])
@@ -103,10 +105,11 @@ def _sigmoid(x: float) -> float:
     return float(1 / (1 + np.exp(-np.clip(x, -35, 35))))
 
 
-def train(docs: DataFrame, labels: DataFrame, y: str = "toxic", folds: int = 5, held: int = 0, max_train: int = 8_000, model: Ftrl | None = None):
+def train(docs: DataFrame, labels: DataFrame, y: str = "toxic", folds: int = 5, held: int = 0, max_train: int = 16_000, model: Ftrl | None = None):
     """Fit on at most `max_train` labelled rows outside the held-out fold.
 
-    Labels repeated for an id: the largest counts. Null ids or labels teach nothing."""
+    Labels repeated for an id: the largest counts; of rows that repeat an id one teaches. Null ids or labels
+    teach nothing. A row of the sample has at most 2**bits indices, and the driver holds one at a time."""
     model = model or Ftrl()
     bits = model.bits
     taught = pick(labels, doc_id="bigint", **{y: "int"}).dropna().where(fold(F.col("doc_id"), folds) != held)
@@ -116,12 +119,18 @@ def train(docs: DataFrame, labels: DataFrame, y: str = "toxic", folds: int = 5,
         for texts in batches:
             yield pd.Series([features(t, bits).tobytes() for t in texts])
 
-    found = documents(docs).join(F.broadcast(sample), "doc_id").select("doc_id", "y", F.pandas_udf(extract, "binary")("text").alias("f")).collect()
-    found.sort(key=lambda r: (crc32(str(r.doc_id).encode()), r.doc_id, bytes(r.f)))
-    return model.fit([np.frombuffer(r.f, np.uint32) for r in found], np.array([r.y for r in found], float))
+    found = documents(docs).join(F.broadcast(sample), "doc_id").select("doc_id", "y", F.pandas_udf(extract, "binary")("text").alias("f"))
+    stored = Workspace(docs.sparkSession, "toxicity").save(found.groupBy("doc_id", "y").agg(F.max("f").alias("f")), "sample")
+    rate = stored.agg(F.avg("y")).first()[0]
 
+    def rows() -> Iterator[tuple[np.ndarray, float]]:
+        for r in stored.orderBy(F.crc32(F.col("doc_id").cast("string")), "doc_id").toLocalIterator():
+            yield np.frombuffer(r.f, np.uint32), r.y
 
-def score_toxicity(docs: DataFrame, labels: DataFrame, y: str = "toxic", folds: int = 5, held: int = 0, max_train: int = 8_000, model: Ftrl | None = None) -> DataFrame:
+    return model.fit(rows, 0.5 if rate is None else rate)
+
+
+def score_toxicity(docs: DataFrame, labels: DataFrame, y: str = "toxic", folds: int = 5, held: int = 0, max_train: int = 16_000, model: Ftrl | None = None) -> DataFrame:
     """One row per input row: doc_id, held_out, score, predicted, n_features (distinct ones).
 
     Null or empty text scores the bias alone; without any labelled row every score is 0.5.
