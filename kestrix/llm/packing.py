@@ -51,7 +51,7 @@ def _encoder(path: str, ranks: str | None):
 
 
 def tokenize(docs: DataFrame, path: str, ranks: str | None, size: int, end_id: int, ws: Workspace) -> DataFrame:
-    """A stored table of pieces: doc_id, start, length, ids_crc32, doc_tokens and, for a window that is not
+    """A stored table of pieces: their number (piece), doc_id, start, length, ids_crc32, doc_tokens and, for a window that is not
     full, its ids (binary, 32 bits each) and `sign`, the id with the least hash; full windows have a sequence id."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -73,7 +73,7 @@ def tokenize(docs: DataFrame, path: str, ranks: str | None, size: int, end_id: i
 
     rows = documents(docs).select(F.col("doc_id").cast("string"), "text")  # pandas would make ids with nulls floats
     made = rows.mapInPandas(run, "id string, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, sequence_id bigint, ids binary, sign bigint")
-    return ws.save(made.withColumn("doc_id", F.col("id").cast("bigint")).drop("id"), "pieces")
+    return ws.save(made.withColumn("doc_id", F.col("id").cast("bigint")).drop("id").withColumn("piece", F.monotonically_increasing_id()), "pieces")
 
 
 def _document_frequencies(rest: DataFrame) -> tuple[np.ndarray, np.ndarray, int, float]:
@@ -210,9 +210,9 @@ def pack(docs: DataFrame, path: str, ranks: str | None = None, size: int = 2048,
     """One row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset.
 
     Null and empty texts are the end token alone. Null ids stay null; rows that repeat an id are
-    documents of their own. An empty table packs to no rows. A shard holds at most
+    documents of their own. An empty table packs to no rows. A shard holds some
     `shard_pieces` pieces of under `size` tokens, so its memory is bounded; a sign that more pieces
-    share is spread over several shards."""
+    share is spread over several shards by a hash of the pieces' numbers, whatever their ids."""
     spark = docs.sparkSession
     ws = Workspace(spark, "packing")
     pieces = tokenize(docs, path, ranks, size, end_id, ws)
@@ -240,7 +240,7 @@ def pack(docs: DataFrame, path: str, ranks: str | None = None, size: int = 2048,
         got = group.iloc[k].reset_index(drop=True)
         return pd.DataFrame({"id": got["id"], "start": got["start"] + np.array(at), "length": n, "ids_crc32": crc, "doc_tokens": got["doc_tokens"], "sequence_id": np.array(q, np.int64) << 1, "offset": offset})
 
-    dealt = rest.withColumn("order", F.xxhash64("doc_id", "start")).withColumn("shard", F.pandas_udf(deal, "bigint")("sign", F.pmod("order", F.lit(1 << 30))))
+    dealt = rest.withColumn("order", F.xxhash64("piece")).withColumn("shard", F.pandas_udf(deal, "bigint")("sign", F.pmod("order", F.lit(1 << 30))))
     dealt = dealt.select("shard", F.col("doc_id").cast("string").alias("id"), "start", "ids_crc32", "doc_tokens", "ids", "order")
     packed = dealt.groupBy("shard").applyInPandas(run, "id string, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, sequence_id bigint, offset bigint")
     names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]
