@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from .common import Workspace, documents, fold, pick
 
-FEATURES = ("log_words", "mean_word", "distinct_share", "top_share", "upper_share", "digit_share", "symbol_share", "letter_share", "end_share", "pipe_share", "marked_share", "line_words", "repeat_lines", "repeat_pairs", "bang_share", "word_entropy")
+FEATURES = ("log_words", "mean_word", "distinct_share", "top_share", "upper_share", "digit_share", "symbol_share", "letter_share", "end_share", "lone_symbols", "symbol_runs", "line_words", "repeat_lines", "repeat_pairs", "char_entropy", "word_entropy")
 _ASCII = np.zeros(256, np.uint8)  # 1 upper, 2 lower, 3 digit, 4 white space, 5 usual punctuation, 6 other symbols; 7 beyond ASCII
 _ASCII[33:127], _ASCII[128:] = 6, 7
 for _kind, _set in enumerate((b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz", b"0123456789", b" \t\n\r\x0b\x0c", b".,;:'\"()-?"), 1):
@@ -31,14 +31,20 @@ def statistics(text: str) -> list[float]:
     if not n:
         return [0.0] * len(FEATURES)
     raw = np.frombuffer(text.encode("utf-8", "surrogatepass"), np.uint8)
-    kinds = np.bincount(_ASCII[raw], minlength=8)
+    chars = np.bincount(raw, minlength=256)
+    kinds = np.bincount(_ASCII, weights=chars, minlength=8).astype(int)
+    kind = _ASCII[raw]
     solid = max(1, int(len(raw) - kinds[4]))
     counts = Counter(words)
     freq = np.fromiter(counts.values(), float, len(counts)) / n
     lines = [x for x in text.split("\n") if x.strip()]
     letters = kinds[1] + kinds[2] + kinds[7]
     sentence = sum(map(text.count, (". ", ".\n", "? ", "! "))) + 1
-    marks = sum(map(text.count, ("%%%", "$$$", "###", "&&&", "***")))
+    symbol = (kind == 5) | (kind == 6)
+    runs = int((symbol[1:] & (raw[1:] == raw[:-1])).sum())  # symbols that repeat the one before
+    first = np.flatnonzero((kind != 4) & np.concatenate([[True], kind[:-1] == 4]))
+    lone = int((~np.logical_or.reduceat(~symbol & (kind > 0) & (kind != 4), first)).sum()) if len(first) else 0  # runs without letter or digit
+    share = chars[chars > 0] / len(raw)
     pairs = len(set(zip(words, words[1:])))
     logit = lambda x: float(np.log((x + 0.005) / (1.005 - x)))
     return [
@@ -51,12 +57,12 @@ def statistics(text: str) -> list[float]:
         logit(kinds[6] / solid),
         logit(min(1.0, letters / solid)),
         float(np.log((sentence + 0.5) / (n + 1))),
-        logit(min(1.0, counts.get("|", 0) / n)),
-        logit(min(1.0, marks / n)),
+        logit(min(1.0, lone / n)),
+        logit(min(1.0, runs / solid)),
         float(np.log(n / max(1, len(lines)))),
         logit(1 - len(set(lines)) / max(1, len(lines))),
         logit(1 - pairs / max(1, n - 1)),
-        logit(min(1.0, text.count("!!") / n)),
+        float(-(share * np.log(share)).sum()),
         float(-(freq * np.log(freq)).sum() / np.log(n + 1.0)),
     ]
 
