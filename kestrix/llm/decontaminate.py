@@ -1,10 +1,10 @@
 """Benchmark decontamination over a distributed positional inverted index.
 
-The index is partitioned by documents: each row holds the postings (term, sorted positions) of
-some documents for all terms that a benchmark item uses, and is stored in the shared folder. A
-search takes the benchmark in blocks of bounded size; each window starts from the positions of
-its rarest term (by frequency over all documents) and intersects the offset-adjusted lists of the
-others, rarest first. Exact phrases need every term at its place, proximity matches each within
+The benchmark is taken in blocks of items of bounded size, so that its vocabulary, windows and what
+is broadcast of them are bounded too. A block's index is partitioned by documents: each row holds
+the postings (term, sorted positions) of some documents for all terms that an item of the block
+uses, and is stored in the shared folder. Each window starts from the positions of its rarest term (by frequency over all documents)
+and intersects the offset-adjusted lists of the others, rarest first. Exact phrases need every term at its place, proximity matches each within
 `slop` words of it.
 """
 
@@ -83,14 +83,15 @@ class Windows:
         return (np.concatenate(found_w), np.concatenate(found_s)) if found_w else (empty, empty)
 
 
-def build_index(docs: DataFrame, vocab: list[str], gap: int, ws: Workspace, shard_words: int = 250_000) -> DataFrame:
-    """The stored index: a row for each run of documents of some `shard_words` words (a longer
-    document has a row of its own); `gap` free positions part documents."""
-    shared = docs.sparkSession.sparkContext.broadcast(vocab)
+def build_index(rows: DataFrame, vocab: list[str], gap: int, ws: Workspace, name: str = "index", shard_words: int = 250_000) -> DataFrame:
+    """The stored index of rows (row, doc_id, text): a row for each run of documents of some `shard_words`
+    words (a longer document has a row of its own); `gap` free positions part documents."""
+    shared = rows.sparkSession.sparkContext.broadcast(vocab)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         number = {w: k for k, w in enumerate(shared.value)}
         ids: list = []
+        numbers: list[int] = []
         sizes: list[int] = []
         parts: list[np.ndarray] = []
         places: list[np.ndarray] = []
@@ -100,27 +101,27 @@ def build_index(docs: DataFrame, vocab: list[str], gap: int, ws: Workspace, shar
             term, place = (np.concatenate(x) if x else np.empty(0, np.int64) for x in (parts, places))
             order = np.argsort(term, kind="stable")
             distinct, first = np.unique(term[order], return_index=True)
-            return pd.DataFrame({"doc_ids": [ids], "sizes": [sizes], "terms": [distinct.astype(np.int32).tobytes()], "starts": [first.astype(np.int64).tobytes()], "positions": [place[order].astype(np.int64 if base >> 31 else np.int32).tobytes()]})
+            return pd.DataFrame({"rows": [numbers], "doc_ids": [ids], "sizes": [sizes], "terms": [distinct.astype(np.int32).tobytes()], "starts": [first.astype(np.int64).tobytes()], "positions": [place[order].astype(np.int64 if base >> 31 else np.int32).tobytes()]})
 
         for batch in batches:
-            for doc_id, text in zip(batch["doc_id"], batch["text"]):
+            for number_, doc_id, text in zip(batch["row"], batch["doc_id"], batch["text"]):
                 words = words_of(text)
                 t = np.fromiter((number.get(w, -1) for w in words), np.int64, len(words))
                 p = np.flatnonzero(t >= 0)
                 parts.append(t[p])
                 places.append(p + base)
+                numbers.append(number_)
                 ids.append(doc_id)
                 sizes.append(len(words))
                 base += len(words) + gap
                 if base >= shard_words:
                     yield row()
-                    ids, sizes, parts, places, base = [], [], [], [], gap
+                    numbers, ids, sizes, parts, places, base = [], [], [], [], [], gap
         if ids:
             yield row()
 
-    named = documents(docs).select(F.col("doc_id").cast("string"), "text")  # pandas would make numbers with nulls floats
-    rows = named.mapInPandas(run, "doc_ids array<string>, sizes array<bigint>, terms binary, starts binary, positions binary")
-    return ws.save(rows.withColumn("shard", F.monotonically_increasing_id()), "index")
+    named = rows.select("row", F.col("doc_id").cast("string"), "text")  # pandas would make numbers with nulls floats
+    return ws.save(named.mapInPandas(run, "rows array<bigint>, doc_ids array<string>, sizes array<bigint>, terms binary, starts binary, positions binary"), name)
 
 
 def _frequencies(index: DataFrame, size: int) -> np.ndarray:
@@ -150,31 +151,32 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, size: int = 13, sl
     A document is contaminated if n_hit > 0 and share * n_hit >= n_words. Null and empty texts have
     no words and are clean. Items without words have no window; an item without an id has the empty
     name; items that share an id count once. Null document ids stay; repeated rows each get their row.
-    The benchmark is taken in blocks of some `block_words` words, so what is broadcast is bounded;
-    its vocabulary is too (one entry a distinct word; it is checked against 4 million)."""
+    The benchmark is taken in blocks of some `block_words` words, each with an index of its own terms:
+    what is broadcast is bounded however large the benchmark is. A window lies in one item, so in one block."""
     spark = docs.sparkSession
     ws = Workspace(spark, "decontaminate")
     items = pick(benchmark, item_id="string", text="string").withColumn("text", F.coalesce("text", F.lit(""))).select(F.coalesce("item_id", F.lit("")).alias("item_id"), "text")
     small = F.translate("text", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
-    words = items.select("item_id", F.explode(F.regexp_extract_all(small, F.lit(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"), F.lit(0))).alias("w"))
-    total, distinct = words.agg(F.count("w"), F.count_distinct("w")).first()
-    if distinct > 4_000_000:
-        raise ValueError(f"the benchmark has {distinct} distinct words; split it into parts of at most 4 million")
-    vocab = sorted(r.w for r in words.select("w").distinct().collect())
-    number = {w: k for k, w in enumerate(vocab)}
+    words = items.select(F.explode(F.regexp_extract_all(small, F.lit(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"), F.lit(0))).alias("w"))
+    blocks = max(1, -(-words.count() // block_words))
     gap = size + 2 * (slop or 0) + 1
-    index = build_index(docs, vocab, gap, ws)
-    frequency = _frequencies(index, len(vocab))
-    blocks = max(1, -(-total // block_words))
+    rows = documents(docs).withColumn("row", F.monotonically_increasing_id())
+    if blocks > 1:
+        rows = ws.save(rows, "rows")  # so that blocks see the same numbers
     parts = None
     for b in range(blocks):
-        mine = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == b).collect()
-        windows = Windows([(r.item_id, words_of(r.text)) for r in mine], number, frequency, size)
+        mine = [(r.item_id, words_of(r.text)) for r in items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == b).collect()]
+        vocab = sorted({w for _, text in mine for w in text})
+        index = build_index(rows, vocab, gap, ws, f"index{b}")
+        windows = Windows(mine, {w: k for k, w in enumerate(vocab)}, _frequencies(index, len(vocab)), size)
         part = _search(index, windows, gap, slop)
+        if blocks > 1:
+            part = ws.save(part, f"found{b}")
+            ws.drop(f"index{b}")
         parts = part if parts is None else parts.unionByName(part)
     if blocks > 1:
         flat = lambda c: F.flatten(F.collect_list(c)).alias(c)
-        parts = parts.groupBy("shard", "ordinal").agg(F.first("doc_id").alias("doc_id"), F.first("n_words").alias("n_words"), flat("spans"), F.sort_array(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"), F.sum("n_near").alias("n_near"))
+        parts = parts.groupBy("row").agg(F.first("doc_id").alias("doc_id"), F.first("n_words").alias("n_words"), flat("spans"), F.sort_array(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"), F.sum("n_near").alias("n_near"))
     # spans are disjoint and sorted within a block; over blocks, each adds what lies beyond those before
     union = F.aggregate(F.array_sort("spans"), F.struct(F.lit(0).cast("bigint").alias("n"), F.lit(0).cast("bigint").alias("end")), lambda a, s: F.struct((a["n"] + F.greatest(F.lit(0), s["to"] - F.greatest(s["from"], a["end"]))).alias("n"), F.greatest(a["end"], s["to"]).alias("end")))
     out = parts.select("doc_id", "n_words", union["n"].alias("n_hit"), F.size("items").cast("bigint").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), "items", "n_near")
@@ -182,7 +184,7 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, size: int = 13, sl
 
 
 def _search(index: DataFrame, windows: Windows, gap: int, slop: int | None) -> DataFrame:
-    """A row for each document: shard, ordinal, doc_id, n_words, spans of hit words, items, n_near."""
+    """A row for each document: row, doc_id, n_words, spans of hit words, items, n_near."""
     shared = index.sparkSession.sparkContext.broadcast(windows)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -213,9 +215,9 @@ def _search(index: DataFrame, windows: Windows, gap: int, slop: int | None) -> D
                     else:
                         mine.append({"from": first, "to": first + n})
                     items[d].update(win.items[i] for i in win.owners[k])
-                yield pd.DataFrame({"shard": r.shard, "ordinal": np.arange(len(sizes)), "doc_id": pd.array([None if x is None else int(x) for x in r.doc_ids], "Int64"), "n_words": sizes, "spans": spans, "items": [sorted(x) for x in items], "n_near": near if slop is not None else pd.array([None] * len(sizes), "Int64")})
+                yield pd.DataFrame({"row": np.array(r.rows, np.int64), "doc_id": pd.array([None if x is None else int(x) for x in r.doc_ids], "Int64"), "n_words": sizes, "spans": spans, "items": [sorted(x) for x in items], "n_near": near if slop is not None else pd.array([None] * len(sizes), "Int64")})
 
-    return index.mapInPandas(run, "shard bigint, ordinal bigint, doc_id bigint, n_words bigint, spans array<struct<`from`: bigint, `to`: bigint>>, items array<string>, n_near bigint")
+    return index.mapInPandas(run, "row bigint, doc_id bigint, n_words bigint, spans array<struct<`from`: bigint, `to`: bigint>>, items array<string>, n_near bigint")
 
 
 def items_digest(names: list[str]) -> str:
