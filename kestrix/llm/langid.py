@@ -169,7 +169,8 @@ def predictor(docs: DataFrame, folds: int = 4, held: int = 2, max_train: int = 6
                 out += [(*g, True) if ok else (UND, 0.0, False) for g, ok in zip(got, map(lettered, part))]
             yield pd.DataFrame(out, columns=["lang_pred", "score", "lettered"])
 
-    return F.pandas_udf(run, "lang_pred string, score double, lettered boolean")
+    # taken for deterministic, a filter on one field would be pushed below and run the model a second time
+    return F.pandas_udf(run, "lang_pred string, score double, lettered boolean").asNondeterministic()
 
 
 def identify_language(docs: DataFrame, folds: int = 4, held: int = 2, max_train: int = 6000, dim: int = 4096) -> DataFrame:

@@ -744,6 +744,18 @@ def test_pipeline_stages(spark, sf):
     assert left == set(ids[-1])
 
 
+def test_language_stage_names_the_languages_that_are_missing(spark, sf):
+    import corpus_pipeline as p
+    from pyspark.sql import functions as F
+
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select(*p.COLUMNS)
+    gap = F.col("doc_id") % 7 == 3
+    out = got(p.language_id(spark, docs.withColumn("lang", F.when(~gap, F.col("lang"))), sf))
+    truth = {r.doc_id: r["lang"] for r in docs.collect()}
+    assert len(out) == len(truth) and all(r["lang"] == truth[r["doc_id"]] for r in out if r["doc_id"] % 7 != 3)
+    assert np.mean([r["lang"] == truth[r["doc_id"]] for r in out if r["doc_id"] % 7 == 3]) > 0.98
+
+
 def test_pipeline_on_an_empty_table(spark, sf):
     import corpus_pipeline as p
 
