@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from kestrix.llm.common import Workspace, table
 from kestrix.llm.decontaminate import find_contamination
 from kestrix.llm.exact_dedup import exact_dedup
-from kestrix.llm.langid import predictor
+from kestrix.llm.langid import UND, predictor
 from kestrix.llm.near_dedup import near_duplicates
 from kestrix.llm.packing import pack
 from kestrix.llm.queries import tokenizer_paths
@@ -47,9 +47,11 @@ def _one_of_each(keyed: DataFrame, groups: DataFrame, best: Column) -> DataFrame
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops null texts and texts without letters, whatever could be learned from the table."""
+    """Drops null texts and texts without letters, whatever could be learned from the table, and gives
+    documents without a language the one that is predicted. A language that a document states stays."""
     told = _plain(docs).withColumn("_p", predictor(docs)(F.coalesce("text", F.lit(""))))
-    return told.where("_p.lettered").drop("_p")
+    named = F.coalesce("lang", F.nullif(F.col("_p.lang_pred"), F.lit(UND)))
+    return _plain(told.where("_p.lettered").withColumn("lang", named))
 
 
 def exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
