@@ -127,15 +127,15 @@ class Model:
 
 def train(docs: DataFrame, folds: int = 4, held: int = 2, max_train: int = 6000, dim: int = 4096) -> Model:
     """Fit on at most `max_train` documents outside the held-out fold, evenly by language (the
-    smallest reduced id hashes of each; of more languages than that, a document each of those with the smallest).
+    smallest reduced id hashes of each; of more languages than that, a document each of the most frequent).
     Null texts, texts without letters, null languages teach nothing; of rows that repeat an id one does."""
     taught = pick(docs, doc_id="bigint", lang="string").dropna().where(fold(F.col("doc_id"), folds) != held).where(F.col("lang") != UND)
-    counts = taught.groupBy("lang").count()
+    counts = taught.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(max_train)
     share = max(1, max_train // max(1, counts.count()))
     # by hash, each language is first thinned to some 1.5 shares: what meets in its window does not grow with the table
     draw = F.xxhash64("doc_id")
     part = counts.select("lang", F.least(F.lit(1.0), F.lit(1.5 * share + 200) / F.col("count")).alias("part"))
-    thin = taught.join(part, "lang").where(F.pmod(draw, F.lit(1 << 20)) < F.col("part") * (1 << 20))
+    thin = taught.join(F.broadcast(part), "lang").where(F.pmod(draw, F.lit(1 << 20)) < F.col("part") * (1 << 20))
     order = [F.pmod(draw, F.lit(1 << 20)), draw, F.col("doc_id")]
     sample = thin.withColumn("k", F.row_number().over(Window.partitionBy("lang").orderBy(*order))).where(F.col("k") <= share)
     sample = sample.groupBy("doc_id").agg(F.max("lang").alias("y")).orderBy(*order).limit(max_train)
@@ -144,13 +144,15 @@ def train(docs: DataFrame, folds: int = 4, held: int = 2, max_train: int = 6000,
         for texts in batches:
             yield pd.Series([vector(t, dim).astype(np.float16).tobytes() if lettered(t) else b"" for t in texts])
 
-    # at most max_train rows of two values are broadcast; made by all tasks at once, then read a row at a time
+    # at most max_train rows of two values are broadcast, here as above; made by all tasks at once, then read a row at a time
     found = documents(docs).join(F.broadcast(sample), "doc_id").select("doc_id", "y", F.pandas_udf(extract, "binary")("text").alias("x"))
-    stored = Workspace(docs.sparkSession, "langid").save(found.groupBy("doc_id", "y").agg(F.max("x").alias("x")), "sample")
+    ws = Workspace(docs.sparkSession, "langid")
+    stored = ws.save(found.groupBy("doc_id", "y").agg(F.max("x").alias("x")), "sample")
     x, keys = np.zeros((max_train, dim), np.float16), []
     for r in stored.where(F.octet_length("x") > 0).toLocalIterator():
         x[len(keys)] = np.frombuffer(r.x, np.float16)
         keys.append((r.doc_id, r.y))
+    ws.drop()
     rows = sorted(range(len(keys)), key=keys.__getitem__)
     return Model(x[rows], [keys[k][1] for k in rows])
 
