@@ -70,12 +70,28 @@ def small_batches(spark: SparkSession, rows: int = 1000):
         spark.conf.set(name, before)
 
 
+_scopes: list[list[Workspace]] = []
+
+
+@contextmanager
+def scratch():
+    """The workspaces that operators make in here are dropped at its end: for results that are stored by then."""
+    _scopes.append([])
+    try:
+        yield
+    finally:
+        for ws in _scopes.pop():
+            ws.drop()
+
+
 class Workspace:
     """Intermediate tables as Parquet in the shared folder: they cut lineage and survive lost executors."""
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark, self.root = spark, f"{shared_dir(spark)}/kestrix-{name}-{uuid.uuid4().hex}"
         atexit.register(self.drop)
+        if _scopes:
+            _scopes[-1].append(self)
 
     def save(self, df: DataFrame, name: str) -> DataFrame:
         with small_batches(self.spark):

@@ -120,14 +120,17 @@ def train(docs: DataFrame, labels: DataFrame, y: str = "toxic", folds: int = 5,
             yield pd.Series([features(t, bits).tobytes() for t in texts])
 
     found = documents(docs).join(F.broadcast(sample), "doc_id").select("doc_id", "y", F.pandas_udf(extract, "binary")("text").alias("f"))
-    stored = Workspace(docs.sparkSession, "toxicity").save(found.groupBy("doc_id", "y").agg(F.max("f").alias("f")), "sample")
+    ws = Workspace(docs.sparkSession, "toxicity")
+    stored = ws.save(found.groupBy("doc_id", "y").agg(F.max("f").alias("f")), "sample")
     rate = stored.agg(F.avg("y")).first()[0]
 
     def rows() -> Iterator[tuple[np.ndarray, float]]:
         for r in stored.orderBy(F.crc32(F.col("doc_id").cast("string")), "doc_id").toLocalIterator():
             yield np.frombuffer(r.f, np.uint32), r.y
 
-    return model.fit(rows, 0.5 if rate is None else rate)
+    fitted = model.fit(rows, 0.5 if rate is None else rate)
+    ws.drop()
+    return fitted
 
 
 def score_toxicity(docs: DataFrame, labels: DataFrame, y: str = "toxic", folds: int = 5, held: int = 0, max_train: int = 16_000, model: Ftrl | None = None) -> DataFrame:
