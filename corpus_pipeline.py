@@ -6,9 +6,11 @@ of documents. `run` applies them in turn, each stage's result written to the sha
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from kestrix.llm.common import Workspace, table
+from kestrix.llm.common import Workspace, scratch, table
 from kestrix.llm.decontaminate import find_contamination
 from kestrix.llm.exact_dedup import exact_dedup
 from kestrix.llm.langid import UND, predictor
@@ -26,24 +28,23 @@ def _plain(docs: DataFrame) -> DataFrame:
     return docs.select(*COLUMNS)
 
 
-def _keyed(docs: DataFrame, name: str) -> DataFrame:
-    """The documents with a number of each row, stored so that it holds: ids may be null or repeat."""
-    return Workspace(docs.sparkSession, name).save(_plain(docs).withColumn("row", F.monotonically_increasing_id()), "keyed")
-
-
-def _by_row(keyed: DataFrame) -> DataFrame:
-    """The documents as an operator sees them, the row number in place of the id."""
-    return keyed.select(F.col("row").alias("doc_id"), "text")
-
+def _keep(docs: DataFrame, name: str, decide: Callable[[DataFrame, DataFrame], DataFrame]) -> DataFrame:
+    """The documents whose rows an operator keeps.
 
-def _rows(keyed: DataFrame, rows: DataFrame) -> DataFrame:
-    return _plain(keyed.join(rows.select("row"), "row", "left_semi"))
+    Ids may be null or repeat, so the documents are stored with a number of each row. `decide` takes them, and
+    as an operator sees them (the number in place of the id), and gives the numbers that stay; these are stored,
+    after which what the operator stored on its way needs no disk."""
+    ws = Workspace(docs.sparkSession, name)
+    keyed = ws.save(_plain(docs).withColumn("row", F.monotonically_increasing_id()), "keyed")
+    with scratch():
+        rows = ws.save(decide(keyed, keyed.select(F.col("row").alias("doc_id"), "text")).select("row"), "rows")
+    return _plain(keyed.join(rows, "row", "left_semi"))
 
 
-def _one_of_each(keyed: DataFrame, groups: DataFrame, best: Column) -> DataFrame:
-    """The row with the least `best` of each group; groups are (row, group), one row for each document."""
-    named = groups.join(keyed.select("row", "doc_id"), "row")
-    return _rows(keyed, named.groupBy("group").agg(F.min(F.struct(best.alias("best"), "row"))["row"].alias("row")))
+def _one_of_each(keyed: DataFrame, found: DataFrame, group: str, best: Column) -> DataFrame:
+    """The row with the least `best` of each group of an operator's rows."""
+    named = found.select(F.col("doc_id").alias("row"), F.col(group).alias("group")).join(keyed.select("row", "doc_id"), "row")
+    return named.groupBy("group").agg(F.min(F.struct(best.alias("best"), "row"))["row"].alias("row"))
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -56,23 +57,20 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of equal texts the one with the largest id stays."""
-    keyed = _keyed(docs, "exact-rows")
-    found = exact_dedup(_by_row(keyed))
-    return _one_of_each(keyed, found.select(F.col("doc_id").alias("row"), F.col("keep_id").alias("group")), F.struct(F.col("doc_id").isNull(), -F.col("doc_id").cast("decimal(20,0)")))
+    largest = F.struct(F.col("doc_id").isNull(), -F.col("doc_id").cast("decimal(20,0)"))
+    return _keep(docs, "exact-rows", lambda keyed, seen: _one_of_each(keyed, exact_dedup(seen), "keep_id", largest))
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates stays, the one with the least id."""
-    keyed = _keyed(docs, "near-rows")
-    found = near_duplicates(_by_row(keyed))[0]
-    return _one_of_each(keyed, found.select(F.col("doc_id").alias("row"), F.col("component_id").alias("group")), F.struct(F.col("doc_id").isNull(), F.col("doc_id")))
+    least = F.struct(F.col("doc_id").isNull(), F.col("doc_id"))
+    return _keep(docs, "near-rows", lambda keyed, seen: _one_of_each(keyed, near_duplicates(seen)[0], "component_id", least))
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops contaminated documents."""
-    keyed = _keyed(docs, "clean-rows")
-    found = find_contamination(_by_row(keyed), table(spark, sf_dir, "benchmark"))
-    return _rows(keyed, found.where(~F.col("contaminated")).select(F.col("doc_id").alias("row")))
+    benchmark = table(spark, sf_dir, "benchmark")
+    return _keep(docs, "clean-rows", lambda keyed, seen: find_contamination(seen, benchmark).where(~F.col("contaminated")).select(F.col("doc_id").alias("row")))
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
