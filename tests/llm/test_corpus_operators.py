@@ -744,6 +744,21 @@ def test_pipeline_stages(spark, sf):
     assert left == set(ids[-1])
 
 
+def test_pipeline_over_files(spark, sf, tmp_path, monkeypatch):
+    """Rows numbered by file and place, and rows stored with a number, give the same documents."""
+    import corpus_pipeline as p
+
+    base = " ".join(f"w{i}" for i in range(80))
+    rows = [(k, base if k % 5 == 0 else f"{base} tail" if k % 5 == 1 else f"Text number {k} of the table", "en", "s", 1) for k in range(60)] + [(None, "no id", "en", "s", 1)] * 2
+    spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string, n_chars bigint").repartition(7).write.parquet(f"{tmp_path}/docs")
+    docs, seen = spark.read.parquet(f"{tmp_path}/docs"), []
+    for most in (10_000, 3):
+        monkeypatch.setattr(p, "MOST_FILES", most)
+        for _, stage in p.STAGES[1:4]:
+            seen.append(sorted(map(str, stage(spark, docs, sf).collect())))
+    assert seen[:3] == seen[3:] and [len(x) for x in seen[:3]] == [39, 38, 62]
+
+
 def test_language_stage_names_the_languages_that_are_missing(spark, sf):
     import corpus_pipeline as p
     from pyspark.sql import functions as F
