@@ -19,6 +19,7 @@ from kestrix.llm.packing import pack
 from kestrix.llm.queries import tokenizer_paths
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
+MOST_FILES = 10_000
 
 #: Packed pieces are ids of a tokenizer, which SQL cannot make.
 ORACLE_SQL = None
@@ -28,22 +29,37 @@ def _plain(docs: DataFrame) -> DataFrame:
     return docs.select(*COLUMNS)
 
 
+def _numbered(docs: DataFrame, ws: Workspace) -> DataFrame:
+    """The documents with a number of each row (ids may be null or repeat) that every run gives anew.
+
+    Rows of files are numbered by file and place in it, over a broadcast table of the files where these are
+    at most MOST_FILES; the rows of other tables, or of more files, are stored with a number."""
+    if docs._jdf.queryExecution().analyzed().nodeName() == "LogicalRelation":
+        path = F.col("_metadata.file_path").alias("_path")
+        files = docs.select(path).distinct().limit(MOST_FILES + 1).collect()
+        if len(files) <= MOST_FILES:
+            number = docs.sparkSession.createDataFrame([(k, r[0]) for k, r in enumerate(sorted(files))], "_file bigint, _path string")
+            rows = docs.select(*COLUMNS, path, F.col("_metadata.row_index").alias("_row")).join(F.broadcast(number), "_path")
+            return rows.select(*COLUMNS, (F.shiftleft("_file", 40) + F.col("_row")).alias("row"))
+    return ws.save(_plain(docs).withColumn("row", F.monotonically_increasing_id()), "numbered")
+
+
 def _keep(docs: DataFrame, name: str, decide: Callable[[DataFrame, DataFrame], DataFrame]) -> DataFrame:
     """The documents whose rows an operator keeps.
 
-    Ids may be null or repeat, so the documents are stored with a number of each row. `decide` takes them, and
-    as an operator sees them (the number in place of the id), and gives the numbers that stay; these are stored,
-    after which what the operator stored on its way needs no disk."""
+    `decide` takes the numbered documents, and as an operator sees them (the number in place of the id), and gives
+    the numbers that stay; these are stored, after which what the operator stored on its way needs no disk. They
+    grow with the documents, so they are never broadcast."""
     ws = Workspace(docs.sparkSession, name)
-    keyed = ws.save(_plain(docs).withColumn("row", F.monotonically_increasing_id()), "keyed")
+    numbered = _numbered(docs, ws)
     with scratch():
-        rows = ws.save(decide(keyed, keyed.select(F.col("row").alias("doc_id"), "text")).select("row"), "rows")
-    return _plain(keyed.join(rows, "row", "left_semi"))
+        rows = ws.save(decide(numbered, numbered.select(F.col("row").alias("doc_id"), "text")).select("row"), "rows")
+    return _plain(numbered.join(rows.hint("merge"), "row", "left_semi"))
 
 
-def _one_of_each(keyed: DataFrame, found: DataFrame, group: str, best: Column) -> DataFrame:
+def _one_of_each(numbered: DataFrame, found: DataFrame, group: str, best: Column) -> DataFrame:
     """The row with the least `best` of each group of an operator's rows."""
-    named = found.select(F.col("doc_id").alias("row"), F.col(group).alias("group")).join(keyed.select("row", "doc_id"), "row")
+    named = found.select(F.col("doc_id").alias("row"), F.col(group).alias("group")).join(numbered.select("row", "doc_id").hint("merge"), "row")
     return named.groupBy("group").agg(F.min(F.struct(best.alias("best"), "row"))["row"].alias("row"))
 
 
@@ -58,19 +74,19 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of equal texts the one with the largest id stays."""
     largest = F.struct(F.col("doc_id").isNull(), -F.col("doc_id").cast("decimal(20,0)"))
-    return _keep(docs, "exact-rows", lambda keyed, seen: _one_of_each(keyed, exact_dedup(seen), "keep_id", largest))
+    return _keep(docs, "exact-rows", lambda numbered, seen: _one_of_each(numbered, exact_dedup(seen), "keep_id", largest))
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates stays, the one with the least id."""
     least = F.struct(F.col("doc_id").isNull(), F.col("doc_id"))
-    return _keep(docs, "near-rows", lambda keyed, seen: _one_of_each(keyed, near_duplicates(seen)[0], "component_id", least))
+    return _keep(docs, "near-rows", lambda numbered, seen: _one_of_each(numbered, near_duplicates(seen)[0], "component_id", least))
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops contaminated documents."""
     benchmark = table(spark, sf_dir, "benchmark")
-    return _keep(docs, "clean-rows", lambda keyed, seen: find_contamination(seen, benchmark).where(~F.col("contaminated")).select(F.col("doc_id").alias("row")))
+    return _keep(docs, "clean-rows", lambda numbered, seen: find_contamination(seen, benchmark).where(~F.col("contaminated")).select(F.col("doc_id").alias("row")))
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
