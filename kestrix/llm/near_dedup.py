@@ -129,22 +129,23 @@ def components(edges: DataFrame, ws: Workspace, at: str) -> DataFrame:
     Each round every node takes the least name among its neighbours' (one pointer jump), and edges
     are contracted; half the names of a component go each round, whatever its shape."""
     left = ws.save(edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a != b").distinct(), f"{at}-edges")
-    out, k = None, 0
+    jumps = []
     while left.limit(1).count():
+        k = len(jumps)
         both = left.unionByName(left.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        near = ws.save(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.first("a")).alias("to")), f"{at}-near{k}")
+        near = both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.first("a")).alias("to"))
         jump = near.join(near.select(F.col("node").alias("to"), F.col("to").alias("root")), "to").select("node", "root")
-        jump = ws.save(jump, f"{at}-jump{k}")
-        on = lambda c: jump.select(F.col("node").alias(c), F.col("root").alias(f"{c}2"))
+        jumps.append(ws.save(jump, f"{at}-jump{k}"))
+        on = lambda c: jumps[k].select(F.col("node").alias(c), F.col("root").alias(f"{c}2"))
         nxt = left.join(on("a"), "a").join(on("b"), "b").select(F.least("a2", "b2").alias("a"), F.greatest("a2", "b2").alias("b")).where("a != b").distinct()
-        nxt = ws.save(nxt, f"{at}-edges{k}")
-        if out is None:
-            out = jump
-        else:
-            step = jump.select(F.col("node").alias("root"), F.col("root").alias("root2"))
-            out = ws.save(out.join(step, "root", "left").select("node", F.coalesce("root2", "root").alias("root")), f"{at}-out{k}")
-        left, k = nxt, k + 1
-    return out if out is not None else left.select(F.col("a").alias("node"), F.col("b").alias("root"))
+        left = ws.save(nxt, f"{at}-edges{k}")
+    if not jumps:
+        return left.select(F.col("a").alias("node"), F.col("b").alias("root"))
+    out = jumps[0]
+    for jump in jumps[1:]:
+        step = jump.select(F.col("node").alias("root"), F.col("root").alias("root2"))
+        out = out.join(step, "root", "left").select("node", F.coalesce("root2", "root").alias("root"))
+    return ws.save(out, f"{at}-out") if jumps[1:] else out
 
 
 def _full_sets(docs: DataFrame, classes: DataFrame, cids: DataFrame, size: int) -> DataFrame:
