@@ -25,7 +25,7 @@ from .common import Workspace, documents
 
 @lru_cache(2)
 def _encoder(path: str, ranks: str | None):
-    """A function from texts to lists of ids.
+    """A function from texts to arrays of ids.
 
     The tokenizer file at `path` is the standard. Where a rank file of the same vocabulary is given,
     the faster library encodes, and only texts that spell a special token go to the standard one."""
@@ -35,7 +35,7 @@ def _encoder(path: str, ranks: str | None):
     from tokenizers import Tokenizer
 
     standard = Tokenizer.from_file(path)
-    slow = lambda text: standard.encode(text, add_special_tokens=False).ids
+    slow = lambda text: np.array(standard.encode(text, add_special_tokens=False).ids, np.uint32)
     if ranks is None:
         return slow
     import base64
@@ -47,7 +47,7 @@ def _encoder(path: str, ranks: str | None):
         table = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
     fast = tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=table, special_tokens={})
     special = [t.content for t in standard.get_added_tokens_decoder().values()]
-    return lambda text: slow(text) if any(s in text for s in special) else fast.encode_ordinary(text)
+    return lambda text: slow(text) if any(s in text for s in special) else fast.encode_to_numpy(text, disallowed_special=())
 
 
 def tokenize(docs: DataFrame, path: str, ranks: str | None, size: int, end_id: int, ws: Workspace) -> DataFrame:
@@ -59,7 +59,7 @@ def tokenize(docs: DataFrame, path: str, ranks: str | None, size: int, end_id: i
         for batch in batches:
             out = []
             for doc_id, text in zip(batch["doc_id"], batch["text"]):
-                ids = np.array([*encode(text), end_id], np.uint32)
+                ids = np.append(encode(text), np.uint32(end_id))
                 full = len(ids) // size * size
                 for start in range(0, full, size):
                     out.append((doc_id, start, size, crc32(ids[start : start + size].astype("<u4").tobytes()), len(ids), (((part << 31) + windows) << 1) + 1, None, None))
