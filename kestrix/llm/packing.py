@@ -117,7 +117,8 @@ def _shards(rest: DataFrame, most: int) -> tuple[np.ndarray, np.ndarray, np.ndar
 
 
 class Index:
-    """The BM25 inverted index of one shard's pieces: by token, pieces and their weights."""
+    """The BM25 inverted index of one shard's pieces: by token, pieces and their weights. Postings of a token
+    that a quarter of the pieces have are a row of weights of all pieces instead."""
 
     def __init__(self, pieces: list[np.ndarray], idf: dict[int, float], mean: float, k1: float = 1.2, b: float = 0.75):
         self.terms, own, weight = [], [], []
@@ -131,10 +132,15 @@ class Index:
         docs = np.repeat(np.arange(len(pieces)), [len(t) for t in own])
         order = np.argsort(flat, kind="stable")
         self.docs, self.weights = docs[order], np.concatenate(weight)[order]
-        tokens, self.begins = np.unique(flat[order], return_index=True)
+        self.tokens, self.begins = np.unique(flat[order], return_index=True)
         self.ends = np.append(self.begins[1:], len(flat))
-        self.at = {t: k for k, t in enumerate(tokens.tolist())}
         self.n = len(pieces)
+        common = np.flatnonzero(4 * (self.ends - self.begins) >= self.n)
+        self.row = np.full(len(self.tokens), -1)
+        self.row[common] = np.arange(len(common))
+        self.dense = np.zeros((len(common), self.n))
+        for r, k in enumerate(common):
+            self.dense[r, self.docs[self.begins[k] : self.ends[k]]] = self.weights[self.begins[k] : self.ends[k]]
 
     def neighbours(self, piece: int, terms: int | None = None, top: int | None = None, unused: np.ndarray | None = None) -> np.ndarray:
         """Pieces (of `unused`, where given) by falling BM25 score for the query of the piece's tokens (the
@@ -142,9 +148,14 @@ class Index:
         t, w = self.terms[piece]
         if terms is not None and len(t) > terms:
             t = t[np.argsort(-w, kind="stable")[:terms]]
-        at = [self.at[x] for x in t.tolist()]
-        docs = np.concatenate([self.docs[self.begins[k] : self.ends[k]] for k in at])
-        scores = np.bincount(docs, np.concatenate([self.weights[self.begins[k] : self.ends[k]] for k in at]), minlength=self.n)
+        at = np.searchsorted(self.tokens, t)
+        row = self.row[at]
+        scores = self.dense[row[row >= 0]].sum(axis=0)
+        at = at[row < 0]
+        sizes = self.ends[at] - self.begins[at]
+        if total := int(sizes.sum()):
+            k = np.arange(total) + np.repeat(self.begins[at] - np.cumsum(sizes) + sizes, sizes)
+            scores += np.bincount(self.docs[k], self.weights[k], minlength=self.n)
         found = np.flatnonzero(scores if unused is None else (scores > 0) & unused)
         return found[np.argsort(-scores[found], kind="stable")][:top]
 
