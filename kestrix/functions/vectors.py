@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 
 def doubles(v: Column) -> Column:
@@ -68,3 +68,16 @@ def is_orthogonal(x: Column, y: Column, tol: float = 1e-10) -> Column:
 
 def is_unit(x: Column, tol: float = 1e-10) -> Column:
     return F.abs(norm(x) - 1) < tol
+
+
+def all_pairs(left: DataFrame, right: DataFrame, few: int = 4096) -> DataFrame:
+    """Each row of left with each of right, where that is what is asked for. The right side is broadcast where it has
+    at most `few` rows; else it is dealt in blocks, and blocks meet by an equi-join."""
+    if right.limit(few + 1).count() <= few:
+        return left.crossJoin(F.broadcast(right))
+    n = 64
+    cells = F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    block = lambda d, c: F.pmod(F.xxhash64(*d.columns), F.lit(n)).cast("int").alias(c)
+    x = left.select("*", block(left, "__i")).withColumn("__j", cells)
+    y = right.select("*", block(right, "__j")).withColumn("__i", cells)
+    return x.join(y, ["__i", "__j"]).drop("__i", "__j")

@@ -6,11 +6,14 @@ Inputs are DataFrames with y (0 or 1) and p columns; `by` columns (model, group)
 from __future__ import annotations
 
 import math
+from functools import reduce
 from statistics import NormalDist
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from .windows import quantiles, row_numbers, score_bucket
+from ..functions.text import lookup
+from ..storage import stored
+from .windows import balanced_bucket, quantiles, row_numbers, score_bucket
 
 
 def uniform_edges(n: int) -> list[float]:
@@ -153,8 +156,8 @@ def temperatures(df: DataFrame, grid: list[float]) -> DataFrame:
 
 
 def isotonic(df: DataFrame) -> DataFrame:
-    """Pool-adjacent-violators. Ties of p are pooled first; each bucket of scores is pooled alone, then
-    the blocks that are left (many fewer than rows) in one task."""
+    """Pool-adjacent-violators. Ties of p are pooled first, then each bucket of about equally many scores alone; only
+    buckets whose ends are out of order are pooled together, until none are. Of a bucket two numbers reach the driver."""
     import pandas as pd
 
     def pool(rows: pd.DataFrame) -> pd.DataFrame:
@@ -168,8 +171,23 @@ def isotonic(df: DataFrame) -> DataFrame:
 
     kind = "low double, high double, n double, s double"
     ties = df.groupBy("p").agg(F.count("*").cast("double").alias("n"), F.sum("y").cast("double").alias("s")).select(F.col("p").alias("low"), F.col("p").alias("high"), "n", "s")
-    parts = ties.withColumn("b", score_bucket(F.col("low"))).groupBy("b").applyInPandas(lambda rows: pool(rows), kind)
-    return parts.withColumn("b", F.lit(0)).groupBy("b").applyInPandas(lambda rows: pool(rows), kind).select("low", "high", F.col("n").cast("bigint").alias("n"), (F.col("s") / F.col("n")).alias("value"))
+    ties = stored(ties, "ties")
+
+    def pooled(rows: DataFrame) -> DataFrame:
+        return stored(rows.groupBy("b").applyInPandas(lambda g: pool(g).assign(b=g["b"].iloc[0]), f"{kind}, b int"), "blocks")
+
+    parts = pooled(ties.withColumn("b", balanced_bucket(ties, "low", 256).cast("int")))
+    while True:
+        mean = F.col("s") / F.col("n")
+        ends = sorted(map(tuple, parts.groupBy("b").agg(F.min_by(mean, "low"), F.max_by(mean, "low")).collect()))
+        into: dict[int, int] = {}
+        for (a, _, last), (b, first, _) in zip(ends, ends[1:]):
+            if last >= first:
+                into[b] = into.get(a, a)
+        if not into:
+            break
+        parts = pooled(parts.withColumn("b", F.coalesce(lookup(into, F.col("b")), F.col("b"))))
+    return parts.select("low", "high", F.col("n").cast("bigint").alias("n"), (F.col("s") / F.col("n")).alias("value"))
 
 
 def probability_faults(df: DataFrame) -> DataFrame:
@@ -177,3 +195,15 @@ def probability_faults(df: DataFrame) -> DataFrame:
     return df.agg(F.count("*").alias("n"), F.count_if(F.col("p").isNull() | F.col("y").isNull()).alias("nulls"), F.count_if((F.col("p") < 0) | (F.col("p") > 1)).alias("out_of_range"), F.count_if(~F.col("y").isin(0, 1)).alias("not_binary"))
 
 
+def full_calibration(df: DataFrame, bins: int = 10) -> DataFrame:
+    """One row: n, base rate, Brier and its parts, ECE, MCE, Hosmer-Lemeshow chi2 and df, Spiegelhalter z. df has y, p, id."""
+    edges = uniform_edges(bins)
+    parts = [df.agg(F.count("*").alias("n"), F.avg("y").alias("base")), brier(df), brier_decomposition(df, bins).drop("brier"), expected_calibration_error(df, edges), maximum_calibration_error(df, edges), hosmer_lemeshow(df, bins), spiegelhalter(df)]
+    return reduce(lambda a, b: a.crossJoin(F.broadcast(b)), parts)  # a row each
+
+
+def compare_calibration(df: DataFrame, model: str, bins: int = 10) -> DataFrame:
+    """By model: n, Brier, ECE, MCE and the rank by ECE (1 is best; ties by name)."""
+    edges, by = uniform_edges(bins), (model,)
+    out = df.groupBy(model).agg(F.count("*").alias("n")).join(brier(df, by), model).join(expected_calibration_error(df, edges, by), model).join(maximum_calibration_error(df, edges, by=by), model)
+    return out.withColumn("rank", F.row_number().over(Window.orderBy("ece", model)))  # a row a model

@@ -7,6 +7,7 @@ Running totals are made by bucket of p, so no task holds all scores.
 from __future__ import annotations
 
 import math
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -201,3 +202,28 @@ def bootstrap_auc(df: DataFrame, rounds: int = 1000, level: float = 0.95, seed:
     each = each.groupBy("round").agg((F.sum("won") / F.nullif(F.sum("pos") * F.sum("neg"), F.lit(0.0))).alias("auc"))
     tail = (1 - level) / 2
     return each.agg(F.avg("auc").alias("auc_mean"), F.percentile("auc", F.lit(tail)).alias("low"), F.percentile("auc", F.lit(1 - tail)).alias("high"))
+
+
+def full_discrimination(df: DataFrame, threshold: float = 0.5) -> DataFrame:
+    """One row: AUC, Gini, PR AUC, average precision, KS, its threshold, Somers' D, the rates at a threshold, and the
+    lift of the top 10, 20, 30 and 50 per cent. df has y, p, id."""
+    auc = roc_auc(df).withColumn("gini", 2 * F.col("auc") - 1)
+    best = thresholds(df).agg(F.max("youden").alias("ks"), F.max_by("threshold", F.struct("youden", "threshold")).alias("ks_threshold"))
+    lifts = at_percentile(df, [10, 20, 30, 50]).groupBy().agg(*[F.max(F.when(F.col("percent") == k, F.col("lift"))).alias(f"lift_{k}") for k in (10, 20, 30, 50)])
+    parts = [auc, pr_auc(df), average_precision(df), best, concordance(df).select("somers_d"), rates(confusion(df, threshold)), lifts]
+    return reduce(lambda a, b: a.crossJoin(F.broadcast(b)), parts)  # a row each
+
+
+def compare_roc(df: DataFrame, model: str) -> DataFrame:
+    """By model: AUC, Gini and the rank by AUC (1 is best; ties by name)."""
+    return roc_auc(df, (model,)).withColumn("gini", 2 * F.col("auc") - 1).withColumn("rank", F.row_number().over(Window.orderBy(F.col("auc").desc(), model)))
+
+
+def evaluate(df: DataFrame, threshold: float = 0.5) -> DataFrame:
+    """What a fitted model's scores are worth: Brier, log-loss, accuracy, AUC, PR AUC, ECE and MCE in one row."""
+    from .calibration import brier, expected_calibration_error, maximum_calibration_error, uniform_edges
+    from .models import log_loss
+
+    edges = uniform_edges(10)
+    parts = [brier(df), df.agg(log_loss(F.col("y"), F.col("p")).alias("log_loss"), F.avg(((F.col("p") >= threshold) == (F.col("y") == 1)).cast("double")).alias("accuracy")), roc_auc(df), pr_auc(df), expected_calibration_error(df, edges), maximum_calibration_error(df, edges)]
+    return reduce(lambda a, b: a.crossJoin(F.broadcast(b)), parts)

@@ -3,10 +3,13 @@
 from __future__ import annotations
 
 import math
+from dataclasses import dataclass
+from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.text import lookup, parse_term
+from .windows import numbered
 
 # Letter grades on the unit scale.
 LETTERS = {"a+": 0.97, "a": 0.93, "a-": 0.9, "b+": 0.87, "b": 0.83, "b-": 0.8, "c+": 0.77, "c": 0.73, "c-": 0.7, "d+": 0.67, "d": 0.63, "d-": 0.6, "f": 0.5}
@@ -114,7 +117,7 @@ def ordinal(df: DataFrame, category: str, values: list) -> DataFrame:
 def index_categories(df: DataFrame, category: str) -> DataFrame:
     """Sorted distinct values numbered from 0."""
     distinct = df.select(category).dropna().distinct()
-    return distinct.withColumn("code", F.row_number().over(Window.orderBy(category)) - 1)
+    return numbered(distinct, [F.col(category)], name="__r").select(category, (F.col("__r") - 1).cast("int").alias("code"))
 
 
 def term_cycle(raw: Column, terms: int = 4) -> tuple[Column, Column, Column]:
@@ -133,3 +136,97 @@ def date_cycle(d: Column, since: str = "2020-01-01") -> dict[str, Column]:
     month, day = F.month(d) - 1, F.dayofyear(d) - 1
     turn = lambda x, n: x * F.lit(2 * math.pi / n)
     return {"month_cos": F.cos(turn(month, 12)), "month_sin": F.sin(turn(month, 12)), "doy_cos": F.cos(turn(day, 365)), "doy_sin": F.sin(turn(day, 365)), "days_since": F.datediff(d, F.lit(since).cast("date")), "year": F.year(d), "is_weekend": F.weekday(d) >= 5}
+
+
+def feature_names(kind: str, column: str, values: list | None = None) -> list[str]:
+    """Names of the columns that an encoder of that kind makes; `values` are those of one-hot columns."""
+    fixed = {"gpa": [f"{column}_scaled"], "target": [f"{column}_encoded"], "frequency": [f"{column}_frequency"], "woe": [f"{column}_woe"], "ordinal": [f"{column}_index"], "term": [f"{column}_cos", f"{column}_sin", f"{column}_year"], "date": [f"{column}_{k}" for k in ("month_cos", "month_sin", "doy_cos", "doy_sin", "days_since", "year", "is_weekend")]}
+    if kind == "one_hot":
+        return [f"{column}_{v}".replace(" ", "_") for v in values or []]
+    return fixed[kind]
+
+
+@dataclass
+class Encoder:
+    """An encoder of one column: fit makes a small table or statistics, transform adds its named columns."""
+
+    kind: str
+    column: str
+    state: object = None
+
+    def fit(self, df: DataFrame, y: str | None = None) -> Encoder:
+        if self.kind == "gpa":
+            row = df.agg(F.avg(F.col(self.column).cast("double")).alias("m"), F.stddev_pop(F.col(self.column).cast("double")).alias("s")).first()
+            self.state = (row.m or 0.0, row.s if row.s and row.s >= 1e-10 else 1.0)
+        elif self.kind in ("target", "woe"):
+            if y is None:
+                raise ValueError(f"a {self.kind} encoder needs a target")
+            self.state = (fit_target if self.kind == "target" else fit_woe)(df, self.column, y)
+        elif self.kind == "frequency":
+            self.state = fit_frequency(df, self.column)
+        elif self.kind in ("one_hot", "ordinal"):
+            self.state = categories(df, self.column)
+        elif self.kind not in ("term", "date"):
+            raise ValueError(f"unknown encoder {self.kind}")
+        return self
+
+    def names(self) -> list[str]:
+        return feature_names(self.kind, self.column, self.state if self.kind == "one_hot" else None)
+
+    def transform(self, df: DataFrame) -> DataFrame:
+        c = F.col(self.column)
+        if self.kind == "term":
+            return df.withColumns(dict(zip(self.names(), term_cycle(c))))
+        if self.kind == "date":
+            return df.withColumns(dict(zip(self.names(), date_cycle(c).values())))
+        if self.state is None:
+            raise ValueError("the encoder is not fitted")
+        if self.kind == "gpa":
+            return df.withColumn(self.names()[0], (c.cast("double") - self.state[0]) / self.state[1])
+        if self.kind == "one_hot":
+            return one_hot(df, self.column, self.state)
+        if self.kind == "ordinal":
+            return ordinal(df, self.column, self.state)
+        return transform_lookup(df, self.state, self.column, 0.0).withColumnRenamed("encoded", self.names()[0])
+
+
+@dataclass
+class Composite:
+    """Several encoders, fitted and applied one after the other; their columns stand side by side."""
+
+    encoders: list[Encoder]
+
+    def fit(self, df: DataFrame, y: str | None = None) -> Composite:
+        for e in self.encoders:
+            e.fit(df, y)
+        return self
+
+    def transform(self, df: DataFrame) -> DataFrame:
+        return reduce(lambda d, e: e.transform(d), self.encoders, df)
+
+    def names(self) -> list[str]:
+        return [n for e in self.encoders for n in e.names()]
+
+
+def admission_encoders() -> dict[str, Encoder]:
+    """An encoder for each usual field of an application."""
+    return {"grade": Encoder("gpa", "grade"), "university": Encoder("target", "university"), "program": Encoder("frequency", "program"), "term": Encoder("term", "term"), "decision_date": Encoder("date", "decision_date")}
+
+
+def encode_admissions(df: DataFrame, y: str | None = None, encoders: dict[str, Encoder] | None = None) -> tuple[DataFrame, dict[str, Encoder]]:
+    """The rows with the columns of each encoder whose field has a value: fitted here where none are given (the target
+    encoder then leaves each row's own label out), else applied as they are. With the encoders."""
+    fresh = encoders is None
+    encoders = encoders or admission_encoders()
+    here = [f for f in encoders if f in df.columns]
+    full = df.agg(*[F.count(f).alias(f) for f in here]).first() if here else {}
+    out = df
+    used = {f: encoders[f] for f in here if full[f]}
+    for e in used.values():
+        if fresh:
+            e.fit(df, y)
+        if fresh and e.kind == "target":
+            out = leave_one_out(out, e.column, y).withColumnRenamed("encoded", e.names()[0])
+        else:
+            out = e.transform(out)
+    return out, used

@@ -12,6 +12,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, Observation, functions as F
 
 from ..functions.text import NULL_TOKENS, clean, convert, lookup, parse_date
+from ..storage import remove
 from .documents import upsert
 
 Transformer = Callable[[DataFrame], DataFrame]
@@ -74,20 +75,39 @@ def enrichment(rates: DataFrame | None = None, keys: tuple[str, ...] = ("univers
 
 
 class ParquetUpsert:
-    """A keyed Parquet sink: a load merges new rows into the table and writes a new version beside the old one."""
+    """A keyed Parquet sink: a load merges new rows into the table and writes a new version beside the old one.
+
+    Another sink on the same path goes on from its newest whole version; the one before stays for those who read it,
+    older ones are removed."""
 
     def __init__(self, path: str, keys: list[str]):
-        self.path, self.keys, self.version = path, keys, 0
+        self.path, self.keys = path, keys
+
+    def versions(self, spark) -> list[int]:
+        """Numbers of the versions whose write came to its end."""
+        where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{self.path}/v*/_SUCCESS")
+        found = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).globStatus(where)
+        return sorted(int(f.getPath().getParent().getName()[1:]) for f in found or [])
 
     def read(self, spark) -> DataFrame | None:
-        return spark.read.parquet(f"{self.path}/v{self.version}") if self.version else None
+        found = self.versions(spark)
+        return spark.read.parquet(f"{self.path}/v{found[-1]}") if found else None
 
     def load(self, df: DataFrame) -> None:
-        old = self.read(df.sparkSession)
+        spark = df.sparkSession
+        old, found = self.read(spark), self.versions(spark)
         rows = df.dropna(subset=self.keys).dropDuplicates(self.keys)
         merged = rows if old is None else upsert(old, rows, self.keys)
-        merged.write.mode("overwrite").parquet(f"{self.path}/v{self.version + 1}")
-        self.version += 1
+        merged.write.mode("overwrite").parquet(f"{self.path}/v{(found or [0])[-1] + 1}")
+        for k in found[:-1]:
+            remove(spark, f"{self.path}/v{k}")
+
+    def delete(self, spark, key: dict) -> None:
+        """Writes a version without the rows of that key."""
+        df, found = self.read(spark), self.versions(spark)
+        if df is not None:
+            hit = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.lit(v)) for k, v in key.items()])
+            df.where(~hit).write.mode("overwrite").parquet(f"{self.path}/v{found[-1] + 1}")
 
     def exists(self, spark, key: dict) -> bool:
         df = self.read(spark)
@@ -103,6 +123,13 @@ class VectorSink:
     def load(self, df: DataFrame) -> None:
         df.withColumn("vector", self.encode(F.concat_ws(" ", *self.columns))).write.mode("append").parquet(self.path)
 
+    def exists(self, spark, key: dict) -> bool:
+        """Whether a row of that key was loaded."""
+        where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{self.path}/_SUCCESS")
+        if not where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(where):
+            return False
+        return bool(spark.read.parquet(self.path).where(reduce(lambda a, b: a & b, [F.col(k) == v for k, v in key.items()])).limit(1).count())
+
 
 @dataclass
 class Pipeline:
@@ -147,3 +174,48 @@ class Pipeline:
             stats["loaded"] += done.get["n"] * (not dry)
             stats["invalid"] += done.get["bad"]
         return stats
+
+
+def admission_pipeline(extract: Callable[[], DataFrame], sink, mappings: dict[str, dict[str, str]] | None = None, types: dict[str, str] | None = None, vectors: VectorSink | None = None) -> Pipeline:
+    """Clean, normalise and validate applications into a sink (and a sink of vectors)."""
+    out = Pipeline().add_extractor(extract).add_transformer(cleaning(types)).add_transformer(normalization(mappings or {})).add_transformer(validation())
+    for s in [sink, *([vectors] if vectors else [])]:
+        out.add_loader(s)
+    return out
+
+
+RECORD = ("student_id", "demographics", "academics", "applications", "metadata")
+
+
+def record_of(documents: DataFrame) -> DataFrame:
+    """The five fields of a student's record; a field that is missing or null has its empty value."""
+    empty = {"student_id": "string", "demographics": "map<string,string>", "academics": "map<string,string>", "applications": "array<map<string,string>>", "metadata": "map<string,string>"}
+    kinds = dict(documents.dtypes)
+    zero = lambda c, k: F.lit("") if k == "string" else F.array().cast(k) if k.startswith("array") else F.from_json(F.lit("{}"), k)
+    return documents.select(*[F.coalesce(F.col(c), zero(c, kinds[c])).alias(c) if c in kinds else zero(c, empty[c]).alias(c) for c in RECORD])
+
+
+def document_of(records: DataFrame) -> DataFrame:
+    """Records as documents of JSON (student_id, document)."""
+    return records.select("student_id", F.to_json(F.struct(*RECORD)).alias("document"))
+
+
+def clean_years(spark, raw: str, out: str, years: list[str], normalise: Callable[[DataFrame], DataFrame], name: str = "university", dry: bool = False) -> DataFrame:
+    """Each year's CSV folder (raw/year) with a column `<name>_normalized` written to out/year; not in a dry run.
+    Gives (year, loaded, matched); a year without a folder is not in it."""
+    from ..sources.readers import is_file
+    from ..sources.writers import write_csv
+
+    rows = []
+    for year in years:
+        if not is_file(spark, f"{raw}/{year}"):
+            continue
+        seen = Observation()
+        made = normalise(spark.read.options(header=True, escape='"').csv(f"{raw}/{year}")).withColumnRenamed("canonical", f"{name}_normalized")
+        made = made.observe(seen, F.count(F.lit(1)).alias("n"), F.count_if(F.col(f"{name}_normalized") != "INVALID").alias("hit"))
+        if dry:
+            made.write.format("noop").mode("overwrite").save()
+        else:
+            write_csv(made, f"{out}/{year}")
+        rows.append((year, seen.get["n"], seen.get["hit"]))
+    return spark.createDataFrame(rows, "year string, loaded bigint, matched bigint")

@@ -6,15 +6,17 @@ p (columns) is small and bounds all that reaches the driver; n (rows) never does
 from __future__ import annotations
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
 
-def gram(df: DataFrame, columns: list[str], target: str | None = None, weight: str | None = None, most: int = 300) -> tuple[np.ndarray, np.ndarray, float, int]:
-    """X'WX, X'Wy, y'Wy and n in one aggregate over p(p+1)/2 products."""
-    if len(columns) > most:
-        raise ValueError(f"{len(columns)} columns; the Gram matrix is for at most {most}")
+def gram(df: DataFrame, columns: list[str], target: str | None = None, weight: str | None = None, most: int = 100) -> tuple[np.ndarray, np.ndarray, float, int]:
+    """X'WX, X'Wy, y'Wy and n in one aggregate over p(p+1)/2 products; of more than `most` columns, where a plan
+    would hold too many, each task makes the matrix of its rows and these are added up."""
     w = F.col(weight) if weight else F.lit(1.0)
     names = [*columns, *([target] if target else [])]
+    if len(columns) > most:
+        return _wide_gram(df.select(w.cast("double").alias("__w"), *[F.col(c).cast("double").alias(f"c{i}") for i, c in enumerate(names)]), len(columns), bool(target))
     pairs = [(i, j) for i in range(len(names)) for j in range(i, len(names))]
     row = df.agg(F.count("*").alias("n"), *[F.sum(w * F.col(names[i]) * F.col(names[j])).alias(f"s{i}_{j}") for i, j in pairs]).first()
     full = np.zeros((len(names), len(names)))
@@ -24,6 +26,29 @@ def gram(df: DataFrame, columns: list[str], target: str | None = None, weight: s
     return full[:p, :p], (full[:p, p] if target else np.zeros(0)), (float(full[p, p]) if target else 0.0), row["n"]
 
 
+def _wide_gram(rows: DataFrame, p: int, target: bool) -> tuple[np.ndarray, np.ndarray, float, int]:
+    """The parts of `gram` from rows of weight, columns and target; (p + 1)^2 numbers leave each task."""
+    m = p + target
+
+    def part(batches):
+        total, n = np.zeros((m, m)), 0
+        for batch in batches:
+            x = batch.to_numpy(float)
+            x = x[~np.isnan(x).any(axis=1)]
+            total += (x[:, 1:] * x[:, :1]).T @ x[:, 1:]
+            n += len(x)
+        i, j = np.indices((m, m))
+        yield pd.DataFrame({"i": np.append(i.ravel(), -1), "j": np.append(j.ravel(), -1), "v": np.append(total.ravel(), n)})
+
+    full, n = np.zeros((m, m)), 0
+    for r in rows.mapInPandas(part, "i int, j int, v double").groupBy("i", "j").agg(F.sum("v").alias("v")).collect():
+        if r.i < 0:
+            n = int(r.v)
+        else:
+            full[r.i, r.j] = r.v
+    return full[:p, :p], (full[:p, p] if target else np.zeros(0)), (float(full[p, p]) if target else 0.0), n
+
+
 def gram_long(df: DataFrame, columns: list[str]) -> DataFrame:
     """X'X as rows (i, j, value), in the plan."""
     pairs = [(i, j) for i in range(len(columns)) for j in range(len(columns))]
@@ -192,3 +217,65 @@ def fit_quality(df: DataFrame, target: str, fitted: Column) -> DataFrame:
     """Residual sum of squares and R squared."""
     r = F.col(target) - fitted
     return df.agg(F.sum(r * r).alias("rss"), (1 - F.sum(r * r) / (F.sum(F.col(target) * F.col(target)) - F.sum(target) * F.sum(target) / F.count("*"))).alias("r2"))
+
+
+def project_subspace(df: DataFrame, columns: list[str], target: str) -> DataFrame:
+    """Adds projection (of the target onto the columns' span) and residual (onto its complement)."""
+    out = df.withColumn("projection", linear(columns, ridge(df, columns, target)))
+    return out.withColumn("residual", F.col(target) - F.col("projection"))
+
+
+def hat_entries(df: DataFrame, columns: list[str], id: str, rows: DataFrame) -> DataFrame:
+    """Entries (i, j, value) of the hat matrix X (X'X)^-1 X' for all rows i and the few rows j of `rows` (id alone):
+    the whole matrix has a cell for each pair of rows. 1 on the diagonal less these is the projection onto the complement."""
+    from ..functions.vectors import all_pairs
+
+    inverse = np.linalg.pinv(gram(df, columns)[0])
+    turned = [linear(columns, inverse[:, k]) for k in range(len(columns))]
+    some = df.join(rows.select(id), id, "left_semi").select(F.col(id).alias("j"), *[t.alias(f"__t{k}") for k, t in enumerate(turned)])
+    pairs = all_pairs(df.select(F.col(id).alias("i"), *columns), some)
+    return pairs.select("i", "j", sum((F.col(c) * F.col(f"__t{k}") for k, c in enumerate(columns)), F.lit(0.0)).alias("value"))
+
+
+def orthogonality(df: DataFrame, columns: list[str], residual: str, tol: float = 1e-8) -> DataFrame:
+    """By column its product with the residual, and whether that is zero beside the lengths of the two."""
+    wide = df.agg(*[F.sum(F.col(c) * F.col(residual)).alias(f"d{i}") for i, c in enumerate(columns)], *[F.sqrt(F.sum(F.col(c) * F.col(c))).alias(f"n{i}") for i, c in enumerate(columns)], F.sqrt(F.sum(F.col(residual) * F.col(residual))).alias("r"))
+    cells = F.array(*[F.struct(F.lit(c).alias("name"), F.col(f"d{i}").alias("product"), (F.abs(F.col(f"d{i}")) <= tol * (1 + F.col(f"n{i}") * F.col("r"))).alias("orthogonal")) for i, c in enumerate(columns)])
+    return wide.select(F.explode(cells).alias("c")).select("c.*")
+
+
+def cauchy_schwarz(df: DataFrame, x: str, y: str) -> DataFrame:
+    """|x.y|, |x||y| and whether the first is at most the second, of two columns."""
+    out = df.agg(F.abs(F.sum(F.col(x) * F.col(y))).alias("inner"), (F.sqrt(F.sum(F.col(x) * F.col(x))) * F.sqrt(F.sum(F.col(y) * F.col(y)))).alias("bound"))
+    return out.withColumn("holds", F.col("inner") <= F.col("bound") * (1 + 1e-12))
+
+
+def identity(spark, n: int) -> DataFrame:
+    """The identity as cells (i, j, v)."""
+    return spark.range(n).select(F.col("id").alias("i"), F.col("id").alias("j"), F.lit(1.0).alias("v"))
+
+
+def diagonal(vector: DataFrame) -> DataFrame:
+    """Cells of the diagonal matrix of a vector (i, v)."""
+    return vector.select("i", F.col("i").alias("j"), "v")
+
+
+def outer(x: DataFrame, y: DataFrame) -> DataFrame:
+    """Cells of the product x y' of two vectors (i, v)."""
+    from ..functions.vectors import all_pairs
+
+    return all_pairs(x.select("i", F.col("v").alias("__x")), y.select(F.col("i").alias("j"), F.col("v").alias("__y"))).select("i", "j", (F.col("__x") * F.col("__y")).alias("v"))
+
+
+def to_sparse(df: DataFrame, id: str, columns: list[str]) -> DataFrame:
+    """(id, column, value) of what is not zero."""
+    cells = F.array(*[F.struct(F.lit(i).alias("column"), F.col(c).cast("double").alias("value")) for i, c in enumerate(columns)])
+    return df.select(id, F.explode(F.filter(cells, lambda s: F.coalesce(s["value"], F.lit(0.0)) != 0)).alias("c")).select(id, "c.*")
+
+
+def correlations(df: DataFrame, columns: list[str]) -> DataFrame:
+    """(a, b, r) of all pairs of columns, in one aggregate."""
+    pairs = [(i, j) for i in range(len(columns)) for j in range(i, len(columns))]
+    wide = df.agg(*[F.corr(columns[i], columns[j]).alias(f"r{i}_{j}") for i, j in pairs])
+    cells = [F.struct(F.lit(columns[i]).alias("a"), F.lit(columns[j]).alias("b"), F.col(f"r{min(i, j)}_{max(i, j)}").alias("r")) for i in range(len(columns)) for j in range(len(columns))]
+    return wide.select(F.explode(F.array(*cells)).alias("c")).select("c.*")

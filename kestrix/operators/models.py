@@ -9,6 +9,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from ..storage import stored
 from .calibration import sigmoid
 from .linalg import linear
 
@@ -53,6 +54,7 @@ class Logistic:
     def fit(self, df: DataFrame, y: str, weight: str | None = None) -> Logistic:
         p = len(self.columns)
         beta = np.zeros(p)
+        df = stored(df.select(*dict.fromkeys([*self.columns, y, *([weight] if weight else [])])), "design")  # each step reads it
         w0 = F.col(weight) if weight else F.lit(1.0)
         for self.taken in range(1, self.steps + 1):
             rows = df.withColumn("__q", sigmoid(linear(self.columns, beta)))
@@ -112,7 +114,7 @@ def fit_hazard(df: DataFrame, time: str, columns: list[str], periods: int | None
     A person-period has one indicator, so the sums of a step are by period: its row of the Gram matrix."""
     periods = periods or df.agg(F.max(time)).first()[0] or 0
     names, q = [f"t{k}" for k in range(1, periods + 1)] + columns, len(columns)
-    pp = person_period(df, time).where(F.col("t") <= periods)
+    pp = person_period(stored(df.select(time, *columns), "subjects"), time).where(F.col("t") <= periods)  # each step reads it
     beta, m = np.zeros(periods + q), Logistic(names, lam, steps, tol)
     for m.taken in range(1, steps + 1):
         base = F.element_at(F.array(*[F.lit(float(b)) for b in beta[:periods]]), F.col("t")) if periods else F.lit(0.0)
@@ -151,13 +153,10 @@ def softmax(score: str, by: list[str]) -> Column:
 
 
 def attention(queries: DataFrame, keys: DataFrame, dim: int) -> DataFrame:
-    """softmax(q.k / sqrt(d)) over a small table of keys: (query_id, key_id, weight). Keys are checked to be few."""
-    from ..functions.vectors import dot
+    """softmax(q.k / sqrt(d)) over a table of keys: (query_id, key_id, weight)."""
+    from ..functions.vectors import all_pairs, dot
 
-    n = keys.limit(4097).count()
-    if n > 4096:
-        raise ValueError("attention is over a table of at most 4096 keys")
-    pairs = queries.select(F.col("id").alias("query_id"), F.col("vector").alias("q")).crossJoin(F.broadcast(keys.select(F.col("id").alias("key_id"), F.col("vector").alias("k"))))
+    pairs = all_pairs(queries.select(F.col("id").alias("query_id"), F.col("vector").alias("q")), keys.select(F.col("id").alias("key_id"), F.col("vector").alias("k")))
     scored = pairs.select("query_id", "key_id", (dot(F.col("q"), F.col("k")) / math.sqrt(dim)).alias("score"))
     return scored.select("query_id", "key_id", softmax("score", ["query_id"]).alias("weight"))
 

@@ -5,9 +5,9 @@ Row positions in time come from counts by day plus a number within the day, so n
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
-from .windows import row_numbers
+from .windows import numbered, row_numbers
 
 
 def temporal_split(df: DataFrame, date: str, train_end: str, val_end: str, test_end: str, gap_days: int = 0) -> DataFrame:
@@ -62,9 +62,8 @@ def grouped_cv(df: DataFrame, date: str, group: str, k: int = 3) -> DataFrame:
 def stratified_first(df: DataFrame, y: str, order: list[str], share: float = 0.2) -> DataFrame:
     """Of each class the first max(1, floor(n * share)) rows are test, but one at least stays in train."""
     n = df.groupBy(y).agg(F.count("*").alias("__n"))
-    number = F.row_number().over(Window.partitionBy(y).orderBy(*order))
     cut = F.least(F.greatest(F.lit(1), F.floor(F.col("__n") * share)), F.col("__n") - 1)
-    return df.withColumn("__r", number).join(n, y).withColumn("split", F.when(F.col("__r") <= cut, "test").otherwise("train")).drop("__r", "__n")
+    return numbered(df, [F.col(c) for c in order], (y,), "__r").join(n, y).withColumn("split", F.when(F.col("__r") <= cut, "test").otherwise("train")).drop("__r", "__n")
 
 
 def purged_kfold(df: DataFrame, date: str, id: str, k: int = 5, purge: int = 0, embargo: int = 0) -> DataFrame:

@@ -13,6 +13,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.vectors import cosine, doubles
+from ..storage import stored
 
 _OPERATORS = {
     "Equal": lambda c, v: c == F.lit(v), "NotEqual": lambda c, v: c != F.lit(v),
@@ -91,7 +92,8 @@ def search_batch(df: DataFrame, queries: DataFrame, k: int, vector: str = "vecto
                 frame = pd.DataFrame({"query_id": np.repeat(ids, best.shape[1]), id: best_id.ravel(), "similarity": best.ravel()})
                 yield frame[np.isfinite(frame["similarity"])]
 
-        part = df.select(id, vector).mapInPandas(near, f"query_id bigint, {id} bigint, similarity double")
+        # stored block by block: one block's vectors are on the driver and in the plan at a time
+        part = stored(df.select(id, vector).mapInPandas(near, f"query_id bigint, {id} bigint, similarity double"), "near") if blocks > 1 else df.select(id, vector).mapInPandas(near, f"query_id bigint, {id} bigint, similarity double")
         parts = part if parts is None else parts.unionByName(part)
     if parts is None:
         return df.sparkSession.createDataFrame([], f"query_id bigint, {id} bigint, similarity double, rank int")

@@ -8,9 +8,12 @@ each bucket gives.
 from __future__ import annotations
 
 import math
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from ..storage import stored
+
 
 def running_totals(df: DataFrame, bucket: Column, order: list[Column], sums: dict[str, Column]) -> DataFrame:
     """Adds each named running total, in the given order; `bucket` must not fall along it."""
@@ -28,6 +31,21 @@ def row_numbers(df: DataFrame, bucket: Column, order: list[Column], name: str =
     return running_totals(df, bucket, order, {name: F.lit(1).cast("bigint")})
 
 
+def numbered(df: DataFrame, order: list[Column], by: tuple[str, ...] = (), name: str = "rn") -> DataFrame:
+    """Adds row numbers from 1 in the given order (of each group), however few groups or distinct values there are.
+
+    The table is sorted in ranges and stored; rows are numbered within their range, and the counts of a group's
+    ranges before are added, so no task holds a group. `order` should end in a column without ties."""
+    keys = [F.col(c) for c in by]
+    ranges = stored(df.sort(*keys, *order).withColumn("__p", F.spark_partition_id()), "ranges")
+    counts = ranges.groupBy(*by, "__p").agg(F.count("*").alias("__n"))
+    before = Window.partitionBy(*by).orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)  # a row a range
+    counts = counts.select(*by, "__p", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__before"))
+    inside = ranges.withColumn("__r", F.row_number().over(Window.partitionBy(*by, "__p").orderBy(*order)))
+    same = [inside[c].eqNullSafe(counts[c]) for c in (*by, "__p")]
+    return inside.join(counts, reduce(lambda a, b: a & b, same)).select(*[inside[c] for c in df.columns], (F.col("__before") + F.col("__r")).alias(name))
+
+
 def score_bucket(p: Column, buckets: int = 256) -> Column:
     """Buckets of a score in [0, 1], highest first."""
     return -F.floor(F.least(F.greatest(p, F.lit(0.0)), F.lit(1.0)) * buckets)

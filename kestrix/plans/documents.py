@@ -73,9 +73,9 @@ def group_avg_min_max(spark, sf):
     return rounded(out.withColumnRenamed("_id", "event_type"))
 
 
-@family.add("SELECT user_id, min_by(event_type, event_id) AS first_type, max_by(event_type, event_id) AS last_type, string_agg(event_type, ',' ORDER BY event_id) AS types FROM events WHERE user_id < 20 GROUP BY user_id")
+@family.add("SELECT user_id, min_by(event_type, event_id) AS first_type, max_by(event_type, event_id) AS last_type, string_agg(event_type, ',' ORDER BY event_id) AS types FROM events GROUP BY user_id")
 def group_first_push(spark, sf):
-    out = D.aggregate(table(spark, sf, "events"), [{"$match": {"user_id": {"$lt": 20}}}, {"$group": {"_id": "$user_id", "first_type": {"$first": "$event_type"}, "last_type": {"$last": "$event_type"}, "types": {"$push": "$event_type"}}}], order=["event_id"])
+    out = D.aggregate(table(spark, sf, "events"), [{"$group": {"_id": "$user_id", "first_type": {"$first": "$event_type"}, "last_type": {"$last": "$event_type"}, "types": {"$push": "$event_type"}}}], order=["event_id"])
     return out.select(F.col("_id").alias("user_id"), "first_type", "last_type", F.array_join("types", ",").alias("types"))
 
 

@@ -138,10 +138,10 @@ def beta_posterior(spark, sf):
 
 @family.add(f"{_POST} SELECT university, CAST(row_number() OVER (ORDER BY a / (a + b), university) AS INTEGER) AS rank FROM c")
 def difficulty_rank(spark, sf):
-    from pyspark.sql import Window
+    from ..operators.windows import numbered
 
-    post = M.beta_posterior(_labelled(spark, sf), "university", "y")  # a row a group
-    return post.select("university", F.row_number().over(Window.orderBy("mean", "university")).alias("rank"))
+    post = M.beta_posterior(_labelled(spark, sf), "university", "y")
+    return numbered(post, [F.col("mean"), F.col("university")], name="rank").select("university", F.col("rank").cast("int").alias("rank"))
 
 
 @family.add(f"WITH {_LAB} SELECT program, round(10 / (count(*) + 10), 6) AS factor FROM lab GROUP BY program")

@@ -162,7 +162,7 @@ def token_sort_similarity(spark, sf):
     return rounded(M.pairs_by_token(part, part, "p_name", "p_name").select("a", "b", T.token_sort_similarity(F.col("a"), F.col("b")).alias("score")))
 
 
-@family.add(f"WITH {_NAMES}, c AS (SELECT name, t FROM n WHERE name < 'm'), s AS (SELECT a.name AS p_name, b.name AS b, {_SIM} AS score FROM n a, c b WHERE {_SHARED}), r AS (SELECT *, row_number() OVER (PARTITION BY p_name ORDER BY score DESC, b DESC) AS rn FROM s) SELECT n.name AS p_name, CASE WHEN score >= 0.85 THEN b ELSE 'INVALID' END AS canonical, round(coalesce(score, 0), 6) AS score FROM n LEFT JOIN r ON n.name = p_name AND rn = 1")
+@family.add(f"WITH {_NAMES}, c AS (SELECT name, t FROM n WHERE name < 'm'), s AS (SELECT a.name AS p_name, b.name AS b, {_SIM} AS score FROM n a, c b), r AS (SELECT *, row_number() OVER (PARTITION BY p_name ORDER BY score DESC, b DESC) AS rn FROM s WHERE score >= 0.85) SELECT n.name AS p_name, coalesce(b, 'INVALID') AS canonical, round(coalesce(score, 0), 6) AS score FROM n LEFT JOIN r ON n.name = p_name AND rn = 1")
 def fuzzy_top1(spark, sf):
     part = table(spark, sf, "part")
     canon = part.where("p_name < 'm'").select(F.col("p_name").alias("c")).distinct()

@@ -71,8 +71,7 @@ def label_centroids(spark, sf):
 def similarity_matrix(spark, sf):
     rows = vectors(spark, sf).select("label", F.posexplode("vector").alias("i", "x")).groupBy("label", "i").agg(F.avg("x").alias("m"))
     g = rows.groupBy("label").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "m"))), lambda s: s["m"]).alias("e"))
-    few = g.limit(1000)  # one row a label
-    pairs = few.select(F.col("label").alias("a"), F.col("e").alias("x")).crossJoin(F.broadcast(few.select(F.col("label").alias("b"), F.col("e").alias("y"))))
+    pairs = V.all_pairs(g.select(F.col("label").alias("a"), F.col("e").alias("x")), g.select(F.col("label").alias("b"), F.col("e").alias("y")))
     return rounded(pairs.select("a", "b", V.cosine(F.col("x"), F.col("y")).alias("similarity")))
 
 
