@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 Query = Callable[[SparkSession, str], DataFrame]
 
-FAMILIES = ("analytics", "documents", "metrics", "vectors", "features", "models", "records")
+FAMILIES = ("analytics", "documents", "metrics", "vectors", "features", "models", "records", "analyses")
 
 
 def _families():

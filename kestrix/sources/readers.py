@@ -98,3 +98,35 @@ def pages(url: str, token: str | None = None, timeout: float = 5.0, fetch=None):
 
 def register(spark: SparkSession) -> None:
     spark.dataSource.register(PagedHttp)
+
+
+def is_file(spark: SparkSession, path: str) -> bool:
+    """Whether the path is there, in any store that Spark reads."""
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(where)
+
+
+def is_json(spark: SparkSession, path: str) -> bool:
+    """Whether the path is there and no document of it is malformed."""
+    if not is_file(spark, path):
+        return False
+    rows = spark.read.option("multiLine", True).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_corrupt").json(path)
+    return "_corrupt" not in rows.columns
+
+
+def is_reachable(url: str, token: str | None = None, timeout: float = 5.0, fetch=None) -> bool:
+    """Whether the address answers with 200; any error is no."""
+    from urllib.request import Request, urlopen
+
+    request = Request(url, headers={"Authorization": f"Bearer {token}"} if token else {})
+    try:
+        with (fetch or urlopen)(request, timeout=timeout) as answer:
+            return answer.status == 200
+    except Exception:
+        return False
+
+
+def read_files(spark: SparkSession, kind: str, path: str, schema: str | None = None) -> DataFrame:
+    """Parquet, ORC, JSON lines, CSV or, where the session has its package, Avro."""
+    reader = spark.read.format(kind)
+    return (reader.schema(schema) if schema else reader).load(path)

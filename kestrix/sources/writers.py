@@ -48,3 +48,30 @@ def write_partitioned(df: DataFrame, path: str, by: list[str]) -> None:
 def write_bucketed(df: DataFrame, table: str, key: str, buckets: int) -> None:
     """A table bucketed and sorted by a key, so that joins on it need no shuffle."""
     df.write.mode("overwrite").bucketBy(buckets, key).sortBy(key).saveAsTable(table)
+
+
+def write_files(df: DataFrame, kind: str, path: str) -> None:
+    """Parquet, ORC, JSON lines, CSV or, where the session has its package, Avro."""
+    df.write.mode("overwrite").format(kind).save(path)
+
+
+def cluster_rows(clusters: DataFrame) -> DataFrame:
+    """Nested clusters (cluster_id, canonical, members) as a row a member."""
+    return clusters.select("cluster_id", "canonical", F.explode("members").alias("m")).select("cluster_id", "canonical", "m.variant", "m.score", "m.frequency")
+
+
+def review_items(members: DataFrame) -> DataFrame:
+    """Rows for review of cluster members: the action is KEEP until a reviewer says otherwise; the worst scores first."""
+    return members.select("cluster_id", "canonical", "variant", "score", "frequency", F.lit("KEEP").alias("action"), F.lit("").alias("notes"), F.lit(None).cast("int").alias("merge_target")).orderBy("score", "cluster_id", "variant")
+
+
+def cluster_summary(members: DataFrame, top: int = 10) -> tuple[dict, DataFrame]:
+    """Counts of clusters, names and records with the largest cluster's size; the `top` clusters by size."""
+    by = members.groupBy("cluster_id", "canonical").agg(F.count("*").alias("size"), F.sum("frequency").alias("total_frequency"))
+    r = by.agg(F.count("*").alias("clusters"), F.coalesce(F.sum("size"), F.lit(0)).alias("names"), F.coalesce(F.sum("total_frequency"), F.lit(0)).alias("records"), F.coalesce(F.max("size"), F.lit(0)).alias("largest")).first()
+    return r.asDict(), by.orderBy(F.col("size").desc(), "cluster_id").limit(top)
+
+
+def write_summary(spark: SparkSession, counts: dict, path: str) -> None:
+    """Counts as lines of text."""
+    spark.createDataFrame([(f"{k}: {v}",) for k, v in counts.items()], "value string").coalesce(1).write.mode("overwrite").text(path)

@@ -3,6 +3,7 @@
 import json
 import math
 import random
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -338,7 +339,7 @@ def test_etl(spark, tmp_path):
     rows = {r.student_id: r for r in sink.read(spark).collect()}
     assert set(rows) == {"1", "2"} and rows["1"].university == "Toronto" and rows["2"].university == "British Columbia" and rows["1"].application_date_month == 1
     assert rows["2"]["_validation_errors"] == ["missing program", "gpa out of range"]
-    assert p.run(since=("application_date", "2024-01-01"))["extracted"] == 2 and sink.version == 2
+    assert p.run(since=("application_date", "2024-01-01"))["extracted"] == 2 and sink.versions(spark)[-1] == 2
     assert sink.exists(spark, {"student_id": "2"}) and p.run(dry=True)["loaded"] == 0
     with pytest.raises(ValueError):
         etl.Pipeline().run()
@@ -498,3 +499,255 @@ def test_bootstrap_interval_has_the_width_of_the_auc(spark):
     every = [auc(rng.choice(pos, len(pos)), rng.choice(neg, len(neg))) for _ in range(1000)]
     assert abs(got.auc_mean - auc(pos, neg)) < 0.005
     assert abs(got.low - np.percentile(every, 2.5)) < 0.012 and abs(got.high - np.percentile(every, 97.5)) < 0.012
+
+
+def _score(a, b):
+    """Of sorted words, by a plain edit distance."""
+    a, b = (" ".join(sorted("".join(c for c in x.lower() if c.isalnum() and c.isascii() or c.isspace()).split())) for x in (a, b))
+    if a == b:
+        return 1.0
+    if not a or not b:
+        return 0.0
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        new = [i]
+        for j, y in enumerate(b, 1):
+            new.append(min(row[j] + 1, new[-1] + 1, row[j - 1] + (x != y)))
+        row = new
+    return 1 - row[-1] / max(len(a), len(b))
+
+
+def test_similar_pairs_lose_none(spark):
+    rng = random.Random(5)
+    base = ["University of Waterloo", "University of Toronto", "Queens University", "McGill", "Simon Fraser University", "UBC", "York", "x", "ab", "!!", "Western University", "Universite de Montreal"]
+    names = list(base)
+    for _ in range(160):
+        w = list(rng.choice(base))
+        for _ in range(rng.randint(1, 4)):
+            at = rng.randrange(len(w) + 1)
+            w[at : at + rng.randint(0, 1)] = rng.choice(["", "t", "e", " ", "z"])
+        names.append("".join(w))
+    names = sorted(set(names))
+    df = spark.createDataFrame([(n,) for n in names], "n string")
+    for least in (0.85, 0.7, 0.5):
+        out = {(r.a, r.b): r.score for r in matching.similar_pairs(df, df, "n", "n", least).collect()}
+        want = {(a, b): s for a in names for b in names if (s := _score(a, b)) >= least}
+        assert out.keys() == want.keys() and all(abs(out[k] - s) < 1e-9 for k, s in want.items())
+    hit = {r.n: r.canonical for r in matching.best_match(spark.createDataFrame([("Watterloo",), ("nothing like it",), (None,)], "n string"), "n", spark.createDataFrame([("Waterloo",), ("Toronto",)], "c string"), "c").collect()}
+    assert hit["Watterloo"] == "Waterloo" and hit["nothing like it"] == "INVALID"
+    # clusters: one name after the other
+    rows = [(n,) for n in names for _ in range(1 + len(n) * 7 % 5)]
+    freq = Counter(n for n, in rows)
+    want, done = {}, set()
+    for lead in sorted(freq, key=lambda n: (-freq[n], -len(n), n)):
+        if lead not in done:
+            mine = [n for n in names if n not in done and _score(n, lead) >= 0.7]
+            done.update(mine)
+            want |= {n: (len(set(v[0] for v in want.values())), lead) for n in mine}
+    got = {r.variant: (r.cluster_id, r.canonical) for r in matching.leader_clusters(spark.createDataFrame(rows, "n string"), "n", 0.7).collect()}
+    assert got == want
+
+
+def test_numbers_of_a_group_of_all_rows(spark):
+    df = spark.range(5000).select("id", F.lit("one").alias("g"), (F.col("id") * 7919 % 5000).alias("v")).unionByName(spark.range(3).selectExpr("id", "cast(null as string) AS g", "id AS v"))
+    rows = windows.numbered(df.repartition(7), [F.col("v").desc(), F.col("id")], ("g",)).collect()
+    assert {(r.g, r.v): r.rn for r in rows} == {("one", v): 5000 - v for v in range(5000)} | {(None, v): 3 - v for v in range(3)}
+    assert [r.rn for r in windows.numbered(df.limit(0), [F.col("v")]).collect()] == []
+
+
+def test_isotonic_of_many_shapes(spark):
+    rng = random.Random(3)
+    for shape in (lambda p: p, lambda p: 1 - p, lambda p: 0.5 + 0.4 * (p * 9 % 1)):
+        rows = [(p, int(rng.random() < shape(p))) for p in (rng.random() for _ in range(3000))]
+        blocks = []
+        for p, y in sorted(rows):
+            blocks.append([p, p, 1, y])
+            while len(blocks) > 1 and blocks[-2][3] * blocks[-1][2] >= blocks[-1][3] * blocks[-2][2]:
+                _, high, n, s = blocks.pop()
+                blocks[-1] = [blocks[-1][0], high, blocks[-1][2] + n, blocks[-1][3] + s]
+        out = sorted((r.low, r.high, r.n, round(r.value, 9)) for r in C.isotonic(spark.createDataFrame(rows, "p double, y int")).collect())
+        assert out == [(a, b, n, round(s / n, 9)) for a, b, n, s in blocks]
+
+
+def test_upsert_goes_on_from_the_newest_version(spark, tmp_path):
+    from kestrix.operators.etl import ParquetUpsert
+
+    path = str(tmp_path / "sink")
+    ParquetUpsert(path, ["id"]).load(spark.createDataFrame([(1, "a"), (2, "b")], "id int, v string"))
+    for k in range(3):
+        ParquetUpsert(path, ["id"]).load(spark.createDataFrame([(3, f"c{k}")], "id int, v string"))
+    sink = ParquetUpsert(path, ["id"])
+    assert sorted(map(tuple, sink.read(spark).collect())) == [(1, "a"), (2, "b"), (3, "c2")] and len(sink.versions(spark)) == 2
+    sink.delete(spark, {"id": 1})
+    assert not sink.exists(spark, {"id": 1}) and sink.exists(spark, {"id": 2})
+
+
+def test_gram_of_many_columns(spark):
+    from kestrix.operators import linalg
+
+    rng = np.random.default_rng(1)
+    x = rng.normal(size=(200, 12))
+    df = spark.createDataFrame([tuple(map(float, r)) for r in x], ", ".join(f"x{i} double" for i in range(12)))
+    names = [f"x{i}" for i in range(11)]
+    a, b = linalg.gram(df, names, "x11", most=5), linalg.gram(df, names, "x11")
+    assert np.allclose(a[0], b[0]) and np.allclose(a[1], b[1]) and abs(a[2] - b[2]) < 1e-9 and a[3] == b[3] == 200
+
+
+def test_all_pairs_beyond_a_broadcast(spark):
+    from kestrix.functions import vectors
+
+    a, b = spark.range(30).withColumnRenamed("id", "a"), spark.range(40).withColumnRenamed("id", "b")
+    for few in (100, 5):
+        rows = [(r.a, r.b) for r in vectors.all_pairs(a, b, few).collect()]
+        assert len(rows) == len(set(rows)) == 1200
+
+
+def test_object_store(spark, tmp_path):
+    from kestrix.operators import objects as O
+
+    store = O.ObjectStore(spark, str(tmp_path / "store"))
+    assert not store.is_ready() and store.connect().is_ready()
+    store.create_schema(O.program_schema(2))
+    store.create_schema(O.student_schema(2))
+    with pytest.raises(ValueError):
+        store.create_schema(O.student_schema(2))
+    assert store.class_exists("Program") and [s["class"] for s in store.get_schema()] == ["Program", "Student"]
+    assert store.objects("Student").count() == 0
+    store.add_object("Student", {"student_id": "s1", "gpa": 88.0, "interests": ["chess"]}, [1.0, 0.0], "a")
+    rows = spark.createDataFrame([("b", "s2", 70.0, [0.0, 1.0]), ("c", "s3", 95.0, [0.9, 0.1]), ("a", "s1", 89.0, [1.0, 0.0])], "id string, student_id string, gpa double, vector array<double>")
+    assert store.add_objects("Student", rows) == 2
+    assert store.get_object("Student", "a")["gpa"] == 89.0 and store.get_object("Student", "z") is None
+    assert store.update_object("Student", "b", {"gpa": 71.0}) and not store.update_object("Student", "z", {})
+    assert [r.id for r in store.find_matching_students([1.0, 0.0], 5, 80, 94).collect()] == ["a"]
+    assert store.delete_object("Student", "a") and not store.delete_object("Student", "a")
+    assert sorted(r.id for r in O.ObjectStore(spark, store.path).objects("Student").collect()) == ["b", "c"]
+    with pytest.raises(Exception, match="have 2 numbers"):
+        store.add_object("Student", {"student_id": "x"}, [1.0], "x")
+    store.add_object("Program", {"name": "CS", "province": "ON"}, [1.0, 0.0], "p")
+    assert store.recommend_programs([1.0, 0.0], "BC").count() == 0 and store.recommend_programs([1.0, 0.0], "ON").count() == 1
+    store.delete_schema("Program")
+    assert not store.class_exists("Program")
+    store.disconnect()
+    assert not store.is_ready()
+
+
+def test_attention_model(spark):
+    from kestrix.operators import attention as A
+
+    a = A.Attention(8, 2).build()
+    x = np.random.default_rng(0).normal(size=(3, 8))
+    out, w = a.apply(x, x, x)
+    heads = []
+    for h in range(2):
+        cut = slice(4 * h, 4 * h + 4)
+        q, k, v = (x @ a.weights[c][:, cut] for c in "qkv")
+        e = np.exp(q @ k.T / 2)
+        heads.append(e / e.sum(axis=1, keepdims=True) @ v)
+        assert np.allclose(w[h], e / e.sum(axis=1, keepdims=True))
+    assert np.allclose(out, np.concatenate(heads, axis=1) @ a.weights["o"])
+    with pytest.raises(ValueError):
+        A.Attention(8, 2).apply(x, x, x)
+    df = spark.createDataFrame([(1, [[float(v) for v in r] for r in x]), (2, []), (3, None)], "id int, tokens array<array<double>>")
+    rows = {r.id: r.a for r in df.select("id", a.self_attention(F.col("tokens")).alias("a")).collect()}
+    assert np.allclose(rows[1].output, out) and rows[2].output is None and rows[3].weights is None
+    top = A.top_attention(df.where("id = 1").select("id", a.self_attention(F.col("tokens")).alias("a")).select("id", "a.weights"), "id", "weights", ["p", "q", "r"], 2).collect()
+    assert [r["rank"] for r in top] == [1, 2] and abs(top[0].weight - w.mean(axis=(0, 1)).max()) < 1e-12
+    rng = random.Random(2)
+    data = spark.createDataFrame([(k, rng.random(), f"u{k % 3}", f"p{k % 2}", int(k % 3 == 0)) for k in range(120)], "id int, g double, u string, p string, y int")
+    model = A.AttentionModel(["g"], ["u", "p"], 8, 2)
+    with pytest.raises(ValueError):
+        model.predict_proba(data)
+    scored = model.fit(data, "y").predict_proba(data).collect()
+    assert sum((r.probability >= 0.5) == (r.y == 1) for r in scored) > 110
+    assert sum(r.weight for r in model.patterns(data).collect()) == pytest.approx(3.0)
+    assert {r.name for r in model.explain(data.limit(1), "id").collect()} == {"numbers", "u", "p"}
+    assert data.limit(1).select(A.bars(F.lit(0.25), 8)).first()[0] == "##"
+
+
+def test_encoders_by_name(spark):
+    rows = spark.createDataFrame([(1, 80.0, "U", "CS", "Fall 2023", "2024-01-05", 1), (2, 90.0, "V", "CS", "Winter 2024", "2024-02-01", 0), (3, None, "U", "Art", "Fall 2024", "2024-03-01", 1)], "id int, grade double, university string, program string, term string, decision_date string, y int").withColumn("decision_date", F.to_date("decision_date")).withColumn("empty", F.lit(None).cast("string"))
+    made = E.Composite([E.Encoder("gpa", "grade"), E.Encoder("one_hot", "university"), E.Encoder("term", "term"), E.Encoder("date", "decision_date"), E.Encoder("woe", "program"), E.Encoder("ordinal", "program")]).fit(rows, "y")
+    out = made.transform(rows)
+    assert set(made.names()) <= set(out.columns) and made.names()[:3] == ["grade_scaled", "university_U", "university_V"]
+    assert {r.id: r.grade_scaled for r in out.collect()} == {1: -1.0, 2: 1.0, 3: None}
+    coded, used = E.encode_admissions(rows, "y")
+    assert set(used) == {"grade", "university", "program", "term", "decision_date"} and "empty" not in used
+    again, _ = E.encode_admissions(rows.drop("y"), None, used)
+    assert {"university_encoded", "program_frequency", "term_year"} <= set(again.columns) and coded.count() == again.count() == 3
+    with pytest.raises(ValueError):
+        E.Encoder("target", "university").fit(rows)
+
+
+def test_service(spark):
+    import threading
+    from urllib.error import HTTPError
+    from urllib.request import Request, urlopen
+
+    from kestrix.service import Service, server
+
+    now = [0.0]
+    s = Service(spark, per_minute=3, clock=lambda: now[0])
+    assert s.health()["status"] == "unhealthy" and s.handle("POST", "/predict", {})[0] == 503
+    s.startup()
+    good = {"top_6_average": 92.0, "university": "U", "program": "CS"}
+    both = s.predict_batch([good, {"university": "U"}])
+    assert 0 < both[0]["probability"] < 1 and both[1]["errors"] and both[1]["probability"] is None and s.predict_batch([]) == []
+    assert s.handle("GET", "/health")[0] == 200 and s.handle("GET", "/nowhere")[0] == 404 and s.handle("GET", "/health")[0] == 429
+    now[0] = 61.0
+    assert s.handle("GET", "/model/info")[1]["version"] == "1" and [x["status"] for x in s.log] == [503, 200, 404, 429, 200]
+    web = server(Service(spark))
+    threading.Thread(target=web.serve_forever, daemon=True).start()
+    at = f"http://127.0.0.1:{web.server_port}"
+    assert json.load(urlopen(Request(f"{at}/predict", json.dumps(good).encode(), {"Content-Type": "application/json"})))["label"]
+    with pytest.raises(HTTPError, match="422"):
+        urlopen(Request(f"{at}/predict/batch", b"{}"))
+    with pytest.raises(HTTPError, match="400"):
+        urlopen(Request(f"{at}/predict", b"{"))
+    web.shutdown()
+    web.server_close()
+
+
+def test_source_checks_runs_and_formats(spark, tmp_path):
+    from kestrix.operators.normalizers import UniversityNormalizer
+    from kestrix.sources import writers
+
+    (tmp_path / "good.json").write_text('{"a": 1}')
+    (tmp_path / "bad.json").write_text('{"a": ')
+    assert readers.is_json(spark, str(tmp_path / "good.json")) and not readers.is_json(spark, str(tmp_path / "bad.json")) and not readers.is_json(spark, str(tmp_path / "none.json"))
+    assert not readers.is_reachable("http://127.0.0.1:9/")
+    for kind in ("parquet", "orc", "json"):
+        writers.write_files(spark.range(5), kind, str(tmp_path / kind))
+        assert readers.read_files(spark, kind, str(tmp_path / kind)).count() == 5
+    writers.write_csv(spark.createDataFrame([("UofT",), ("zz",)], "university string"), str(tmp_path / "raw/2023"))
+    aliases = spark.createDataFrame([("uoft", "University of Toronto")], "alias string, canonical string")
+    run = lambda dry: etl.clean_years(spark, str(tmp_path / "raw"), str(tmp_path / "out"), ["2022", "2023"], lambda d: UniversityNormalizer(aliases).normalize(d, "university"), dry=dry).collect()
+    assert [tuple(r) for r in run(True)] == [("2023", 2, 1)] and not (tmp_path / "out").exists()
+    assert [tuple(r) for r in run(False)] == [("2023", 2, 1)] and (tmp_path / "out/2023").exists()
+    members = spark.createDataFrame([(0, "a", "a", 1.0, 3), (0, "a", "b", 0.8, 1), (1, "c", "c", 1.0, 2)], "cluster_id int, canonical string, variant string, score double, frequency bigint")
+    counts, top = writers.cluster_summary(members)
+    assert counts == {"clusters": 2, "names": 3, "records": 6, "largest": 2} and top.first()["size"] == 2
+    assert writers.review_items(members).first().variant == "b" and writers.review_items(members).first().action == "KEEP"
+    sink = etl.ParquetUpsert(str(tmp_path / "apps"), ["student_id"])
+    vectors = etl.VectorSink(str(tmp_path / "vectors"), ["program"], S.text_vectors(8))
+    assert not vectors.exists(spark, {"student_id": "s"})
+    etl.admission_pipeline(lambda: spark.createDataFrame([("s", " U ", "CS")], "student_id string, university string, program string"), sink, {"university": {"U": "University"}}, vectors=vectors).run()
+    assert sink.read(spark).first().university == "University" and vectors.exists(spark, {"student_id": "s"})
+
+
+def test_chart_tables(spark):
+    from kestrix.operators import charts as H
+
+    assert [s["converged"] for s in H.convergence([3.0, 1.0, 1.0])] == [False, False, True]
+    steps = H.gram_schmidt_steps([[1.0, 1.0], [2.0, 2.0], [0.0, 1.0]])
+    assert steps[1]["unit"] is None and np.allclose(np.dot(steps[0]["unit"], steps[2]["unit"]), 0)
+    parts = H.rank_parts([[3.0, 0.0], [0.0, 1.0]])
+    assert np.allclose(parts[0]["part"], [[3, 0], [0, 0]]) and parts[0]["explained"] == pytest.approx(0.9)
+    p = H.projection_points([1.0, 2.0, 3.0], [[1.0], [1.0], [1.0]])
+    assert np.allclose(p["projection"], 2) and np.allclose(np.array(p["hat"]), 1 / 3)
+    assert H.seeded(1, 2) == H.seeded(1, 2) and all(0 <= x < 1 for x in H.seeded(7, 50))
+    assert spark.range(1).select(H.normal_pdf(F.lit(0.0), 0.0, 1.0)).first()[0] == pytest.approx(0.3989423)
+    flat = spark.createDataFrame([(float(i), 2.0 * i, 0.1 * (i % 2)) for i in range(20)], "a double, b double, c double")
+    plane = H.principal_plane(flat, ["a", "b", "c"]).agg(F.var_pop("pc1"), F.var_pop("pc2"), F.covar_pop("pc1", "pc2")).first()
+    assert plane[0] > plane[1] > 0 and abs(plane[2]) < 1e-9
+    shade = {r.i: r.shade for r in H.heatmap(spark.createDataFrame([(0, 0, 1.0), (1, 0, 3.0)], "i int, j int, v double"), "i", "j", "v").collect()}
+    assert shade == {0: 0.0, 1: 1.0}

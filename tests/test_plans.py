@@ -7,7 +7,7 @@ import pytest
 from kestrix import catalog
 
 Q = catalog.queries()
-PYTHON = {"knn_batch", "beta_interval", "text_hash_vectors", "isotonic_pava"}
+PYTHON = {"knn_batch", "beta_interval", "text_hash_vectors", "isotonic_pava", "attention_patterns", "auc_bootstrap_ci", "self_attention_rows"}
 
 
 def plan(spark, sf, name):
