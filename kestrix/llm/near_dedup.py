@@ -130,15 +130,16 @@ def components(edges: DataFrame, ws: Workspace, at: str) -> DataFrame:
     are contracted; half the names of a component go each round, whatever its shape."""
     left = ws.save(edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a != b").distinct(), f"{at}-edges")
     jumps = []
-    while left.limit(1).count():
-        k = len(jumps)
+    while n := left.count():
+        # what a round makes is at most two rows an edge: few files of them, where there are few
+        k, parts = len(jumps), -(-n // 20_000)
         both = left.unionByName(left.select(F.col("b").alias("a"), F.col("a").alias("b")))
         near = both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.first("a")).alias("to"))
         jump = near.join(near.select(F.col("node").alias("to"), F.col("to").alias("root")), "to").select("node", "root")
-        jumps.append(ws.save(jump, f"{at}-jump{k}"))
+        jumps.append(ws.save(jump.coalesce(parts), f"{at}-jump{k}"))
         on = lambda c: jumps[k].select(F.col("node").alias(c), F.col("root").alias(f"{c}2"))
         nxt = left.join(on("a"), "a").join(on("b"), "b").select(F.least("a2", "b2").alias("a"), F.greatest("a2", "b2").alias("b")).where("a != b").distinct()
-        left = ws.save(nxt, f"{at}-edges{k}")
+        left = ws.save(nxt.coalesce(parts), f"{at}-edges{k}")
     if not jumps:
         return left.select(F.col("a").alias("node"), F.col("b").alias("root"))
     out = jumps[0]
