@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.text import lookup
 from ..storage import stored
-from .windows import balanced_bucket, quantiles, row_numbers, score_bucket
+from .windows import balanced_bucket, quantiles, row_numbers
 
 
 def uniform_edges(n: int) -> list[float]:
@@ -77,7 +77,7 @@ def wilson(successes: Column, trials: Column, level: float = 0.95) -> tuple[Colu
 def hosmer_lemeshow(df: DataFrame, groups: int = 10) -> DataFrame:
     """chi2 and degrees of freedom over groups of equally many rows by p, then id; the rest joins the last."""
     n = F.lit(df.count())
-    ranked = row_numbers(df, -score_bucket(F.col("p")), [F.col("p"), F.col("id")])
+    ranked = row_numbers(df, balanced_bucket(df, "p"), [F.col("p"), F.col("id")])
     g = F.least(F.floor((F.col("rn") - 1) / F.floor(n / groups)), F.lit(groups - 1))
     by = ranked.groupBy(g.alias("g")).agg(F.sum("y").alias("o"), F.sum("p").alias("e"), F.avg("p").alias("m"))
     return by.agg(F.sum(F.when(F.col("e") * (1 - F.col("m")) > 0, F.pow(F.col("o") - F.col("e"), 2) / (F.col("e") * (1 - F.col("m"))))).alias("chi2"), (F.count("*") - 2).alias("df"))

@@ -13,13 +13,13 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from .windows import row_numbers, running_totals, score_bucket
+from .windows import balanced_bucket, falling_bucket, row_numbers, running_totals
 
 
 def by_score(df: DataFrame) -> DataFrame:
     """Distinct scores with cumulative tp and fp from the highest down, and the totals n_pos and n_neg."""
     ties = df.groupBy("p").agg(F.sum("y").cast("bigint").alias("pos"), F.sum(1 - F.col("y")).cast("bigint").alias("neg"))
-    cum = running_totals(ties, score_bucket(F.col("p")), [F.col("p").desc()], {"tp": F.col("pos"), "fp": F.col("neg")})
+    cum = running_totals(ties, falling_bucket(ties), [F.col("p").desc()], {"tp": F.col("pos"), "fp": F.col("neg")})
     total = ties.agg(F.sum("pos").alias("n_pos"), F.sum("neg").alias("n_neg"))
     return cum.crossJoin(F.broadcast(total))
 
@@ -35,7 +35,7 @@ def roc_auc(df: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
 
     Mid-ranks come from counts by score, whose running totals are made in buckets."""
     ties = df.groupBy(*by, "p").agg(F.sum("y").cast("double").alias("pos"), F.count("*").cast("double").alias("n"))
-    ties = ties.withColumn("b", F.floor(F.col("p") * 256))
+    ties = ties.withColumn("b", balanced_bucket(ties, "p"))
     parts = ties.groupBy(*by, "b").agg(F.sum("n").alias("bn"))
     before = Window.partitionBy(*by).orderBy("b").rowsBetween(Window.unboundedPreceding, -1)
     offset = parts.select(*by, "b", F.coalesce(F.sum("bn").over(before), F.lit(0.0)).alias("off"))
@@ -76,13 +76,12 @@ def pr_auc(df: DataFrame) -> DataFrame:
     """Trapezoid over recall; the first point is (recall 0, precision 1)."""
     s = by_score(df).select("p", (F.col("tp") / F.col("n_pos")).alias("recall"), (F.col("tp") / (F.col("tp") + F.col("fp"))).alias("precision"))
     first = df.sparkSession.range(1).select(F.lit(2.0).alias("p"), F.lit(0.0).alias("recall"), F.lit(1.0).alias("precision"))
-    bucket = F.when(F.col("p") > 1, F.lit(-10_000)).otherwise(score_bucket(F.col("p")))
-    return trapezoid(s.unionByName(first), "recall", "precision", "p", bucket, falling=True).withColumnRenamed("area", "pr_auc")
+    return trapezoid(s.unionByName(first), "recall", "precision", "p", falling_bucket(s), falling=True).withColumnRenamed("area", "pr_auc")
 
 
 def ranked(df: DataFrame) -> DataFrame:
     """Rows with rn (1 is the highest score), and cumulative tp, by (p desc, id)."""
-    return running_totals(df, score_bucket(F.col("p")), [F.col("p").desc(), F.col("id")], {"rn": F.lit(1).cast("bigint"), "tp": F.col("y").cast("bigint")})
+    return running_totals(df, falling_bucket(df), [F.col("p").desc(), F.col("id")], {"rn": F.lit(1).cast("bigint"), "tp": F.col("y").cast("bigint")})
 
 
 def average_precision(df: DataFrame) -> DataFrame:
@@ -140,7 +139,7 @@ def at_percentile(df: DataFrame, percents: list[int]) -> DataFrame:
 def lift_per_bin(df: DataFrame, bins: int = 10) -> DataFrame:
     """Lift of each tenth by itself."""
     n, base = df.agg(F.count("*"), F.avg("y")).first()
-    r = row_numbers(df, score_bucket(F.col("p")), [F.col("p").desc(), F.col("id")])
+    r = row_numbers(df, falling_bucket(df), [F.col("p").desc(), F.col("id")])
     return r.groupBy((F.floor((F.col("rn") - 1) * bins / n) + 1).cast("int").alias("bin")).agg(F.count("*").alias("n"), (F.avg("y") / F.lit(base)).alias("lift"))
 
 
@@ -159,7 +158,7 @@ def delong(df: DataFrame) -> DataFrame:
 
     def placed(d: DataFrame, p: str, name: str) -> DataFrame:
         ties = d.groupBy(F.col(p).alias("p")).agg(F.sum("y").cast("bigint").alias("pos"), F.sum(1 - F.col("y")).cast("bigint").alias("neg"))
-        cum = running_totals(ties, score_bucket(F.col("p")), [F.col("p").desc()], {"cp": F.col("pos"), "cn": F.col("neg")})
+        cum = running_totals(ties, falling_bucket(ties), [F.col("p").desc()], {"cp": F.col("pos"), "cn": F.col("neg")})
         total = ties.agg(F.sum("pos").alias("n_pos"), F.sum("neg").alias("n_neg"))
         cum = cum.crossJoin(F.broadcast(total)).select(F.col("p").alias(p), ((F.col("n_neg") - F.col("cn") + F.col("neg") / 2) / F.col("n_neg")).alias(f"{name}_pos"), ((F.col("cp") - F.col("pos") / 2) / F.col("n_pos")).alias(f"{name}_neg"))
         return d.join(cum, p).withColumn(name, F.when(F.col("y") == 1, F.col(f"{name}_pos")).otherwise(F.col(f"{name}_neg"))).drop(f"{name}_pos", f"{name}_neg")
@@ -196,7 +195,7 @@ def bootstrap_auc(df: DataFrame, rounds: int = 1000, level: float = 0.95, seed:
         return pd.DataFrame({"b": b, "round": np.arange(rounds), "pos": pos, "neg": neg, "won": won})
 
     ties = df.groupBy("p").agg(F.sum("y").cast("bigint").alias("pos"), F.sum(1 - F.col("y")).cast("bigint").alias("neg"))
-    parts = ties.withColumn("b", score_bucket(F.col("p"))).groupBy("b").applyInPandas(draw, "b bigint, round int, pos double, neg double, won double")
+    parts = ties.withColumn("b", falling_bucket(ties).cast("bigint")).groupBy("b").applyInPandas(draw, "b bigint, round int, pos double, neg double, won double")
     lower = Window.partitionBy("round").orderBy(F.col("b").desc()).rowsBetween(Window.unboundedPreceding, -1)  # buckets are highest first
     each = parts.withColumn("won", F.col("won") + F.col("pos") * F.coalesce(F.sum("neg").over(lower), F.lit(0.0)))
     each = each.groupBy("round").agg((F.sum("won") / F.nullif(F.sum("pos") * F.sum("neg"), F.lit(0.0))).alias("auc"))

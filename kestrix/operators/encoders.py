@@ -13,6 +13,7 @@ from .windows import numbered
 
 # Letter grades on the unit scale.
 LETTERS = {"a+": 0.97, "a": 0.93, "a-": 0.9, "b+": 0.87, "b": 0.83, "b-": 0.8, "c+": 0.77, "c": 0.73, "c-": 0.7, "d+": 0.67, "d": 0.63, "d-": 0.6, "f": 0.5}
+FEW = 10_000
 #: Largest value of a scale and what it is called.
 SCALES = ((4.5, "four_point"), (7.0, "ib_course"), (45.0, "ib_total"))
 
@@ -90,7 +91,14 @@ def fit_woe(df: DataFrame, category: str, y: str, add: float = 0.5) -> DataFrame
 
 
 def inverse_lookup(values: DataFrame, fitted: DataFrame, category: str, value: str) -> DataFrame:
-    """The category whose code is nearest to each value (ties by name); the fitted table is small."""
+    """The category whose code is nearest to each value (ties by name). A table of at most FEW categories is looked
+    through row by row; beyond that distinct values meet the categories in blocks."""
+    if fitted.limit(FEW + 1).count() > FEW:
+        from ..functions.vectors import all_pairs
+
+        pairs = all_pairs(values.select(F.col(value).alias("__v")).distinct(), fitted.select(F.col(category).cast("string").alias("__c"), "encoded"))
+        near = pairs.groupBy("__v").agg(F.min_by("__c", F.struct(F.abs(F.col("encoded") - F.col("__v")), "__c")).alias(category))
+        return values.join(near, F.col(value).eqNullSafe(F.col("__v")), "left").select(*values.columns, category)
     table = fitted.agg(F.sort_array(F.collect_list(F.struct(category, "encoded"))).alias("t"))
     near = F.aggregate("t", F.struct(F.lit(None).cast("string").alias("c"), F.lit(float("inf")).alias("d")), lambda a, x: F.when(F.abs(x["encoded"] - F.col(value)) < a["d"], F.struct(x[category].cast("string").alias("c"), F.abs(x["encoded"] - F.col(value)).alias("d"))).otherwise(a))
     return values.crossJoin(F.broadcast(table)).select(*values.columns, near["c"].alias(category))

@@ -5,6 +5,7 @@ Brute force is exact and distributed: scores are column expressions, and a top-k
 
 from __future__ import annotations
 
+import re
 from functools import reduce
 from typing import Any
 
@@ -110,6 +111,19 @@ def keyword(df: DataFrame, query: str, properties: list[str], limit: int | None
     return out.orderBy(id).limit(limit) if limit is not None else out
 
 
+def relevance(df: DataFrame, query: str, name: str, limit: int = 10, id: str = "id", k1: float = 1.2, b: float = 0.75) -> DataFrame:
+    """The rows with the highest BM25 score of the query's words (runs of a-z and 0-9 in any case) in a text property;
+    ties by id. Only rows with one of the words are counted; three numbers and one a word are broadcast."""
+    words = F.regexp_extract_all(F.lower(F.col(name)), F.lit("[a-z0-9]+"), F.lit(0))
+    asked = sorted(set(re.findall("[a-z0-9]+", query.lower())))
+    rows = df.select("*", F.size(words).alias("__n"), F.filter(words, lambda w: w.isin(asked) if asked else F.lit(False)).alias("__w")).where(F.col(name).isNotNull())
+    every = rows.agg(F.count("*").alias("__N"), F.avg("__n").alias("__mean"))
+    each = rows.select(id, "__n", F.explode("__w").alias("__w")).groupBy(id, "__n", "__w").agg(F.count("*").alias("__tf"))
+    idf = each.groupBy("__w").agg(F.count("*").alias("__df")).crossJoin(F.broadcast(every)).select("__w", "__mean", F.log1p((F.col("__N") - F.col("__df") + 0.5) / (F.col("__df") + 0.5)).alias("__idf"))
+    part = F.col("__idf") * F.col("__tf") * (k1 + 1) / (F.col("__tf") + k1 * (1 - b + b * F.col("__n") / F.col("__mean")))
+    return each.join(F.broadcast(idf), "__w").groupBy(id).agg(F.sum(part).alias("score")).orderBy(F.col("score").desc(), id).limit(limit)
+
+
 def hybrid(df: DataFrame, query: str, vector_query: list[float], properties: list[str], alpha: float = 0.7, limit: int = 10, where: dict | None = None, vector: str = "vector", id: str = "id") -> DataFrame:
     """alpha * max(0, cosine) + (1 - alpha) * [a property contains the query]; scores over 0 only."""
     q = F.array(*[F.lit(float(x)) for x in vector_query])

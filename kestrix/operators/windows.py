@@ -65,6 +65,11 @@ def balanced_bucket(df: DataFrame, column: str, buckets: int = 64) -> Column:
     return tree(0, len(edges))
 
 
+def falling_bucket(df: DataFrame, column: str = "p", buckets: int = 64) -> Column:
+    """Buckets of about equally many rows, highest first."""
+    return -balanced_bucket(df, column, buckets)
+
+
 def quantiles(df: DataFrame, column: str, shares: list[float]) -> list[float]:
     """Exact quantiles with linear interpolation; [] without values. Values are counted, then ranked in
     balanced buckets, so no buffer holds all of them; two values a share reach the driver."""

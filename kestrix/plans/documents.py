@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import documents as D
+from ..operators.windows import quantiles
 from .common import Family, rounded, table
 
 family = Family()
@@ -115,7 +116,8 @@ def match_boolean(spark, sf):
 def gpa_statistics(spark, sf):
     rows = D.find(students(spark, sf), D.application_query(university="U2", outcome="rejected"))
     g = F.col("academics.gpa_overall")
-    return rounded(rows.agg(F.avg(g).alias("mean"), F.stddev_pop(g).alias("std"), F.min(g).alias("min"), F.max(g).alias("max"), F.percentile(g, F.lit(0.5)).alias("median"), F.count(g).alias("n")))
+    middle = quantiles(rows.select(g.alias("g")), "g", [0.5])
+    return rounded(rows.agg(F.avg(g).alias("mean"), F.stddev_pop(g).alias("std"), F.min(g).alias("min"), F.max(g).alias("max"), F.lit(middle[0] if middle else None).cast("double").alias("median"), F.count(g).alias("n")))
 
 
 @family.add(f"WITH {FLAT}, y AS (SELECT unnest(['1996', '1997', '2030']) AS year) SELECT y.year, count(student_id) AS applications, count(student_id) FILTER (outcome = 'admitted') AS admitted FROM y LEFT JOIN flat ON substr(application_date, 1, 4) = y.year AND university = 'U1' GROUP BY y.year")

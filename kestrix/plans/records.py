@@ -97,7 +97,7 @@ _ALIASES = {"click": "interaction", "view": "impression", "purchase": "conversio
 @family.add("SELECT coalesce(CASE event_type WHEN 'click' THEN 'interaction' WHEN 'view' THEN 'impression' WHEN 'purchase' THEN 'conversion' WHEN 'error' THEN 'fault' END, event_type) AS canonical, count(*) AS n FROM events GROUP BY 1")
 def alias_broadcast(spark, sf):
     dim = spark.createDataFrame(list(_ALIASES.items()), "alias string, canonical string")
-    rows = M.match_aliases(table(spark, sf, "events"), "event_type", F.broadcast(dim))
+    rows = M.match_aliases(table(spark, sf, "events"), "event_type", dim)
     return rows.groupBy(F.coalesce("canonical", "event_type").alias("canonical")).agg(F.count("*").alias("n"))
 
 

@@ -58,6 +58,11 @@ def boosted_topk_score(spark, sf):
     return rounded(S.boosted_share(vectors(spark, sf), _first(spark, sf), boost, F.col("label") % 2 == 1))
 
 
+@family.add("WITH d AS (SELECT doc_id, regexp_extract_all(lower(text), '[a-z0-9]+') AS w FROM documents WHERE text IS NOT NULL), s AS (SELECT count(*) AS n, avg(len(w)) AS mean FROM d), q AS (SELECT unnest(['license', 'password', 'the']) AS t), f AS (SELECT doc_id, t, len(w) AS l, len(list_filter(w, lambda x: x = t)) AS tf FROM d, q), i AS (SELECT t, count(*) AS df FROM f WHERE tf > 0 GROUP BY t) SELECT doc_id, round(sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * l / mean))), 6) AS score FROM f JOIN i USING (t), s WHERE tf > 0 GROUP BY doc_id ORDER BY sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * l / mean))) DESC, doc_id LIMIT 10")
+def text_relevance(spark, sf):
+    return rounded(S.relevance(table(spark, sf, "documents"), "the LICENSE, password", "text", 10, "doc_id"))
+
+
 _CENT = "u AS (SELECT label, generate_subscripts(embedding, 1) AS i, CAST(unnest(embedding) AS DOUBLE) AS x FROM embeddings), c AS (SELECT label, i, avg(x) AS m FROM u GROUP BY ALL)"
 
 

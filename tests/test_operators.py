@@ -751,3 +751,13 @@ def test_chart_tables(spark):
     assert plane[0] > plane[1] > 0 and abs(plane[2]) < 1e-9
     shade = {r.i: r.shade for r in H.heatmap(spark.createDataFrame([(0, 0, 1.0), (1, 0, 3.0)], "i int, j int, v double"), "i", "j", "v").collect()}
     assert shade == {0: 0.0, 1: 1.0}
+
+
+def test_inverse_lookup_of_many_categories(spark, monkeypatch):
+    fitted = spark.createDataFrame([(f"c{k}", k * 0.5) for k in range(30)], "c string, encoded double")
+    values = spark.createDataFrame([(v,) for v in (0.1, 0.25, 3.9, 100.0, -4.0, 3.9)], "v double")
+    rows = []
+    for few in (100, 3):
+        monkeypatch.setattr(E, "FEW", few)
+        rows.append(sorted(map(tuple, E.inverse_lookup(values, fitted, "c", "v").collect())))
+    assert rows[0] == rows[1] and len(rows[0]) == 6
