@@ -70,6 +70,9 @@ def small_batches(spark: SparkSession, rows: int = 1000):
         spark.conf.set(name, before)
 
 
+#: Where the shared folder is on a mounted file system, files get no checksum files beside them: each would start
+#: several processes to set permissions, and while one starts, all of an executor's memory counts twice.
+PLAIN_FILES = {"fs.file.impl": "org.apache.hadoop.fs.RawLocalFileSystem", "fs.file.impl.disable.cache": "true"}
 _scopes: list[list[Workspace]] = []
 
 
@@ -95,7 +98,7 @@ class Workspace:
 
     def save(self, df: DataFrame, name: str) -> DataFrame:
         with small_batches(self.spark):
-            df.write.mode("overwrite").option("compression", "zstd").parquet(f"{self.root}/{name}")
+            df.write.mode("overwrite").options(compression="zstd", **PLAIN_FILES).parquet(f"{self.root}/{name}")
         return self.spark.read.schema(df.schema).parquet(f"{self.root}/{name}")
 
     def drop(self, name: str = "") -> None:
