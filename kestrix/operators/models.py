@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..storage import stored
 from .calibration import sigmoid
+from .encoders import index_categories
 from .linalg import linear
 
 
@@ -161,20 +162,51 @@ def attention(queries: DataFrame, keys: DataFrame, dim: int) -> DataFrame:
     return scored.select("query_id", "key_id", softmax("score", ["query_id"]).alias("weight"))
 
 
-def train_embeddings(df: DataFrame, left: str, right: str, y: str, dim: int = 8, epochs: int = 30, lam: float = 1.0) -> tuple[DataFrame, DataFrame]:
+def _ridge_side(pairs: DataFrame, own: str, other: str, vectors: DataFrame, dim: int, lam: float) -> DataFrame:
+    """(own, vector): the ridge vectors of one kind of categories where those of the other are given. Sums by
+    category are combined in each task before they meet, so a hot category is no large group."""
+    x, n = [F.col("vector")[i] for i in range(dim)], F.col("n")
+    cells = [(i, j) for i in range(dim) for j in range(i, dim)]
+    sums = [F.sum(n * x[i] * x[j]) for i, j in cells] + [F.sum(n * F.col("t") * x[i]) for i in range(dim)]
+
+    def solve(rows: pd.Series) -> pd.Series:
+        s = np.array(rows.tolist(), float).reshape(-1, len(cells) + dim)
+        h = np.empty((len(s), dim, dim))
+        for k, (i, j) in enumerate(cells):
+            h[:, i, j] = h[:, j, i] = s[:, k]
+        return pd.Series(list(np.linalg.solve(h + lam * np.eye(dim), s[:, len(cells) :, None])[..., 0]))
+
+    by = pairs.join(vectors, other).groupBy(own).agg(F.array(*sums).alias("s"))
+    return by.select(own, F.pandas_udf(solve, "array<double>")("s").alias("vector"))
+
+
+def train_embeddings(df: DataFrame, left: str, right: str, y: str, dim: int = 8, epochs: int = 30, lam: float = 1.0, few: int = 200_000) -> tuple[DataFrame, DataFrame]:
     """Vectors of two kinds of categories whose dot products fit the mean of y by pair (alternating ridge on
-    the pair table, which one aggregate makes; it has a row a pair, and is checked to be small)."""
+    the pair table, which one aggregate makes): (id, name, embedding) of each kind.
+
+    At most `few` pairs are fitted on the driver; more by sums on the executors, with the same steps from the same start.
+    Rows without one of the categories or y teach nothing."""
     spark = df.sparkSession
-    pairs = df.groupBy(left, right).agg(F.count("*").alias("n"), F.avg(y).alias("m"))
-    if pairs.limit(200_001).count() > 200_000:
-        raise ValueError("too many pairs of categories for a driver fit")
+    pairs = df.dropna(subset=[left, right, y]).groupBy(left, right).agg(F.count("*").alias("n"), F.avg(y).alias("m"))
+    pairs = stored(pairs, "pairs")
+    base = pairs.agg(F.sum(F.col("m") * F.col("n")) / F.sum("n")).first()[0]
+    # the start is a hash of the name and the coordinate, with deviation 0.1
+    start = F.array(*[(F.pmod(F.xxhash64(F.col(right).cast("string"), F.lit(i)), F.lit(1 << 20)) / (1 << 20) - 0.5) * 0.1 * math.sqrt(12) for i in range(dim)])
+    first = pairs.select(right).distinct().select(right, start.alias("vector"))
+    if pairs.limit(few + 1).count() > few:
+        pairs = pairs.withColumn("t", F.col("m") - base)
+        v = first
+        for k in range(epochs):
+            u = stored(_ridge_side(pairs, left, right, v, dim, lam), f"left{k}")
+            v = stored(_ridge_side(pairs, right, left, u, dim, lam), f"right{k}")
+        numbered = lambda d, c: d.join(index_categories(d, c), c).select(F.col("code").alias("id"), F.col(c).cast("string").alias("name"), F.col("vector").alias("embedding"))
+        return numbered(u, left), numbered(v, right)
     table = pairs.orderBy(left, right).toPandas()
     a, an = pd.factorize(table[left], sort=True)
     b, bn = pd.factorize(table[right], sort=True)
-    base = float((table["m"] * table["n"]).sum() / table["n"].sum())
-    rng = np.random.default_rng(42)
-    u, v = rng.normal(0, 0.1, (len(an), dim)), rng.normal(0, 0.1, (len(bn), dim))
-    target, n = table["m"].to_numpy() - base, table["n"].to_numpy(float)
+    begin = dict(first.collect())
+    u, v = np.zeros((len(an), dim)), np.array([begin[name] for name in bn], float).reshape(-1, dim)
+    target, n = table["m"].to_numpy(float) - (base or 0.0), table["n"].to_numpy(float)
     for _ in range(epochs):
         for own, other, at, ot in ((u, v, a, b), (v, u, b, a)):
             for k in range(len(own)):

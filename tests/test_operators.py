@@ -761,3 +761,15 @@ def test_inverse_lookup_of_many_categories(spark, monkeypatch):
         monkeypatch.setattr(E, "FEW", few)
         rows.append(sorted(map(tuple, E.inverse_lookup(values, fitted, "c", "v").collect())))
     assert rows[0] == rows[1] and len(rows[0]) == 6
+
+
+def test_embeddings_of_many_pairs_equal_those_of_few(spark):
+    rng = np.random.default_rng(3)
+    rows = [(f"u{i % 7}", f"p{j % 5}", float(rng.integers(0, 2))) for i in range(12) for j in range(9) for _ in range(3)]
+    df = spark.createDataFrame([*rows, (None, "p1", 1.0), ("u1", None, 0.0), ("u1", "p1", None)], "u string, p string, y double")
+    few = [{r.name: (r.id, r.embedding) for r in t.collect()} for t in models.train_embeddings(df, "u", "p", "y", 2, 3)]
+    many = [{r.name: (r.id, r.embedding) for r in t.collect()} for t in models.train_embeddings(df, "u", "p", "y", 2, 3, few=0)]
+    for a, b in zip(few, many):
+        assert {k: i for k, (i, _) in a.items()} == {k: i for k, (i, _) in b.items()} and len(a) in (5, 7)
+        assert all(np.allclose(a[k][1], b[k][1], atol=1e-9) for k in a)
+    assert [t.count() for t in models.train_embeddings(df.limit(0), "u", "p", "y", 2, 3)] == [0, 0]
