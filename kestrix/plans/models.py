@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from decimal import Decimal
 
 from pyspark.sql import functions as F
 
@@ -206,8 +207,8 @@ _EX = "WITH x AS (SELECT event_id AS id, 1.0 AS c0, value AS v, event_id % 13 AS
 
 @family.add(f"{_EX} SELECT id, CAST(rank AS INTEGER) AS rank, feature, round(c, 6) AS contribution FROM r WHERE rank <= 2")
 def explain_topk(spark, sf):
-    x = table(spark, sf, "events").select(F.col("event_id").alias("id"), F.lit(1.0).alias("c0"), F.col("value").alias("v"), (F.col("event_id") % 13).cast("double").alias("m"))
-    return rounded(M.contributions(x, ["c0", "v", "m"], [-1.5, 0.04, -0.2], "id", 2))
+    x = table(spark, sf, "events").select(F.col("event_id").alias("id"), F.lit(1.0).alias("c0"), F.col("value").alias("v"), (F.col("event_id") % 13).alias("m"))
+    return rounded(M.contributions(x, ["c0", "v", "m"], [-1.5, 0.04, Decimal("-0.2")], "id", 2))
 
 
 @family.add()

@@ -56,3 +56,14 @@ def test_entry(spark):
 
     assert e.entry(spark).count() == 20
     assert set(QUERIES) <= set(e.queries()) and set(e.oracle_sql()) <= set(e.queries())
+
+
+@pytest.mark.parametrize("value, at_7", [("35", "c0 v"), ("-35", "c0 v"), ("15", "c0 m"), ("60", "v c0"), ("'NaN'", "v c0"), ("NULL", "c0 m")])
+def test_explained_parts_rank_as_in_sql(value, at_7, spark, tmp_path):
+    """With each remainder: 35 * 0.04 and 7 * 0.2 tie in floats only, NaN is largest, a missing part is last."""
+    con = duckdb.connect()
+    con.execute(f"CREATE TABLE events AS SELECT event_id, {value}::DOUBLE AS value FROM range(13) t(event_id)")
+    con.execute(f"COPY events TO '{tmp_path}/events.parquet' (FORMAT parquet)")
+    mine = [tuple(r) for r in QUERIES["explain_topk"](spark, str(tmp_path)).collect()]
+    assert plain(mine) == plain(con.execute(ORACLE["explain_topk"]).fetchall())
+    assert " ".join(r[2] for r in sorted(mine) if r[0] == 7) == at_7
